@@ -4,7 +4,7 @@ from importlib import import_module
 
 from opsweave.plans.registry import ENTRIES
 
-_FAMILIES = ("policy",)
+_FAMILIES = ("policy", "logs")
 
 
 def load_all() -> dict:

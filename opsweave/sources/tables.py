@@ -103,3 +103,58 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("user"),
         "text",
     )
+
+
+def pod_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log line per event; namespace and pod follow from the user."""
+    e = events(spark, sf_dir)
+    s = {c: F.col(c).cast("string") for c in ("event_id", "user_id", "k", "value")}
+    md = F.md5(s["event_id"])
+    uuid = F.concat_ws(
+        "-", *[F.substring(md, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    )
+    lit = F.lit
+    line = (
+        F.when(
+            F.col("event_type") == "error",
+            F.concat(lit("ERROR request "), uuid, lit(" from 10.0."), s["user_id"], lit("."), s["k"],
+                     lit(":80 failed")),
+        )
+        .when(
+            F.col("event_type") == "click",
+            F.concat(lit("WARN slow click 0xab"), s["k"], lit(" of svc-"), s["k"], lit(" took "), s["event_id"]),
+        )
+        .when(
+            F.col("event_type") == "purchase",
+            F.concat(lit("gateway of svc-"), s["k"], lit(": connection refused, order "), s["event_id"]),
+        )
+        .when(F.col("event_type") == "view", F.concat(lit("DEBUG healthz ok, error count "), s["k"]))
+        .when(F.col("k") < 50, F.concat(lit("FATAL cannot create user-"), s["user_id"]))
+        .otherwise(F.concat(lit("signup done "), s["k"]))
+    )
+    return e.select(
+        F.concat(lit("ns"), (F.col("user_id") % 10).cast("string")).alias("namespace"),
+        F.concat(lit("pod-"), s["user_id"]).alias("pod"),
+        F.col("t").alias("ts"),
+        "event_id",
+        line.alias("line"),
+    )
+
+
+def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short-format journal lines of the pod lines; host = namespace, unit = pod."""
+    p = pod_log_lines(spark, sf_dir)
+    stamp = F.date_format(F.timestamp_seconds("ts"), "MMM dd HH:mm:ss")
+    unit = F.concat(F.col("pod"), F.lit("["), F.col("event_id").cast("string"), F.lit("]:"))
+    return p.select(
+        F.col("namespace").alias("hostname"), "ts", F.col("event_id").alias("line_id"),
+        F.concat_ws(" ", stamp, unit, "line").alias("line"),
+    )
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document as a host line; hostname = source."""
+    d = load(spark, sf_dir, "documents")
+    return d.select(
+        F.col("source").alias("hostname"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
+    ).withColumn("ts", F.col("doc_id").cast("double"))
