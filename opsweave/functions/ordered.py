@@ -72,38 +72,33 @@ def with_running_sum(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     tie: Sequence[str] = (),
     chunk_seconds: int = HOUR,
 ) -> DataFrame:
-    """Add ``name``: sum of ``value`` over all rows of the key up to this one."""
-    keys = list(keys)
-    order = [ts, *tie]
-    src = df.withColumn("_chunk", _chunk(ts, chunk_seconds)).withColumn("_v", value)
-    inside = src.withColumn(
-        "_run",
-        F.sum("_v").over(
-            Window.partitionBy(*keys, "_chunk")
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
+    """Add each named sum over all rows of the key up to and including this one."""
+    keys, names = list(keys), list(values)
+    src = df.withColumn("_chunk", _chunk(ts, chunk_seconds)).withColumns(
+        {f"_v_{n}": F.coalesce(v, F.lit(0)) for n, v in values.items()}
+    )
+    here = (
+        Window.partitionBy(*keys, "_chunk")
+        .orderBy(ts, *tie)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    inside = src.select("*", *[F.sum(f"_v_{n}").over(here).alias(f"_run_{n}") for n in names])
+    sums = src.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in names])
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    sums = src.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_s"))
     before = sums.select(
-        *keys,
-        "_chunk",
-        F.sum("_s")
-        .over(
-            Window.partitionBy(*keys)
-            .orderBy("_chunk")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        .alias("_before"),
+        *keys, "_chunk", *[F.sum(f"_v_{n}").over(earlier).alias(f"_before_{n}") for n in names]
     )
     out = _attach(inside, before, [*keys, "_chunk"])
-    total = F.coalesce("_run", F.lit(0)) + F.coalesce("_before", F.lit(0))
-    return out.select(*df.columns, total.alias(name))
+    totals = [
+        (F.col(f"_run_{n}") + F.coalesce(f"_before_{n}", F.lit(0))).alias(n) for n in names
+    ]
+    return out.select(*df.columns, *totals)
 
 
 def over_recent(

@@ -86,7 +86,7 @@ def outside_pauses(events: DataFrame, pauses: DataFrame, keys: Sequence[str] = (
     both = events.withColumns({"_kind": F.lit(1), "_open": F.lit(0)}).unionByName(
         marks, allowMissingColumns=True
     )
-    swept = with_running_sum(both, keys, "t", F.col("_open"), "_active", tie=["_kind"])
+    swept = with_running_sum(both, keys, "t", {"_active": F.col("_open")}, tie=["_kind"])
     return swept.where("_kind = 1 and _active <= 0").select(*events.columns)
 
 
