@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsweave.session import cut_lineage
+
 HOUR = 3600
 
 
@@ -201,3 +203,20 @@ def with_last_known(
     return out.select(
         *df.columns, *[F.coalesce(f"_in_{c}", f"_c_{c}").alias(f"last_{c}") for c in cols]
     )
+
+
+def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
+    """Number rows 0, 1, 2 … in the given total order without one task seeing them all.
+
+    Rows are sorted by range partition; the checkpoint freezes which partition a
+    row is in, and only one count per partition is summed up.
+    """
+    marked = df.orderBy(*order).select(
+        "*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")
+    )
+    placed = cut_lineage(marked)
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
+    out = placed.join(F.broadcast(offsets), "_p")  # one row per partition
+    return out.select(*df.columns, (F.col("_m") - F.col("_first") + F.col("_offset")).alias(name))

@@ -98,25 +98,33 @@ def contains_join(
     needles: DataFrame,
     needle: str,
     on: Sequence[str] = (),
-    gram: int = 4,
+    min_length: int = 4,
 ) -> DataFrame:
     """Exact substring join: rows of ``texts`` whose ``text`` contains ``needle``.
 
-    Every needle (at least ``gram`` characters; shorter ones never match) is filed
-    under its rarest gram; a text looks up its own grams and candidates are then
-    verified. Work follows the text length and the real candidates, not the
-    product of the two sides. ``on`` columns must be equal on both sides.
+    Every needle is filed under its rarest 4-gram; a text looks up its own grams
+    and candidates are then verified. Work follows the text length and the real
+    candidates, not the product of the two sides. Needles under four characters
+    are found by equality with the grams of their own length; those under
+    ``min_length`` never match. ``on`` columns must be equal on both sides.
     """
     on = list(on)
-    keyed = needles.where(F.length(needle) >= gram)
-    each = keyed.select(*on, needle, F.explode(_grams(F.col(needle), gram)).alias("_gram"))
-    each = each.distinct()
-    spread = each.groupBy("_gram").agg(F.count("*").alias("_n"))
-    anchor = (
-        each.join(spread, "_gram")
-        .groupBy(*on, needle)
-        .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
-    )
-    filed = broadcast_if_small(keyed.join(anchor, [*on, needle]))
-    looked = texts.withColumn("_gram", F.explode(_grams(F.col(text), gram)))
-    return looked.join(filed, [*on, "_gram"]).where(F.col(text).contains(F.col(needle))).drop("_gram")
+    out = None
+    for n in range(max(min_length, 1), 5):
+        if n < 4:
+            filed = needles.where(F.length(needle) == n).withColumn("_gram", F.col(needle))
+        else:
+            keyed = needles.where(F.length(needle) >= n)
+            each = keyed.select(*on, needle, F.explode(_grams(F.col(needle), n)).alias("_gram")).distinct()
+            spread = each.groupBy("_gram").agg(F.count("*").alias("_n"))
+            anchor = (
+                each.join(spread, "_gram")
+                .groupBy(*on, needle)
+                .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+            )
+            filed = keyed.join(anchor, [*on, needle])
+        looked = texts.withColumn("_gram", F.explode(_grams(F.col(text), n)))
+        hit = looked.join(broadcast_if_small(filed), [*on, "_gram"])
+        hit = hit.where(F.col(text).contains(F.col(needle))).drop("_gram")
+        out = hit if out is None else out.unionByName(hit)
+    return out

@@ -516,7 +516,7 @@ def risk_enrichment(spark, sf):
     "policy_codebase_suggestion",
     "POL29",
     r"""WITH f AS (SELECT p_partkey AS line, replace(p_name, ' ', '_') || '_' || p_partkey AS name,
-        'src/' || replace(p_brand, '#', '/') || '.py' AS file FROM part),
+        'src/' || replace(p_brand, '#', '/') || '/m' || p_size || '.py' AS file FROM part),
     fp AS (SELECT DISTINCT name, file, line, unnest(string_split(lower(name), '_')) AS part FROM f),
     a AS (SELECT DISTINCT p_name || '_' || p_type AS action FROM part),
     ap AS (SELECT DISTINCT action, unnest(regexp_split_to_array(lower(action), '[_\-\s]+')) AS part FROM a),

@@ -53,45 +53,62 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("ts", F.col("doc_id") * 60 + F.least(F.col("pos"), F.lit(59)))
 
 
-def call_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def call_pairs(spark: SparkSession, sf_dir: str, returned_only: bool = False) -> DataFrame:
     """Distinct caller/callee pairs: the part on line n calls the part on line n + 1
-    of the same order."""
+    of the same order; ``returned_only`` keeps returned lines (a sparser graph)."""
     li = load(spark, sf_dir, "lineitem")
+    if returned_only:
+        li = li.where("l_returnflag = 'R'")
     a = li.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("src"))
     b = li.select(
         "l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst")
     )
-    return (
-        a.join(b, ["l_orderkey", "n"])
-        .where(F.col("src") != F.col("dst"))
-        .select("src", "dst")
-        .distinct()
-    )
+    pairs = a.distinct().join(b.distinct(), ["l_orderkey", "n"])
+    return pairs.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions of the code graph: a part is a function, its brand the file."""
+    """Functions of the code graph: a part is a function, its brand and size the file."""
     p = load(spark, sf_dir, "part")
     return p.select(
         F.col("p_partkey").alias("id"),
         F.concat_ws("_", F.regexp_replace("p_name", " ", "_"), F.col("p_partkey")).alias("name"),
-        F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", "/"), F.lit(".py")).alias("file"),
+        F.concat(
+            F.lit("src/"), F.regexp_replace("p_brand", "#", "/"), F.lit("/m"),
+            F.col("p_size").cast("string"), F.lit(".py"),
+        ).alias("file"),
         F.col("p_size").alias("line"),
     )
 
 
-def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits and the files they touch: order = commit, part = file, customer = author."""
-    li = load(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file")
-    )
-    od = load(spark, sf_dir, "orders").select(
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits: order = commit, customer = author, priority and status = message."""
+    return load(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("commit"),
         F.col("o_custkey").alias("author"),
         F.col("o_orderdate").cast("timestamp").alias("date"),
         F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("message"),
     )
-    return li.distinct().join(od, "commit")
+
+
+def modified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function changes ``(commit, fn, author, date, message)``: the parts of an order."""
+    li = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("fn")
+    )
+    return li.distinct().join(commits(spark, sf_dir), "commit")
+
+
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File changes ``(commit, file, change, author, date, message)``; return flag = change."""
+    li = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("id"),
+        F.col("l_returnflag").alias("flag"),
+    )
+    change = F.when(F.col("flag") == "R", "D").when(F.col("flag") == "A", "A").otherwise("M")
+    files = li.join(functions(spark, sf_dir).select("id", "file"), "id")
+    per = files.groupBy("commit", "file").agg(F.min(change).alias("change"))
+    return per.join(commits(spark, sf_dir), "commit")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
