@@ -4,7 +4,7 @@ from importlib import import_module
 
 from opsweave.plans.registry import ENTRIES
 
-_FAMILIES = ("policy", "logs", "metrics", "correlation", "inventory", "codegraph", "graphs")
+_FAMILIES = ("policy", "logs", "metrics", "correlation", "inventory", "codegraph", "graphs", "search")
 
 
 def load_all() -> dict:
