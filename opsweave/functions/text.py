@@ -86,10 +86,12 @@ def name_parts(name: Column) -> Column:
 
 
 def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters (empty for shorter texts)."""
     chars = F.split(text, "")
     starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
     grams = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
-    return F.when(F.length(text) >= n, F.array_distinct(grams))
+    none = F.array().cast("array<string>")
+    return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(none)
 
 
 def contains_join(
@@ -109,22 +111,21 @@ def contains_join(
     ``min_length`` never match. ``on`` columns must be equal on both sides.
     """
     on = list(on)
-    out = None
-    for n in range(max(min_length, 1), 5):
-        if n < 4:
-            filed = needles.where(F.length(needle) == n).withColumn("_gram", F.col(needle))
-        else:
-            keyed = needles.where(F.length(needle) >= n)
-            each = keyed.select(*on, needle, F.explode(_grams(F.col(needle), n)).alias("_gram")).distinct()
-            spread = each.groupBy("_gram").agg(F.count("*").alias("_n"))
-            anchor = (
-                each.join(spread, "_gram")
-                .groupBy(*on, needle)
-                .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
-            )
-            filed = keyed.join(anchor, [*on, needle])
-        looked = texts.withColumn("_gram", F.explode(_grams(F.col(text), n)))
-        hit = looked.join(broadcast_if_small(filed), [*on, "_gram"])
-        hit = hit.where(F.col(text).contains(F.col(needle))).drop("_gram")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    keyed = needles.where(F.length(needle) >= 4)
+    each = keyed.select(*on, needle, F.explode(_grams(F.col(needle), 4)).alias("_gram")).distinct()
+    spread = each.groupBy("_gram").agg(F.count("*").alias("_n"))
+    anchor = (
+        each.join(spread, "_gram")
+        .groupBy(*on, needle)
+        .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    )
+    filed = keyed.join(anchor, [*on, needle])
+    lengths = [4]
+    if min_length < 4:
+        short = needles.where(F.length(needle).between(max(min_length, 1), 3))
+        filed = filed.unionByName(short.withColumn("_gram", F.col(needle)))
+        lengths = list(range(max(min_length, 1), 5))
+    grams = F.concat(*[_grams(F.col(text), n) for n in lengths])
+    looked = texts.withColumn("_gram", F.explode(grams))
+    hit = looked.join(broadcast_if_small(filed), [*on, "_gram"])
+    return hit.where(F.col(text).contains(F.col(needle))).drop("_gram")

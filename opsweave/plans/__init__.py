@@ -4,7 +4,10 @@ from importlib import import_module
 
 from opsweave.plans.registry import ENTRIES
 
-_FAMILIES = ("policy", "logs", "metrics", "correlation", "inventory", "codegraph", "graphs", "search")
+_FAMILIES = (
+    "policy", "logs", "metrics", "correlation", "inventory", "codegraph", "graphs", "search",
+    "alerts", "collab",
+)
 
 
 def load_all() -> dict:
