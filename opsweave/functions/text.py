@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsweave.functions.sizes import broadcast_if_small
+from opsweave.session import cut_lineage
 
 # Mask patterns in their order.
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -85,13 +86,22 @@ def name_parts(name: Column) -> Column:
     return F.filter(F.split(F.lower(spaced), r"[_\-\s]+"), lambda x: x != "")
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct runs of ``n`` characters (empty for shorter texts)."""
-    chars = F.split(text, "")
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct runs of the given numbers of characters.
+
+    The characters are bound to a lambda variable, so they are split only once.
+    """
     none = F.array().cast("array<string>")
-    return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(none)
+
+    def runs(chars: Column, n: int) -> Column:
+        last = F.length(text) - (n - 1)
+        made = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(chars, i, n), ""))
+        return F.when(last >= 1, made).otherwise(none)
+
+    bound = F.transform(
+        F.array(F.split(text, "")), lambda chars: F.concat(*[runs(chars, n) for n in sizes])
+    )
+    return F.array_distinct(F.get(bound, F.lit(0)))
 
 
 def contains_join(
@@ -111,8 +121,9 @@ def contains_join(
     ``min_length`` never match. ``on`` columns must be equal on both sides.
     """
     on = list(on)
+    needles = cut_lineage(needles)  # read several times below
     keyed = needles.where(F.length(needle) >= 4)
-    each = keyed.select(*on, needle, F.explode(_grams(F.col(needle), 4)).alias("_gram")).distinct()
+    each = keyed.select(*on, needle, F.explode(_grams(F.col(needle), [4])).alias("_gram")).distinct()
     spread = each.groupBy("_gram").agg(F.count("*").alias("_n"))
     anchor = (
         each.join(spread, "_gram")
@@ -125,7 +136,6 @@ def contains_join(
         short = needles.where(F.length(needle).between(max(min_length, 1), 3))
         filed = filed.unionByName(short.withColumn("_gram", F.col(needle)))
         lengths = list(range(max(min_length, 1), 5))
-    grams = F.concat(*[_grams(F.col(text), n) for n in lengths])
-    looked = texts.withColumn("_gram", F.explode(grams))
-    hit = looked.join(broadcast_if_small(filed), [*on, "_gram"])
+    looked = texts.withColumn("_gram", F.explode(_grams(F.col(text), lengths)))
+    hit = looked.join(broadcast_if_small(cut_lineage(filed)), [*on, "_gram"])
     return hit.where(F.col(text).contains(F.col(needle))).drop("_gram")
