@@ -91,7 +91,7 @@ def commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.get(part, F.lit(2)).alias("email"), F.try_to_timestamp(F.get(part, F.lit(3))).alias("date"),
         F.get(part, F.lit(4)).alias("message"),
         F.filter(
-            F.transform(F.slice(part, 6, F.greatest(F.size(part), F.lit(1))), F.trim),
+            F.transform(F.slice(part, 6, F.greatest(F.size(part), F.lit(1))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")),
             lambda x: x.rlike(r"^[MADR]\S*\s+\S"),
         ).alias("lines"),
     ).where("hash <> ''")
@@ -99,7 +99,7 @@ def commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     each = rows.select("hash", F.explode("lines").alias("line"))
     changes = each.select(
         "hash", F.substring("line", 1, 1).alias("change"),
-        F.trim(F.regexp_replace("line", r"^.", "")).alias("path"),
+        F.regexp_replace("line", r"^.\s*", "").alias("path"),
     )
     return commits, changes
 

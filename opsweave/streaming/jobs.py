@@ -134,17 +134,25 @@ def approvals(log: DataFrame) -> DataFrame:
 
 
 def cooloff(blocks: DataFrame) -> DataFrame:
-    """Blocks of a rule with their count in the last five minutes and the action that follows."""
+    """The action of each block: an ask once the rule blocked three times in five minutes.
+
+    The state holds the current instant with its count and the last three earlier
+    blocks, however hot the rule is.
+    """
 
     def fold(now, row):
-        times = [x for x in (now[0] if now else []) if x >= row.t - COOLOFF_SECONDS]
-        recent = sum(x < row.t for x in times)
+        earlier, at, n = (list(now[0]), now[1], now[2]) if now else ([], -1e18, 0)
+        if row.t > at:
+            earlier = [*earlier, *[at] * min(n, COOLOFF_BLOCKS)][-COOLOFF_BLOCKS:]
+            at, n = float(row.t), 0
+        recent = sum(x >= row.t - COOLOFF_SECONDS for x in earlier)
         action = "ask" if recent >= COOLOFF_BLOCKS else "block"
-        return ([*times, float(row.t)],), [(row.event_id, recent, action)]
+        return (earlier, at, n + 1), [(row.event_id, action)]
 
     return _stateful(
-        blocks, "rule", ["t", "event_id"], fold, "event_id long, recent_blocks long, action_taken string", "times array<double>"
-    )
+        blocks, "rule", ["t", "event_id"], fold, "event_id long, action_taken string",
+        "earlier array<double>, at double, n long",
+    )
 
 
 def outside_pauses(log: DataFrame) -> DataFrame:
