@@ -42,9 +42,11 @@ MAX_LINE_BYTES = 8192
 
 
 def masked(line: Column, masks: Sequence[tuple[str, str]]) -> Column:
+    """Variable parts replaced; lines with no digit and no hex run are left as they are."""
+    out = line
     for pattern, token in masks:
-        line = F.regexp_replace(line, pattern, token)
-    return line
+        out = F.regexp_replace(out, pattern, token)
+    return F.when(line.rlike(r"(?U)\d|[0-9a-fA-F]{8}"), out).otherwise(line)
 
 
 def short_hash(text: Column) -> Column:
@@ -73,17 +75,13 @@ def severity_name(rank: Column) -> Column:
 
 
 def any_of(text: Column, words: Sequence[str]) -> Column:
-    """Whether the text contains one of the words."""
-    test = text.contains(words[0])
-    for w in words[1:]:
-        test = test | text.contains(w)
-    return test
+    """Whether the text contains one of the words.
 
-
-def name_parts(name: Column) -> Column:
-    """Lower-case parts of a camelCase or snake_case name."""
-    spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")
-    return F.filter(F.split(F.lower(spaced), r"[_\-\s]+"), lambda x: x != "")
+    One pattern of quoted literals: the text (often an expression) is evaluated once,
+    not once per word, and most positions are rejected by their first character.
+    """
+    firsts = "".join(sorted({"\\" + w[0] if not w[0].isalnum() else w[0] for w in words}))
+    return text.rlike(f"(?=[{firsts}])(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")")
 
 
 def _grams(text: Column, sizes: Sequence[int]) -> Column:

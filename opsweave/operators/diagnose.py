@@ -60,23 +60,23 @@ ADVICE = {
 
 
 def pattern_matches(text: Column) -> Column:
-    """All matching patterns, most severe first: array of (severity, ord, id, category)."""
+    """All matching patterns, most severe first: array of (neg severity, ord, pattern, category).
+
+    One pattern over all keywords rejects most texts before any single pattern is tried.
+    """
     low = F.lower(text)
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    any_of(low, [k.lower() for k in words]),
-                    F.struct(
-                        F.lit(-sev).alias("neg"), F.lit(i).alias("ord"), F.lit(pid).alias("pattern"),
-                        F.lit(cat).alias("category"),
-                    ),
-                )
-                for i, (pid, cat, sev, words) in enumerate(PATTERNS)
-            ]
+    every = sorted({k.lower() for _, _, _, words in PATTERNS for k in words})
+    rows = [
+        F.when(
+            any_of(low, [k.lower() for k in words]),
+            F.struct(
+                F.lit(-sev).alias("neg"), F.lit(i).alias("ord"), F.lit(pid).alias("pattern"),
+                F.lit(cat).alias("category"),
+            ),
         )
-    )
-    return F.array_sort(found)
+        for i, (pid, cat, sev, words) in enumerate(PATTERNS)
+    ]
+    return F.when(any_of(low, every), F.array_sort(F.array_compact(F.array(*rows))))
 
 
 def first_pattern(text: Column) -> Column:

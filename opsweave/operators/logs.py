@@ -69,12 +69,12 @@ def pod_buckets(lines: DataFrame, order: Sequence[str] = ("ts", "line")) -> Data
 
 # Kernel line categories (first match) and severity words.
 KERNEL_CATEGORIES = (
-    ("oom", "(?i)Out of memory|oom-kill|oom_reaper|invoked oom-killer"),
-    ("io_error", "(?i)I/O error|Buffer I/O error|blk_update_request"),
-    ("segfault", "(?i)segfault|general protection fault"),
-    ("hardware", "(?i)Hardware Error|MCE|mce:|GHES"),
-    ("nfs", "(?i)nfs|NFSD|rpc_task"),
-    ("panic", "(?i)Kernel panic|BUG:"),
+    ("oom", ("out of memory", "oom-kill", "oom_reaper", "invoked oom-killer")),
+    ("io_error", ("i/o error", "buffer i/o error", "blk_update_request")),
+    ("segfault", ("segfault", "general protection fault")),
+    ("hardware", ("hardware error", "mce", "mce:", "ghes")),
+    ("nfs", ("nfs", "nfsd", "rpc_task")),
+    ("panic", ("kernel panic", "bug:")),
 )
 KERNEL_FATAL = ("emerg", "panic", "bug:", "oops")
 KERNEL_ERROR = ("err", "crit", "alert", "error")
@@ -88,10 +88,10 @@ def _host_templates(lines: DataFrame) -> DataFrame:
 
 def kernel_buckets(lines: DataFrame, order: Sequence[str] = ("ts", "line")) -> DataFrame:
     """Buckets per (hostname, template); category and severity of the first line."""
-    category = F.lit("other")
-    for label, pattern in reversed(KERNEL_CATEGORIES):
-        category = F.when(F.col("line").rlike(pattern), label).otherwise(category)
     low = F.lower("line")
+    category = F.lit("other")
+    for label, words in reversed(KERNEL_CATEGORIES):
+        category = F.when(any_of(low, words), label).otherwise(category)
     severity = (
         F.when(any_of(low, KERNEL_FATAL), "FATAL").when(any_of(low, KERNEL_ERROR), "ERROR").otherwise("WARN")
     )

@@ -65,10 +65,11 @@ def file_risk(df: DataFrame) -> Column:
 def change_size(df: DataFrame) -> Column:
     """Lines of the diff; a trailing line break does not start another line."""
     text = _given(df, "diff", "change")
-    body = F.regexp_replace(text, r"\r\n|[\x0B\f\r\x1c\x1d\x1e\x85\u2028\u2029]", "\n")
-    breaks = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
-    open_end = F.when(body.endswith("\n"), 0).otherwise(1)
-    return F.when(text == "", 0).otherwise(breaks + open_end)
+    lines = F.array(F.split(text, r"\r\n|[\n\x0B\f\r\x1c\x1d\x1e\x85\u2028\u2029]"))
+    open_end = F.transform(
+        lines, lambda x: F.size(x) - F.when(F.element_at(x, -1) == "", 1).otherwise(0)
+    )  # the lambda variable keeps the split from being evaluated twice
+    return F.get(open_end, F.lit(0))
 
 
 DEFAULT_SOURCES: dict[str, Source] = {"file_risk": file_risk, "change_size": change_size}

@@ -268,7 +268,8 @@ def _sql_patterns() -> str:
     SELECT pattern, category, CASE sev WHEN 3 THEN 'critical' WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, count(*) AS documents FROM m GROUP BY ALL""",
 )
 def document_patterns(spark, sf):
-    d = T.load(spark, sf, "documents").select(F.explode(D.pattern_matches(F.col("text"))).alias("p"))
+    d = T.load(spark, sf, "documents").select(D.pattern_matches(F.col("text")).alias("ps"))
+    d = d.select(F.explode("ps").alias("p"))
     return d.groupBy("p.pattern", "p.category", D.severity_label(F.col("p.neg")).alias("severity")).agg(F.count("*").alias("documents"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+ROWS_PER_PARTITION = 500_000
+
+
+@contextmanager
+def fixed_partitions(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plan without adaptive re-planning, for loops that reuse one partitioning.
+
+    Adaptive execution would merge the small exchanges of each round and so break
+    the co-location of the two sides; such loops split hot keys themselves. Small
+    inputs use fewer partitions than configured, never more.
+    """
+    wanted = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.codegen.useIdInClassName": "false",  # rounds share their compiled code
+        "spark.sql.shuffle.partitions": str(
+            max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PARTITION)))
+        ),
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
