@@ -19,6 +19,11 @@ def _levels(value: Column, *steps: tuple[float, str], otherwise: str | None = No
     return out
 
 
+def _mean(col: str, where: Column) -> Column:
+    """Mean of the chosen rows, added as decimals so that it does not depend on their order."""
+    return F.avg(F.when(where, F.col(col).cast("decimal(28,6)"))).cast("double")
+
+
 # --- counter deltas -----------------------------------------------------------------
 
 
@@ -296,7 +301,7 @@ def uptime_summary(probes: DataFrame, keys: Sequence[str]) -> DataFrame:
     base = probes.groupBy(*keys).agg(
         F.count("*").alias("total_probes"),
         F.count_if(~F.col("reachable")).alias("down_probes"),
-        F.avg(F.when(F.col("reachable"), F.col("avg_ms"))).alias("avg_latency"),
+        _mean("avg_ms", F.col("reachable")).alias("avg_latency"),
         F.max(F.when(F.col("reachable"), F.col("avg_ms"))).alias("max_latency"),
     )
     runs = _runs(probes, keys, F.col("reachable"))
@@ -320,9 +325,9 @@ def network_report(hops: DataFrame, keys: Sequence[str], width: float = 1.0) ->
     """Gateway and external averages and exact p95 jitter with the verdict."""
     keys = list(keys)
     base = hops.groupBy(*keys).agg(
-        F.avg(F.when(F.col("hop") == "gateway", F.col("avg_ms"))).alias("gw_avg"),
+        _mean("avg_ms", F.col("hop") == "gateway").alias("gw_avg"),
         F.max(F.when(F.col("hop") == "gateway", F.col("avg_ms"))).alias("gw_max"),
-        F.avg(F.when(F.col("hop") == "external", F.col("avg_ms"))).alias("ext_avg"),
+        _mean("avg_ms", F.col("hop") == "external").alias("ext_avg"),
         F.max(F.when(F.col("hop") == "external", F.col("avg_ms"))).alias("ext_max"),
     )
     p95 = nth_value(hops, [*keys, "hop"], "jitter_ms", 0.95, width)

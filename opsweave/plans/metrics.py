@@ -269,7 +269,7 @@ def degradations(spark, sf):
     s AS (SELECT host, target, run, min(ts) AS st FROM r WHERE NOT reachable GROUP BY ALL),
     o AS (SELECT s.host, s.target, count(*) AS outages, sum(r.ts - s.st)::BIGINT AS downtime FROM s JOIN r ON r.host = s.host AND r.target = s.target AND r.run = s.run + 1 AND r.reachable GROUP BY ALL)
     SELECT p.host, p.target, count(*) AS total_probes, count(*) FILTER (NOT reachable) AS down_probes, count(*) FILTER (reachable) AS up_probes,
-      round(count(*) FILTER (reachable) / count(*) * 100, 4) AS uptime_pct, round(coalesce(avg(avg_ms) FILTER (reachable), 0), 4) AS avg_latency_ms, coalesce(max(avg_ms) FILTER (reachable), 0) AS max_latency_ms,
+      round(count(*) FILTER (reachable) / count(*) * 100, 4) AS uptime_pct, round(coalesce(avg(CAST(avg_ms AS DECIMAL(18,2))) FILTER (reachable), 0), 4) AS avg_latency_ms, coalesce(max(avg_ms) FILTER (reachable), 0) AS max_latency_ms,
       coalesce(any_value(outages), 0) AS outages, coalesce(any_value(downtime), 0) AS downtime FROM probes p LEFT JOIN o USING (host, target) GROUP BY ALL""",
 )
 def uptime(spark, sf):
@@ -293,7 +293,7 @@ def hops(spark, sf):
 @query(
     "metric_network_report",
     "MET15",
-    f"""WITH {SQL_HOPS}, p AS (SELECT host, hop, avg(avg_ms) AS a, max(avg_ms) AS m, list_sort(list(jitter_ms))[floor(count(*) * 0.95)::BIGINT + 1] AS j FROM hops GROUP BY ALL),
+    f"""WITH {SQL_HOPS}, p AS (SELECT host, hop, avg(CAST(avg_ms AS DECIMAL(18,2))) AS a, max(avg_ms) AS m, list_sort(list(jitter_ms))[floor(count(*) * 0.95)::BIGINT + 1] AS j FROM hops GROUP BY ALL),
     w AS (SELECT host, max(a) FILTER (hop = 'gateway') AS gw_avg, max(m) FILTER (hop = 'gateway') AS gw_max, max(a) FILTER (hop = 'external') AS ext_avg, max(m) FILTER (hop = 'external') AS ext_max,
       max(j) FILTER (hop = 'gateway') AS gw_p95_jitter, max(j) FILTER (hop = 'external') AS ext_p95_jitter FROM p GROUP BY host)
     SELECT host, round(gw_avg, 4) AS gw_avg, gw_max, round(ext_avg, 4) AS ext_avg, ext_max, gw_p95_jitter, ext_p95_jitter,
