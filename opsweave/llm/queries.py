@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsweave.llm import licenses, secrets
+from opsweave.llm import licenses, mixing, secrets, urls
 from opsweave.llm.common import load
 
 
@@ -18,7 +18,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(load(spark, sf_dir, "documents")))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(load(spark, sf_dir, "documents")))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(load(spark, sf_dir, "pages"), urls.outcomes_of(load(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_license_scan)
+    f.__name__: f for f in (op1_secret_scan, op3_license_scan, op5_source_mix, op9_url_filter)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_source_mix": mixing.SQL, "op9_url_filter": urls.SQL}
