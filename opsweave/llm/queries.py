@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsweave.llm import licenses, mixing, secrets, toxicity, urls
+from opsweave.llm import decontaminate, licenses, mixing, secrets, toxicity, urls
 from opsweave.llm.common import load
 
 
@@ -28,11 +28,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rejected(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the place."""
+    return decontaminate.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(load(spark, sf_dir, "pages"), urls.outcomes_of(load(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_license_scan, op5_source_mix, op6_toxicity, op9_url_filter)
+    f.__name__: f for f in (op1_secret_scan, op3_license_scan, op5_source_mix, op6_toxicity, op8_decontaminate, op9_url_filter)
 }
 SQL: dict[str, str] = {"op5_source_mix": mixing.SQL, "op9_url_filter": urls.SQL}
