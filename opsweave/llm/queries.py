@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsweave.llm import decontaminate, licenses, mixing, secrets, toxicity, urls
+from opsweave.llm import decontaminate, licenses, mixing, ngram_join, secrets, toxicity, urls
 from opsweave.llm.common import load
 
 
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(load(spark, sf_dir, "documents")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(load(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(load(spark, sf_dir, "documents")))
 
@@ -38,6 +42,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_license_scan, op5_source_mix, op6_toxicity, op8_decontaminate, op9_url_filter)
+    f.__name__: f for f in (
+        op1_secret_scan, op2_ngram_join, op3_license_scan, op5_source_mix, op6_toxicity, op8_decontaminate, op9_url_filter,
+    )
 }
 SQL: dict[str, str] = {"op5_source_mix": mixing.SQL, "op9_url_filter": urls.SQL}
