@@ -7,11 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROWS_PER_BATCH = 1000
-#: ASCII white space is what bytes.split() splits on: 0x20 and 0x09-0x0D.
-BLANK_CUT = r"[^\x20\x09-\x0D]+"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +36,18 @@ def map_rows(df: DataFrame, fn: Callable[[tuple], Iterator[tuple]], schema: str)
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], np.ndarray]) -> DataFrame:
+    """The rows whose texts ``keep`` marks, batch by batch, with all columns as they are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -61,7 +70,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(31)
     return x
 
-
-def one_of(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows in one defined order per key: the smallest row of each key."""
-    return df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in df.columns if c not in keys])

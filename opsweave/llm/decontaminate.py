@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsweave.llm.common import ROWS_PER_BATCH, mix64
+from opsweave.llm.common import ROWS_PER_BATCH, keep_rows, mix64
 
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -284,18 +284,15 @@ def keep_clean(
     similarity: float = SIMILARITY, recall: float = RECALL, slice_chars: int = SLICE_CHARS,
 ) -> DataFrame:
     """The rows whose text no item contaminates, with all their columns; no shuffle and no join."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    at = docs.columns.index(text_col)
 
-    def dropper(index: Index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[r[0] for r in index.find(batch.column(at).to_pylist())]] = False
-                yield batch.filter(pa.array(keep))
+    def clean(index: Index):
+        def keep(texts: list) -> np.ndarray:
+            mask = np.ones(len(texts), dtype=bool)
+            mask[[r[0] for r in index.find(texts)]] = False
+            return mask
 
-        return run
+        return keep
 
     for items in _slices(benchmark, item_col, text_col, slice_chars):
-        docs = docs.mapInArrow(dropper(Index(items, similarity, recall)), docs.schema)
+        docs = keep_rows(docs, text_col, clean(Index(items, similarity, recall)))
     return docs

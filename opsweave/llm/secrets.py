@@ -18,10 +18,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsweave.llm.common import map_rows
+from opsweave.llm.common import ROWS_PER_BATCH, map_rows
 
 KINDS = ("assign", "access", "hex", "pair", "flow")
 _ASSIGN = re.compile(
@@ -159,6 +160,26 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
     return "".join(out) + text[at:]
 
 
+def redact_all(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """All rows with their secrets replaced; ``chars_col``, if there, counts the new text's code points
+    in the rows that changed. Every other column stays as it is."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    at, schema = docs.columns.index(text_col), docs.schema
+    chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, cols = batch.column(at).to_pylist(), list(batch.columns)
+            new = [redact(t) for t in old]
+            cols[at] = pa.array(new, cols[at].type)
+            if chars is not None:
+                kept = zip(old, new, cols[chars].to_pylist())
+                cols[chars] = pa.array([n if a == b else len(b) for a, b, n in kept], cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts by kind, the digest of the plain spans and all spans as text."""
     plain = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsweave.llm.common import map_rows
+from opsweave.llm.common import keep_rows, map_rows
 from opsweave.session import cut_lineage
 
 FIT_ROWS = 10_000
@@ -233,12 +233,10 @@ def rejected(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 
 def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """The rows that are not toxic, with all their columns and nothing else; no shuffle."""
-    run, names = scorer(chain), docs.columns
-    at, toxic = names.index(text_col), CHAIN.index("toxic")
+    run, toxic = scorer(chain), CHAIN.index("toxic")
 
-    def one(row) -> Iterator[tuple]:
-        p, n_words = run(row[at])
-        if not (n_words and p[toxic] >= chain.thresholds[toxic]):
-            yield row
+    def keep(texts: list) -> np.ndarray:
+        scored = [run(t) for t in texts]
+        return np.array([not (n and p[toxic] >= chain.thresholds[toxic]) for p, n in scored], dtype=bool)
 
-    return map_rows(docs, one, docs.schema.simpleString()[len("struct<") : -1])
+    return keep_rows(docs, text_col, keep)
