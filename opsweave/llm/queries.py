@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsweave.llm import decontaminate, licenses, mixing, ngram_join, secrets, toxicity, urls
+from opsweave.llm import decontaminate, licenses, mixing, ngram_join, secrets, suffix_dedup, toxicity, urls
 from opsweave.llm.common import load
 
 
@@ -22,6 +22,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(load(spark, sf_dir, "documents")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a passage of 50 words or more with another, with the spans."""
+    return suffix_dedup.digest(suffix_dedup.find(load(spark, sf_dir, "documents")))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(load(spark, sf_dir, "documents")))
 
@@ -43,7 +48,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_scan, op2_ngram_join, op3_license_scan, op5_source_mix, op6_toxicity, op8_decontaminate, op9_url_filter,
+        op1_secret_scan, op2_ngram_join, op3_license_scan, op4_suffix_dedup, op5_source_mix, op6_toxicity, op8_decontaminate, op9_url_filter,
     )
 }
 SQL: dict[str, str] = {"op5_source_mix": mixing.SQL, "op9_url_filter": urls.SQL}
