@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsweave.llm import decontaminate, licenses, mixing, ngram_join, secrets, suffix_dedup, toxicity, urls
+from opsweave.llm import decontaminate, extract, licenses, mixing, ngram_join, secrets, suffix_dedup, toxicity, urls
 from opsweave.llm.common import load
 
 
@@ -46,9 +46,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(load(spark, sf_dir, "pages"), urls.outcomes_of(load(spark, sf_dir, "labels")))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(load(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_ngram_join, op3_license_scan, op4_suffix_dedup, op5_source_mix, op6_toxicity, op8_decontaminate, op9_url_filter,
+        op10_html_extract,
     )
 }
 SQL: dict[str, str] = {"op5_source_mix": mixing.SQL, "op9_url_filter": urls.SQL}
