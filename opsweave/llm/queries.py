@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opsweave.llm import decontaminate, extract, licenses, mixing, ngram_join, secrets, suffix_dedup, toxicity, urls
+from opsweave.llm import decontaminate, extract, licenses, mixing, ngram_join, secrets, suffix_dedup, topk, toxicity, urls
 from opsweave.llm.common import load
 
 
@@ -37,6 +38,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rejected(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and the place."""
     return decontaminate.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -52,8 +58,8 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_scan, op2_ngram_join, op3_license_scan, op4_suffix_dedup, op5_source_mix, op6_toxicity, op8_decontaminate, op9_url_filter,
+        op1_secret_scan, op2_ngram_join, op3_license_scan, op4_suffix_dedup, op5_source_mix, op6_toxicity, op7_top_k, op8_decontaminate, op9_url_filter,
         op10_html_extract,
     )
 }
-SQL: dict[str, str] = {"op5_source_mix": mixing.SQL, "op9_url_filter": urls.SQL}
+SQL: dict[str, str] = {"op5_source_mix": mixing.SQL, "op7_top_k": topk.SQL, "op9_url_filter": urls.SQL}
