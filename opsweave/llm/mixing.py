@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsweave.llm.common import fresh
 from opsweave.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -134,12 +135,14 @@ def mix(
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix with all their columns and ``taken``, ``copies`` and ``starts_at``
     (any columns of those names are replaced). One row per taken row; copies are a count."""
+    docs = docs.drop("taken", "copies", "starts_at")
+    key, dup, size = (fresh(docs, c) for c in ("_id", "_dup", "_size"))
     got = mix(docs, id_col, text_col, source_col).where("taken > 0")
-    got = got.select(F.col(id_col).alias("_id"), F.col("dup").alias("_dup"), "taken", "copies", "starts_at")
-    own = docs.drop("taken", "copies", "starts_at").withColumn("_size", word_count(F.col(text_col)))
-    own = own.withColumn("_nr", F.row_number().over(Window.partitionBy(id_col).orderBy(source_col, "_size")))
-    both = own.join(got, own[id_col].eqNullSafe(got["_id"]) & (own["_nr"] == got["_dup"]))
-    return both.drop("_id", "_dup", "_nr", "_size")
+    got = got.select(F.col(id_col).alias(key), F.col("dup").alias(dup), "taken", "copies", "starts_at")
+    nr = F.row_number().over(Window.partitionBy(id_col).orderBy(source_col, size))
+    own = docs.withColumn(size, word_count(F.col(text_col))).withColumn("starts_at", nr)
+    both = own.join(got, own[id_col].eqNullSafe(got[key]) & (own["starts_at"] == got[dup]))
+    return both.select(*[own[c] for c in docs.columns], "taken", "copies", got["starts_at"])
 
 
 def digest(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

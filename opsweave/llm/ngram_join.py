@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsweave.llm.common import map_rows, mix64, words_of
+from opsweave.llm.common import fresh, map_rows, mix64, words_of
 from opsweave.llm.components import components
 from opsweave.session import cut_lineage
 
@@ -262,7 +262,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of each component, the one with the smallest id; all columns stay. Of rows that repeat
     an id, the one with the smallest text stays."""
     kept = join(docs, id_col, text_col).where(F.col("component_id").eqNullSafe(F.col(id_col)))
-    kept = kept.select(F.col(id_col).alias("_k")).distinct()
-    nr = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    own = docs.withColumn("_nr", nr).where("_nr = 1").drop("_nr")
-    return own.join(kept, own[id_col].eqNullSafe(kept["_k"]), "left_semi").select(*docs.columns)
+    key, nr = fresh(docs, "_kept"), fresh(docs, "_nr")
+    kept = kept.select(F.col(id_col).alias(key)).distinct()
+    order = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    own = docs.withColumn(nr, order).where(F.col(nr) == 1)
+    return own.join(kept, own[id_col].eqNullSafe(kept[key]), "left_semi").select(*docs.columns)

@@ -76,11 +76,11 @@ def spread(groups: DataFrame) -> DataFrame:
         F.count("*").alias("g"), F.sum("n").alias("n"), F.sum("s").alias("s"),
         F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("s") * p).alias("sp"),
     )
-    m = F.col("s") / F.col("n")
-    between = (F.col("sp") - F.col("s") * m) / (F.col("g") - 1)
-    inside = (F.col("s") - F.col("sp")) / (F.col("n") - F.col("g"))
-    usual = (F.col("n") - F.col("nn") / F.col("n")) / (F.col("g") - 1)
-    rho = (between - inside) / (between + (usual - 1) * inside)
+    m = F.try_divide("s", "n")
+    between = F.try_divide(F.col("sp") - F.col("s") * m, F.col("g") - 1)
+    inside = F.try_divide(F.col("s") - F.col("sp"), F.col("n") - F.col("g"))
+    usual = F.try_divide(F.col("n") - F.try_divide("nn", "n"), F.col("g") - 1)
+    rho = F.try_divide(between - inside, between + (usual - 1) * inside)
     known = (F.col("g") > 1) & (F.col("n") > F.col("g")) & rho.isNotNull() & ~F.isnan(rho)
     rho = F.when(known, F.least(F.greatest(rho, F.lit(WEAKEST)), F.lit(STRONGEST))).otherwise(0.01)
     return sums.select((1 / rho - 1).alias("k"), m.alias("m"))
