@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsweave.functions.sizes import broadcast_if_small
 from opsweave.session import cut_lineage
 
 # Mask patterns in their order.
@@ -102,6 +101,10 @@ def _grams(text: Column, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.get(bound, F.lit(0)))
 
 
+#: Filed needles (with their row overhead) that may be broadcast.
+BROADCAST_BYTES = 16_000_000
+
+
 def contains_join(
     texts: DataFrame,
     text: str,
@@ -112,14 +115,15 @@ def contains_join(
 ) -> DataFrame:
     """Exact substring join: rows of ``texts`` whose ``text`` contains ``needle``.
 
-    Every needle is filed under its rarest 4-gram; a text looks up its own grams
-    and candidates are then verified. Work follows the text length and the real
-    candidates, not the product of the two sides. Needles under four characters
-    are found by equality with the grams of their own length; those under
-    ``min_length`` never match. ``on`` columns must be equal on both sides.
+    Every needle is filed under its rarest 4-gram. A text sends out only its own hash with the hashes of
+    its grams; the (text hash, needle) pairs found there meet the text once and are verified. Work follows
+    the text length and the real candidates, not the product of the two sides, and no text is copied per
+    gram. Needles under four characters are found by equality with the grams of their own length; those
+    under ``min_length`` never match. ``on`` columns must be equal on both sides. The filed needles are
+    broadcast after a check of their size; beyond it both sides are sorted, which splits hot grams.
     """
     on = list(on)
-    needles = cut_lineage(needles)  # read several times below
+    columns = [c for c in needles.columns if c not in on]
     keyed = needles.where(F.length(needle) >= 4)
     each = keyed.select(*on, needle, F.explode(_grams(F.col(needle), [4])).alias("_gram")).distinct()
     spread = each.groupBy("_gram").agg(F.count("*").alias("_n"))
@@ -128,12 +132,21 @@ def contains_join(
         .groupBy(*on, needle)
         .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
     )
-    filed = keyed.join(anchor, [*on, needle])
+    filed = keyed.select(*on, needle).distinct().join(anchor, [*on, needle])
     lengths = [4]
     if min_length < 4:
         short = needles.where(F.length(needle).between(max(min_length, 1), 3))
-        filed = filed.unionByName(short.withColumn("_gram", F.col(needle)))
+        filed = filed.unionByName(short.select(*on, needle).distinct().withColumn("_gram", F.col(needle)))
         lengths = list(range(max(min_length, 1), 5))
-    looked = texts.withColumn("_gram", F.explode(_grams(F.col(text), lengths)))
-    hit = looked.join(broadcast_if_small(cut_lineage(filed)), [*on, "_gram"])
-    return hit.where(F.col(text).contains(F.col(needle))).drop("_gram")
+    filed = cut_lineage(filed.select(*on, needle, F.xxhash64("_gram").alias("_gram")))
+    size = filed.agg(F.sum(F.length(needle) + 32)).collect()[0][0] or 0
+    grams = F.explode(F.transform(_grams(F.col(text), lengths), lambda g: F.xxhash64(g)))
+    own = F.xxhash64(*on, text)
+    looked = texts.select(*on, own.alias("_hash"), grams.alias("_gram"))
+    small = F.broadcast(filed) if size <= BROADCAST_BYTES else filed.hint("merge")
+    pairs = looked.join(small, [*on, "_gram"]).select(*on, "_hash", needle).distinct()
+    hit = texts.withColumn("_hash", own).join(pairs.hint("merge"), [*on, "_hash"])
+    hit = hit.where(F.col(text).contains(F.col(needle))).drop("_hash")
+    if columns == [needle]:
+        return hit
+    return hit.join(needles, [*on, needle])

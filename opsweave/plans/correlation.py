@@ -188,7 +188,8 @@ def evaluations(spark, sf):
 
 
 SQL_EVALS = f"""{SQL_EVENTS}, evals AS (SELECT 'alert:' || user_id % 10 AS alert_id, (floor(t / 600) * 600)::DOUBLE AS cycle,
-     max(CASE user_id % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END) AS severity FROM ev GROUP BY 1, 2),
+     CASE max(CASE user_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END) WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' ELSE 'info' END AS severity
+     FROM ev GROUP BY 1, 2),
   cyc AS (SELECT cycle, row_number() OVER (ORDER BY cycle) AS no FROM (SELECT DISTINCT cycle FROM evals)),
   num AS (SELECT alert_id, cycle, severity, no, no - 1 IS DISTINCT FROM lag(no) OVER (PARTITION BY alert_id ORDER BY no) AS is_new,
      row_number() OVER (PARTITION BY alert_id ORDER BY no) AS rn FROM evals JOIN cyc USING (cycle))"""

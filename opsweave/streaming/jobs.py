@@ -72,15 +72,28 @@ def once_per_event(events: DataFrame, key: str = "event_id", delay: str = "10 mi
 
 
 def caused_by(logs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Stream-stream form of the change correlation: change in [t - 120 s, t + 10 s]."""
+    """Stream-stream form of the change correlation: change in [t - 120 s, t + 10 s].
+
+    A change without a namespace concerns all of them: such changes are joined by ten-second steps of
+    time instead, each log event looking at the steps its interval touches.
+    """
     left = logs.withWatermark("event_time", "10 seconds")
     right = changes.where("label <> ''").withWatermark("change_time", "120 seconds")
     near = (
-        (F.col("change_namespace") == F.col("namespace"))
+        (F.col("_ns") == F.col("_change_ns"))
         & (F.col("change_time") >= F.col("event_time") - F.expr("interval 120 seconds"))
         & (F.col("change_time") <= F.col("event_time") + F.expr("interval 10 seconds"))
     )
-    return left.join(right, near, "inner").withColumn("confidence", F.lit("candidate"))
+    step = F.floor(F.unix_seconds("change_time") / 10)
+    everywhere = F.col("change_namespace") == ""
+    right = right.withColumn("_change_ns", F.when(everywhere, F.concat(F.lit("@"), step)).otherwise(F.concat(F.lit("="), "change_namespace")))
+    t = F.unix_seconds("event_time")
+    steps = F.transform(
+        F.sequence(F.floor((t - 121) / 10), F.floor((t + 11) / 10)), lambda s: F.concat(F.lit("@"), s.cast("string"))
+    )
+    left = left.withColumn("_ns", F.explode(F.concat(F.array(F.concat(F.lit("="), "namespace")), steps)))
+    pairs = left.join(right, near, "inner").drop("_ns", "_change_ns")
+    return pairs.withColumn("confidence", F.lit("candidate"))
 
 
 def _stateful(df: DataFrame, key: str, order: list[str], fold, out: str, state: str) -> DataFrame:

@@ -105,13 +105,13 @@ def test_live_buckets(spark):
 def test_caused_by(spark):
     logs, changes = PC.logs_and_changes(spark, SF)
     logs = logs.withColumn("event_time", J.timestamp_of(F.col("ts") / 50))
-    changes = changes.where("change_namespace <> ''").withColumn("change_time", J.timestamp_of(F.col("change_ts") / 50))
+    changes = changes.withColumn("change_time", J.timestamp_of(F.col("change_ts") / 50))
     want = C.caused_by(logs.withColumn("ts", F.col("ts") / 50), changes.withColumn("change_ts", F.col("change_ts") / 50))
     folder = tempfile.mkdtemp(prefix="opsweave-stream-")
     changes.coalesce(1).write.parquet(f"{folder}/changes")
     source = spark.readStream.schema(changes.schema).parquet(f"{folder}/changes")
     out = streamed(spark, logs, lambda s: J.caused_by(s, source))
-    assert want.count() > 10
+    assert want.count() > 10 and want.where("change_namespace = ''").count() > 0
     same(out, want, "event_id", "change_id")
 
 
