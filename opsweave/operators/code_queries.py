@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsweave.functions.ordered import top_k
 from opsweave.functions.text import contains_join
-from opsweave.operators.graph_algos import reach
+from opsweave.operators.graph_algos import reach, reach_sizes
 
 # Frames: functions(id, name, file, line, …), calls(src, dst) on ids,
 # modified(commit, fn, author, date, message), changes(commit, file, change, author, date, message).
@@ -54,14 +54,14 @@ def impact_level(functions: Column, files: Column) -> Column:
 
 def blast_radius(calls: DataFrame, functions: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
     """Direct and transitive callers of every target ``(id)``, affected files and level."""
-    seen = reach(calls, targets.select(F.col("id").alias("start")), depth, reverse=True)
-    where = functions.select(F.col("id").alias("node"), "file")
-    per = seen.join(where, "node", "left").groupBy("start").agg(
-        F.count_if(F.col("depth") == 1).alias("direct"),
-        F.count("*").alias("dependents"),
-        F.countDistinct("file").alias("files"),
-    )
-    out = targets.select("id").distinct().join(per.withColumnRenamed("start", "id"), "id", "left")
+    first = functions.groupBy("file").agg(F.min("id").alias("mark"))  # a file's number: its first function
+    marks = functions.select("id", "file").join(first, "file").select("id", "mark")
+    out = targets.select("id").distinct()
+    for part in (
+        reach_sizes(calls, 1, name="direct"), reach_sizes(calls, depth, name="dependents"),
+        reach_sizes(calls, depth, marks, "files"),
+    ):
+        out = out.join(part, "id", "left")
     out = out.fillna(0, ["direct", "dependents", "files"])
     return out.withColumn("level", impact_level(F.col("dependents"), F.col("files")))
 
@@ -81,7 +81,7 @@ def resolve_names(asked: DataFrame, functions: DataFrame) -> DataFrame:
     a = asked.select("asked").distinct()
     exact = a.join(f, F.col("asked") == F.col("name")).select("asked", F.lit(0).alias("how"), "name", "id")
     loose = a.join(f, F.lower("asked") == F.lower("name")).select("asked", F.lit(1).alias("how"), "name", "id")
-    ends = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), i, 10_000))
+    ends = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.col("name"), i))
     tails = f.select("id", "name", F.explode(ends).alias("asked"))
     suffix = a.join(tails, "asked").select("asked", F.lit(2).alias("how"), "name", "id")
     every = exact.unionByName(loose).unionByName(suffix)
@@ -142,10 +142,11 @@ def file_skeleton(entities: DataFrame) -> DataFrame:
 
 
 def module_exports(functions: DataFrame, k: int = 100) -> DataFrame:
-    """Public names per file."""
+    """Public names per file: how many, and the first ``k``."""
     public = functions.where(~F.col("name").startswith("_")).select("file", "name").distinct()
+    n = public.groupBy("file").agg(F.count("*").alias("n"))
     few = top_k(public, ["file"], [F.col("name")], k)
-    return few.groupBy("file").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
+    return n.join(few.groupBy("file").agg(F.array_sort(F.collect_list("name")).alias("names")), "file")
 
 
 def import_tree(file_edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
@@ -208,8 +209,7 @@ def resolves_to(entities: DataFrame, references: DataFrame, symbol: str) -> Data
 def risk_scores(calls: DataFrame, modified: DataFrame, targets: DataFrame) -> DataFrame:
     """Risk of changing each target: callers within three steps (0-4), few
     contributors (0-3), fix commits (0-1); shown out of ten."""
-    seen = reach(calls, targets.select(F.col("id").alias("start")), 3, reverse=True)
-    blast = seen.groupBy(F.col("start").alias("id")).agg(F.count("*").alias("transitive"))
+    blast = reach_sizes(calls, 3, name="transitive")
     fix = F.lower("message").contains("fix")
     mine = modified.withColumnRenamed("fn", "id").join(targets.select("id").distinct(), "id", "left_semi")
     hist = mine.groupBy("id").agg(F.countDistinct("author").alias("authors"), F.count_if(fix).alias("fixes"))
@@ -228,10 +228,7 @@ def risk_scores(calls: DataFrame, modified: DataFrame, targets: DataFrame) -> Da
 
 def pre_change_warning(calls: DataFrame, modified: DataFrame, targets: DataFrame) -> DataFrame:
     """Callers, last touch, top maintainers and the warnings that follow."""
-    seen = reach(calls, targets.select(F.col("id").alias("start")), 3, reverse=True)
-    blast = seen.groupBy(F.col("start").alias("id")).agg(
-        F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("transitive")
-    )
+    blast = reach_sizes(calls, 1, name="direct").join(reach_sizes(calls, 3, name="transitive"), "id")
     mine = modified.withColumnRenamed("fn", "id").join(targets.select("id").distinct(), "id", "left_semi")
     last = mine.groupBy("id").agg(
         F.max("date").alias("last_date"), F.max_by("author", F.struct("date", "commit")).alias("last_author")

@@ -398,7 +398,7 @@ def upstream_trace(spark, sf):
     name = F.replace(F.col("name"), F.lit("red_"), F.lit("validate_"))
     renamed = f.withColumn("name", name)
     return D.upstream_trace(
-        f.where("line <= 10"), renamed, T.call_pairs(spark, sf, True), edges.withColumn("name", name), f.where("line > 45")
+        f.where("line <= 10"), renamed, T.call_pairs(spark, sf), edges.withColumn("name", name), f.where("line > 45")
     )
 
 

@@ -14,9 +14,8 @@ SQL_FN = """fn AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') || '_' || p
     'src/' || replace(p_brand, '#', '/') || '/m' || p_size || '.py' AS file, p_size AS line FROM part)"""
 
 
-def sql_calls(returned: bool = False) -> str:
-    src = "(SELECT * FROM lineitem WHERE l_returnflag = 'R')" if returned else "lineitem"
-    return f"""calls AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {src} a JOIN {src} b
+def sql_calls() -> str:
+    return """calls AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
     ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
 
 
@@ -53,7 +52,7 @@ def small_index(spark, sf):
     file = T.functions(spark, sf).select("id", "file", "line")
     ent = p.select(F.col("p_partkey").alias("id"), name.alias("name")).join(file, "id")
     ent = ent.select(F.lit("function").alias("kind"), "id", "name", "file", "line")
-    c = T.call_pairs(spark, sf, returned_only=True)
+    c = T.call_pairs(spark, sf)
     a = ent.select(F.col("id").alias("src"), F.col("name").alias("an"), F.col("file").alias("af"), F.col("line").alias("al"))
     b = ent.select(F.col("id").alias("dst"), F.col("name").alias("bn"), F.col("line").alias("bl"))
     j = c.join(a, "src").join(b, "dst")
@@ -65,7 +64,7 @@ def small_index(spark, sf):
     return ent, sites
 
 
-SQL_INDEX = f"""{SQL_FN}, ent AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS name, fn.file, fn.line FROM part JOIN fn ON fn.id = p_partkey), {sql_calls(True)},
+SQL_INDEX = f"""{SQL_FN}, ent AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS name, fn.file, fn.line FROM part JOIN fn ON fn.id = p_partkey), {sql_calls()},
   sites AS (SELECT DISTINCT CASE WHEN a.line > 45 THEN 'run_' || a.name ELSE a.name END AS caller_name, CASE WHEN a.line < 5 THEN 'gone.py' ELSE a.file END AS caller_file,
      CASE WHEN b.line > 40 THEN 'lib_' || b.name ELSE b.name END AS callee_name FROM calls JOIN ent a ON a.id = src JOIN ent b ON b.id = dst),
   fns AS (SELECT name, file, min(line) AS line FROM ent GROUP BY ALL), firsts AS (SELECT name, arg_min(file, (file, line)) AS ff FROM fns GROUP BY 1),
@@ -101,7 +100,7 @@ def imports(spark, sf):
     f = T.functions(spark, sf)
     a = f.select(F.col("id").alias("src"), F.col("file").alias("file"), F.col("line").alias("al"))
     b = f.select(F.col("id").alias("dst"), F.col("name").alias("bn"), F.col("file").alias("bf"))
-    j = T.call_pairs(spark, sf, returned_only=True).join(a, "src").join(b, "dst")
+    j = T.call_pairs(spark, sf).join(a, "src").join(b, "dst")
     module = F.regexp_replace("bf", r"\.py$", "")
     source = (
         F.when(F.col("al") % 3 == 0, F.concat(F.lit("./../"), F.regexp_replace(module, "^src/Brand/", "")))
@@ -116,7 +115,7 @@ def packages(spark, sf):
     return r.select(F.lit("@shop/brands").alias("package"), F.lit("src/Brand").alias("dir"))
 
 
-SQL_IMPORTS = f"""{SQL_FN}, {sql_calls(True)}, imp AS (SELECT a.file AS importer, b.name, CASE WHEN a.line % 3 = 2 THEN 'numpy'
+SQL_IMPORTS = f"""{SQL_FN}, {sql_calls()}, imp AS (SELECT a.file AS importer, b.name, CASE WHEN a.line % 3 = 2 THEN 'numpy'
       WHEN a.line % 3 = 0 THEN regexp_replace(b.file, '\\.py$', '') ELSE regexp_replace(b.file, '\\.py$', '') END AS resolved
       FROM calls JOIN fn a ON a.id = src JOIN fn b ON b.id = dst),
   edges AS (SELECT DISTINCT importer, imp.name, fn.file FROM imp JOIN fn ON fn.name = imp.name AND starts_with(fn.file, imp.resolved))"""
@@ -141,13 +140,13 @@ def functions_with_bodies(spark, sf):
     """Bodies name the called functions of the sparse graph (in upper case when odd)."""
     f = T.functions(spark, sf)
     b = f.select(F.col("id").alias("dst"), F.col("name").alias("bn"))
-    c = T.call_pairs(spark, sf, returned_only=True).join(b, "dst")
+    c = T.call_pairs(spark, sf).join(b, "dst")
     word = F.when(F.col("dst") % 2 == 1, F.upper("bn")).otherwise(F.col("bn"))
     bodies = c.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(word)), "(); ").alias("body"))
     return f.join(bodies, "id", "left").fillna("", ["body"])
 
 
-SQL_BODIES = f"""{SQL_FN}, {sql_calls(True)}, bodies AS (SELECT src AS id, string_agg(CASE WHEN dst % 2 = 1 THEN upper(name) ELSE name END, '(); ' ORDER BY CASE WHEN dst % 2 = 1 THEN upper(name) ELSE name END) AS body
+SQL_BODIES = f"""{SQL_FN}, {sql_calls()}, bodies AS (SELECT src AS id, string_agg(CASE WHEN dst % 2 = 1 THEN upper(name) ELSE name END, '(); ' ORDER BY CASE WHEN dst % 2 = 1 THEN upper(name) ELSE name END) AS body
     FROM calls JOIN fn ON fn.id = dst GROUP BY 1), fb AS (SELECT fn.*, coalesce(body, '') AS body FROM fn LEFT JOIN bodies USING (id))"""
 
 
@@ -241,17 +240,7 @@ def references_by_file(spark, sf):
     UNION SELECT id, 'body', who FROM br WHERE rn <= 20""",
 )
 def where_used(spark, sf):
-    return Q.where_used(T.call_pairs(spark, sf, True), import_edges(spark, sf), functions_with_bodies(spark, sf))
-
-
-def brand_hubs(spark, sf, calls):
-    """The most called function of every brand."""
-    n = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-    p = T.load(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand")
-    return n.join(p, "id").groupBy("p_brand").agg(F.max_by("id", F.struct("n", "id")).alias("id")).select("id")
-
-
-SQL_HUBS = """n AS (SELECT dst AS id, count(*) AS n FROM calls GROUP BY 1), hubs AS (SELECT arg_max(id, (n, id)) AS id FROM n JOIN part ON p_partkey = id GROUP BY p_brand)"""
+    return Q.where_used(T.call_pairs(spark, sf), import_edges(spark, sf), functions_with_bodies(spark, sf))
 
 
 def sql_reach(targets: str, depth: int) -> str:
@@ -263,25 +252,26 @@ def sql_reach(targets: str, depth: int) -> str:
 @query(
     "code_blast_radius",
     "GRA9 REL10",
-    f"""WITH RECURSIVE {SQL_FN}, {sql_calls()}, {SQL_HUBS}, {sql_reach("hubs", 3)},
-    a AS (SELECT start, count(*) FILTER (d = 1) AS direct, count(*) AS dependents, count(DISTINCT file) AS files FROM m LEFT JOIN fn ON fn.id = node GROUP BY 1)
-    SELECT start AS id, direct, dependents, files, CASE WHEN dependents >= 10 OR files >= 5 THEN 'Critical' WHEN dependents >= 5 OR files >= 3 THEN 'High' WHEN dependents >= 2 OR files >= 2 THEN 'Medium' ELSE 'Low' END AS level FROM a""",
+    f"""WITH RECURSIVE {SQL_FN}, {sql_calls()}, {sql_reach("fn", 3)},
+    a AS (SELECT start, count(*) FILTER (d = 1) AS direct, count(*) AS dependents, count(DISTINCT file) AS files FROM m LEFT JOIN fn ON fn.id = node GROUP BY 1),
+    z AS (SELECT fn.id, coalesce(direct, 0) AS direct, coalesce(dependents, 0) AS dependents, coalesce(files, 0) AS files FROM fn LEFT JOIN a ON start = fn.id)
+    SELECT id, direct, dependents, files, CASE WHEN dependents >= 10 OR files >= 5 THEN 'Critical' WHEN dependents >= 5 OR files >= 3 THEN 'High' WHEN dependents >= 2 OR files >= 2 THEN 'Medium' ELSE 'Low' END AS level FROM z""",
 )
 def blast_radius(spark, sf):
     c = T.call_pairs(spark, sf)
-    return Q.blast_radius(c, T.functions(spark, sf), brand_hubs(spark, sf, c))
+    return Q.blast_radius(c, T.functions(spark, sf), T.functions(spark, sf).select("id"))
 
 
 @query(
     "code_impact_analysis",
     "GRA10",
-    f"""WITH RECURSIVE {SQL_FN}, {sql_calls(True)}, {SQL_HUBS}, {sql_reach("hubs", 5)},
+    f"""WITH RECURSIVE {SQL_FN}, {sql_calls()}, {sql_reach("fn", 5)},
     a AS (SELECT start, count(*) FILTER (d = 1) AS direct, count(*) AS dependents, count(DISTINCT file) AS files FROM m LEFT JOIN fn ON fn.id = node GROUP BY 1)
-    SELECT start AS id, direct, dependents, files FROM a""",
+    SELECT fn.id, coalesce(direct, 0) AS direct, coalesce(dependents, 0) AS dependents, coalesce(files, 0) AS files FROM fn LEFT JOIN a ON start = fn.id""",
 )
 def impact_analysis(spark, sf):
-    c = T.call_pairs(spark, sf, returned_only=True)
-    return Q.blast_radius(c, T.functions(spark, sf), brand_hubs(spark, sf, c), depth=5).drop("level")
+    c = T.call_pairs(spark, sf)
+    return Q.blast_radius(c, T.functions(spark, sf), T.functions(spark, sf).select("id"), depth=5).drop("level")
 
 
 @query(
@@ -332,10 +322,10 @@ def coupling(spark, sf):
 @query(
     "code_dead_code",
     "GRA20 REL7",
-    f"WITH {SQL_FN}, {sql_calls(True)} SELECT id, name, file, line FROM fn WHERE id NOT IN (SELECT dst FROM calls)",
+    f"WITH {SQL_FN}, {sql_calls()} SELECT id, name, file, line FROM fn WHERE id NOT IN (SELECT dst FROM calls)",
 )
 def dead_code(spark, sf):
-    return Q.dead_code(T.functions(spark, sf), T.call_pairs(spark, sf, True))
+    return Q.dead_code(T.functions(spark, sf), T.call_pairs(spark, sf))
 
 
 @query(
@@ -362,7 +352,7 @@ SQL_FILES = """fg AS (SELECT DISTINCT a.file AS src, z.file AS dst FROM calls JO
 @query(
     "code_import_tree",
     "GRA22",
-    f"""WITH {SQL_FN}, {sql_calls(True)}, {SQL_FILES}, roots AS (SELECT DISTINCT file FROM fn WHERE line = 1),
+    f"""WITH {SQL_FN}, {sql_calls()}, {SQL_FILES}, roots AS (SELECT DISTINCT file FROM fn WHERE line = 1),
     r AS (SELECT file AS start, dst AS node, 1 AS d FROM roots JOIN fg ON src = file),
     r2 AS (SELECT * FROM r UNION SELECT r.start, fg.dst, 2 FROM r JOIN fg ON fg.src = r.node)
     SELECT start, node, min(d) AS depth FROM r2 GROUP BY ALL""",
@@ -370,7 +360,7 @@ SQL_FILES = """fg AS (SELECT DISTINCT a.file AS src, z.file AS dst FROM calls JO
 def import_tree(spark, sf):
     f = T.functions(spark, sf)
     roots = f.where("line = 1").select("file").distinct()
-    return Q.import_tree(Q.file_graph(T.call_pairs(spark, sf, True), f), roots)
+    return Q.import_tree(Q.file_graph(T.call_pairs(spark, sf), f), roots)
 
 
 @query(
@@ -426,7 +416,7 @@ def resolves_to(spark, sf):
     return Q.resolves_to(defs, refs, "shop.parts.ring")
 
 
-SQL_RISK = f"""{SQL_FN}, {sql_calls(True)}, {SQL_MOD}, {sql_reach("fn", 3)},
+SQL_RISK = f"""{SQL_FN}, {sql_calls()}, {SQL_MOD}, {sql_reach("fn", 3)},
   b AS (SELECT start AS id, count(*) AS t FROM m GROUP BY 1), h AS (SELECT fn AS id, count(DISTINCT author) AS a, count(*) FILTER (contains(lower(message), 'fix') OR message LIKE '1-URGENT%') AS x FROM modi GROUP BY 1)"""
 
 
@@ -442,34 +432,34 @@ def risk_scores(spark, sf):
     m = T.modified(spark, sf).withColumn(
         "message", F.when(F.col("message").startswith("1-URGENT"), F.concat(F.lit("Hotfix "), F.col("message"))).otherwise(F.col("message"))
     )
-    return Q.risk_scores(T.call_pairs(spark, sf, True), m, T.functions(spark, sf))
+    return Q.risk_scores(T.call_pairs(spark, sf), m, T.functions(spark, sf))
 
 
 @query(
     "code_pre_change_warning",
     "GRA28",
-    f"""WITH RECURSIVE {SQL_FN}, {sql_calls()}, {SQL_HUBS}, {SQL_MOD}, {sql_reach("hubs", 3)},
+    f"""WITH RECURSIVE {SQL_FN}, {sql_calls()}, {SQL_MOD}, {sql_reach("fn", 3)},
     b AS (SELECT start AS id, count(*) FILTER (d = 1) AS direct, count(*) AS transitive FROM m GROUP BY 1),
     l AS (SELECT fn AS id, arg_max(author, (date, commit)) AS last_author FROM modi GROUP BY 1),
     t AS (SELECT fn AS id, author, count(*) AS n FROM modi GROUP BY ALL), t3 AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, author) <= 3),
     k AS (SELECT id, string_agg(author::VARCHAR, ',' ORDER BY n DESC, author) AS maintainers, count(*) AS c FROM t3 GROUP BY 1)
-    SELECT hubs.id, direct, transitive, last_author, maintainers, direct > 50 OR transitive > 200 AS high_blast, c = 1 AS bus_factor_one FROM hubs JOIN b USING (id) JOIN l USING (id) JOIN k USING (id)""",
+    SELECT fn.id, coalesce(direct, 0) AS direct, coalesce(transitive, 0) AS transitive, last_author, maintainers, coalesce(direct, 0) > 50 OR coalesce(transitive, 0) > 200 AS high_blast,
+      coalesce(c = 1, false) AS bus_factor_one FROM fn LEFT JOIN b USING (id) LEFT JOIN l USING (id) LEFT JOIN k USING (id)""",
 )
 def pre_change_warning(spark, sf):
     c = T.call_pairs(spark, sf)
-    w = Q.pre_change_warning(c, T.modified(spark, sf), brand_hubs(spark, sf, c)).drop("last_date")
+    w = Q.pre_change_warning(c, T.modified(spark, sf), T.functions(spark, sf).select("id")).drop("last_date")
     return w.withColumn("maintainers", F.array_join(F.col("maintainers").cast("array<string>"), ","))
 
 
 @query(
     "code_co_change",
     "GRA29 REL9",
-    f"""WITH {sql_calls()}, {SQL_HUBS}, {SQL_MOD}, p AS (SELECT a.fn AS target, b.fn AS partner, count(*) AS shared FROM md a JOIN hubs ON hubs.id = a.fn JOIN md b ON b.commit = a.commit AND b.fn <> a.fn GROUP BY 1, 2)
+    f"""WITH {SQL_MOD}, p AS (SELECT a.fn AS target, b.fn AS partner, count(*) AS shared FROM md a JOIN md b ON b.commit = a.commit AND b.fn <> a.fn GROUP BY 1, 2)
     SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY target ORDER BY shared DESC, partner) <= 10""",
 )
 def co_change(spark, sf):
-    hubs = brand_hubs(spark, sf, T.call_pairs(spark, sf)).withColumnRenamed("id", "fn")
-    return Q.co_change_partners(T.modified(spark, sf), hubs, "fn")
+    return Q.co_change_partners(T.modified(spark, sf), T.functions(spark, sf).select(F.col("id").alias("fn")), "fn")
 
 
 @query(
@@ -710,12 +700,12 @@ def similar_functions(spark, sf):
 @query(
     "code_changed_functions",
     "GRA38",
-    f"""WITH {SQL_FN}, e AS (SELECT *, line + id % 40 AS end_line FROM fn), h AS (SELECT DISTINCT file, l_linenumber * 9 AS s, l_linenumber * 9 + (l_quantity % 5)::INTEGER AS z FROM lineitem JOIN fn ON fn.id = l_partkey WHERE l_returnflag = 'R')
+    f"""WITH {SQL_FN}, e AS (SELECT *, line + id % 40 AS end_line FROM fn), h AS (SELECT DISTINCT file, l_linenumber * 9 AS s, l_linenumber * 9 + (l_quantity % 5)::INTEGER AS z FROM lineitem JOIN fn ON fn.id = l_partkey)
     SELECT DISTINCT e.id, e.name, e.file FROM e JOIN h ON h.file = e.file AND s <= end_line AND z >= line""",
 )
 def changed_functions(spark, sf):
     f = T.functions(spark, sf)
-    li = T.load(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    li = T.load(spark, sf, "lineitem")
     start = F.col("l_linenumber") * 9
     hunks = li.select(
         F.col("l_partkey").alias("id"), start.alias("start_line"), (start + (F.col("l_quantity") % 5).cast("int")).alias("end_line")

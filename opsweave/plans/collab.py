@@ -64,11 +64,11 @@ def threads(spark, sf):
 
 
 def services(spark, sf):
-    n = T.load(spark, sf, "nation").where("n_nationkey < 9")
+    n = T.load(spark, sf, "nation")
     return n.select(F.concat(F.lit("SVC-"), F.col("n_nationkey").cast("string"), F.lit("-api")).alias("name"))
 
 
-SQL_SAID = f"""{SQL_CHAT}, sv AS (SELECT 'svc-' || n_nationkey || '-api' AS service FROM nation WHERE n_nationkey < 9), said AS (SELECT sym.*, service FROM sym JOIN sv ON contains(lower(text), service))"""
+SQL_SAID = f"""{SQL_CHAT}, sv AS (SELECT 'svc-' || n_nationkey || '-api' AS service FROM nation), said AS (SELECT sym.*, service FROM sym JOIN sv ON contains(lower(text), service))"""
 
 
 @query("chat_service_mentions", "COL3 REL5", f"WITH {SQL_SAID} SELECT msg_id, service FROM said")
@@ -106,7 +106,7 @@ def suggested_contacts(spark, sf):
 
 
 def tickets(spark, sf):
-    c = T.load(spark, sf, "customer").where("c_custkey < 1000")
+    c = T.load(spark, sf, "customer")
     k = F.col("c_custkey")
     return c.select(
         F.concat(F.lit("SHOP-"), k.cast("string")).alias("key"), F.concat(F.lit("Person"), (k % 13).cast("string")).alias("assignee"),
@@ -114,7 +114,7 @@ def tickets(spark, sf):
     )
 
 
-SQL_TICKETS = """tk AS (SELECT 'SHOP-' || c_custkey AS key, 'Person' || c_custkey % 13 AS assignee, CASE WHEN c_custkey % 3 = 0 THEN 'SHOP-' || c_custkey * 2 ELSE '' END AS parent FROM customer WHERE c_custkey < 1000)"""
+SQL_TICKETS = """tk AS (SELECT 'SHOP-' || c_custkey AS key, 'Person' || c_custkey % 13 AS assignee, CASE WHEN c_custkey % 3 = 0 THEN 'SHOP-' || c_custkey * 2 ELSE '' END AS parent FROM customer)"""
 
 
 @query(
@@ -148,10 +148,10 @@ def pr_commits(spark, sf):
 @query(
     "issue_functions",
     "COL8",
-    f"""WITH {SQL_FN} SELECT DISTINCT o_orderkey % 500 AS issue_id, fn.id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN fn ON fn.id = l_partkey WHERE l_returnflag = 'R'""",
+    f"""WITH {SQL_FN} SELECT DISTINCT o_orderkey % 500 AS issue_id, fn.id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN fn ON fn.id = l_partkey""",
 )
 def issue_functions(spark, sf):
-    li = T.load(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    li = T.load(spark, sf, "lineitem")
     f = T.functions(spark, sf)
     frames = li.select((F.col("l_orderkey") % 500).alias("issue_id"), F.col("l_partkey").alias("id")).join(f.select("id", "name"), "id")
     return C.issue_functions(frames.select("issue_id", F.col("name").alias("function")), f)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsweave.operators import code_queries as Q
 from opsweave.operators import graph_algos as A
-from opsweave.plans.codegraph import SQL_FILES, SQL_FN, brand_hubs, sql_calls
+from opsweave.plans.codegraph import SQL_FILES, SQL_FN, sql_calls
 from opsweave.plans.registry import query
 from opsweave.sources import tables as T
 
@@ -14,50 +14,58 @@ from opsweave.sources import tables as T
 @query(
     "graph_file_chain",
     "GRA11 REL10",
-    f"""WITH RECURSIVE {SQL_FN}, {sql_calls(True)}, {SQL_FILES}, st AS (SELECT min(file) AS a FROM fn),
-    r(node, d) AS (SELECT dst, 1 FROM fg JOIN st ON src = a UNION SELECT fg.dst, d + 1 FROM r JOIN fg ON fg.src = r.node WHERE d < 6),
+    f"""WITH RECURSIVE {SQL_FN}, {sql_calls()}, {SQL_FILES}, st AS (SELECT min(file) AS a FROM fn),
+    r(node, d) AS (SELECT dst, 1 FROM fg JOIN st ON src = a UNION SELECT fg.dst, d + 1 FROM r JOIN fg ON fg.src = r.node WHERE d < 40),
     m AS (SELECT node, min(d) AS d FROM r GROUP BY 1)
     SELECT (SELECT a FROM st) AS start, node AS goal, d::INTEGER AS hops FROM m WHERE node <> (SELECT a FROM st)""",
 )
 def file_chain(spark, sf):
     f = T.functions(spark, sf)
-    files = Q.file_graph(T.call_pairs(spark, sf, True), f)
+    files = Q.file_graph(T.call_pairs(spark, sf), f)
     pairs = f.agg(F.min("file").alias("start")).crossJoin(f.select(F.col("file").alias("goal")).distinct())
-    return A.shortest_paths(files, pairs.where("start <> goal"), 6).drop("path")
+    return A.shortest_paths(files, pairs.where("start <> goal")).drop("path")
 
 
-@query("graph_call_paths", "GRA12")
+@query(
+    "graph_call_paths",
+    "GRA12",
+    f"""WITH RECURSIVE {sql_calls()}, st AS (SELECT src AS a FROM calls GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+    p(node, path) USING KEY (node) AS (SELECT a, [a] FROM st
+      UNION SELECT n.dst, min(list_append(n.path, n.dst)) FROM (SELECT p.path, calls.dst FROM p JOIN calls ON calls.src = p.node) n
+      LEFT JOIN recurring.p AS old ON old.node = n.dst WHERE old.node IS NULL GROUP BY n.dst)
+    SELECT a AS start, node AS goal, array_to_string(path, '>') AS path, (len(path) - 1)::INTEGER AS hops FROM p, st WHERE node <> a""",
+)
 def call_paths(spark, sf):
-    """Shortest call paths between the hubs of all brands (ties: smallest path)."""
-    c = T.call_pairs(spark, sf)
-    hubs = brand_hubs(spark, sf, c)
-    goal = hubs.agg(F.min("id").alias("goal"))
-    pairs = hubs.select(F.col("id").alias("start")).crossJoin(F.broadcast(goal)).where("start <> goal")
-    p = A.shortest_paths(c, pairs, 6)
+    """Shortest call paths, of any length, from the function with most callees to every other
+    (ties: smallest path)."""
+    c, f = T.call_pairs(spark, sf), T.functions(spark, sf)
+    start = c.groupBy(F.col("src").alias("start")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "start").limit(1)
+    pairs = F.broadcast(start.select("start")).crossJoin(f.select(F.col("id").alias("goal"))).where("start <> goal")
+    p = A.shortest_paths(c, pairs)
     return p.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
 @query(
     "graph_weak_components",
     "GRA16",
-    f"""WITH RECURSIVE {sql_calls(True)}, u AS (SELECT src AS a, dst AS b FROM calls UNION SELECT dst, src FROM calls),
+    f"""WITH RECURSIVE {sql_calls()}, u AS (SELECT src AS a, dst AS b FROM calls UNION SELECT dst, src FROM calls),
     cc(id, component) USING KEY (id) AS (SELECT p_partkey, p_partkey FROM part
       UNION (SELECT u.b AS id, min(cc.component) AS component FROM cc JOIN u ON u.a = cc.id JOIN recurring.cc AS old ON old.id = u.b GROUP BY u.b HAVING min(cc.component) < min(old.component)))
     SELECT id, component FROM cc""",
 )
 def weak_components(spark, sf):
-    return A.weak_components(T.call_pairs(spark, sf, True), T.functions(spark, sf))
+    return A.weak_components(T.call_pairs(spark, sf), T.functions(spark, sf))
 
 
 @query(
     "graph_strong_components",
     "GRA13",
-    f"""WITH RECURSIVE {sql_calls(True)}, r(a, b) AS (SELECT src, dst FROM calls UNION SELECT r.a, calls.dst FROM r JOIN calls ON calls.src = r.b),
+    f"""WITH RECURSIVE {sql_calls()}, r(a, b) AS (SELECT src, dst FROM calls UNION SELECT r.a, calls.dst FROM r JOIN calls ON calls.src = r.b),
     m AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a)
     SELECT id, component FROM m""",
 )
 def strong_components(spark, sf):
-    return A.strong_components(T.call_pairs(spark, sf, True))
+    return A.strong_components(T.call_pairs(spark, sf))
 
 
 @query(
@@ -79,17 +87,17 @@ def page_rank(spark, sf):
 
 @query("graph_betweenness", "GRA15")
 def betweenness(spark, sf):
-    b = A.betweenness(T.call_pairs(spark, sf, True), T.functions(spark, sf))
+    b = A.betweenness(T.call_pairs(spark, sf), T.functions(spark, sf))
     return b.withColumn("centrality", F.round("centrality", 9))
 
 
 @query("graph_communities", "GRA17")
 def communities(spark, sf):
-    return A.community_summaries(T.call_pairs(spark, sf, True), T.functions(spark, sf))
+    return A.community_summaries(T.call_pairs(spark, sf), T.functions(spark, sf))
 
 
 @query("graph_matching_communities", "GRA18")
 def matching_communities(spark, sf):
-    c, f = T.call_pairs(spark, sf, True), T.functions(spark, sf)
+    c, f = T.call_pairs(spark, sf), T.functions(spark, sf)
     members = A.weak_components(c, f).join(f, "id")
     return Q.matching_communities(A.community_summaries(c, f), members, "ring")

@@ -255,7 +255,7 @@ def doc_search(spark, sf):
 
 @query("search_communities", "SEA13")
 def community_search(spark, sf):
-    c, f = T.call_pairs(spark, sf, True), T.functions(spark, sf)
+    c, f = T.call_pairs(spark, sf), T.functions(spark, sf)
     members = A.weak_components(c, f).join(f, "id")
     out = S.community_search(A.community_summaries(c, f), members, asked(spark, sf))
     return out.withColumn("score", F.round("score", 6))
