@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,21 +63,24 @@ ADVICE = {
 def pattern_matches(text: Column) -> Column:
     """All matching patterns, most severe first: array of (neg severity, ord, pattern, category).
 
-    One pattern over all keywords rejects most texts before any single pattern is tried.
+    The text is lower-cased once (it is bound to a lambda variable), and a keyword is a plain search.
     """
-    low = F.lower(text)
-    every = sorted({k.lower() for _, _, _, words in PATTERNS for k in words})
-    rows = [
-        F.when(
-            any_of(low, [k.lower() for k in words]),
-            F.struct(
-                F.lit(-sev).alias("neg"), F.lit(i).alias("ord"), F.lit(pid).alias("pattern"),
-                F.lit(cat).alias("category"),
-            ),
-        )
-        for i, (pid, cat, sev, words) in enumerate(PATTERNS)
-    ]
-    return F.when(any_of(low, every), F.array_sort(F.array_compact(F.array(*rows))))
+
+    def found(low: Column) -> Column:
+        rows = [
+            F.when(
+                reduce(or_, [low.contains(k.lower()) for k in words]),
+                F.struct(
+                    F.lit(-sev).alias("neg"), F.lit(i).alias("ord"), F.lit(pid).alias("pattern"),
+                    F.lit(cat).alias("category"),
+                ),
+            )
+            for i, (pid, cat, sev, words) in enumerate(PATTERNS)
+        ]
+        return F.array_sort(F.array_compact(F.array(*rows)))
+
+    hits = F.get(F.transform(F.array(F.lower(text)), found), F.lit(0))
+    return F.when(F.size(hits) > 0, hits)
 
 
 def first_pattern(text: Column) -> Column:

@@ -10,7 +10,7 @@ from opsweave.operators import diagnose as D
 from opsweave.operators import inventory as I
 from opsweave.operators import logs as L
 from opsweave.operators import metrics as M
-from opsweave.plans.codegraph import SQL_FN, SQL_IMPORTS, SQL_MOD, functions_with_bodies, import_edges
+from opsweave.plans.codegraph import SQL_BODIES, SQL_FN, SQL_IMPORTS, SQL_MOD, functions_with_bodies, import_edges
 from opsweave.plans.inventory import SQL_PODS, raw_pods
 from opsweave.plans.logs import SQL_BUCKETS, SQL_HOSTS, SQL_JOURNAL_LINES, SQL_KERNEL, host_tables, pod_buckets
 from opsweave.plans.policy import SQL_EVENTS
@@ -503,7 +503,14 @@ def accuracy(spark, sf):
     return a.withColumns({c: F.round(c, 6) for c in ("wilson_low", "wilson_high")})
 
 
-@query("diagnose_validation_users", "DIA7 GRA5")
+@query(
+    "diagnose_validation_users",
+    "DIA7 GRA5",
+    f"""WITH {SQL_BODIES}, v AS (SELECT replace(name, 'red_', 'check_') AS name, file, lower(replace(body, 'red_', 'check_')) AS body FROM fb),
+    e AS (SELECT DISTINCT a.name, a.file, b.name AS validator, b.file AS validator_file FROM v a JOIN v b ON contains(a.body, lower(b.name))
+      WHERE regexp_matches(lower(b.name), 'validate|retry|guard|assert|check|sanitize|verify') AND NOT (a.name = b.name AND a.file = b.file))
+    SELECT file, count(*) AS n FROM e GROUP BY 1""",
+)
 def validation_users(spark, sf):
     """Files whose functions use a validating function, from the bodies."""
     f = functions_with_bodies(spark, sf)

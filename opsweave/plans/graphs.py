@@ -85,7 +85,22 @@ def page_rank(spark, sf):
     return r.withColumn("score", F.round("score", 8))
 
 
-@query("graph_betweenness", "GRA15")
+@query(
+    "graph_betweenness",
+    "GRA15",
+    f"""WITH RECURSIVE {sql_calls()}, nodes AS (SELECT src AS id FROM calls UNION SELECT dst FROM calls UNION SELECT p_partkey FROM part),
+    z AS (SELECT count(*) AS n, greatest(1, count(*) // 200) AS step FROM nodes), nr AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM nodes),
+    so AS (SELECT id AS source FROM nr, z WHERE n <= 200 OR (i % step = 0 AND i < step * 200)),
+    lv(source, node, lvl, sigma) USING KEY (source, node) AS (SELECT source, source, 0, 1.0::DOUBLE FROM so
+      UNION SELECT x.source, x.dst, x.lvl + 1, sum(x.sigma) FROM (SELECT lv.source, calls.dst, lv.lvl, lv.sigma FROM lv JOIN calls ON calls.src = lv.node) x
+      LEFT JOIN recurring.lv AS old ON old.source = x.source AND old.node = x.dst WHERE old.node IS NULL GROUP BY x.source, x.dst, x.lvl),
+    b(source, node, lvl, sigma, delta) AS (SELECT source, node, lvl, sigma, 0.0::DOUBLE FROM lv WHERE lvl = (SELECT max(lvl) FROM lv)
+      UNION ALL SELECT u.source, u.node, u.lvl, u.sigma, coalesce(sum(u.sigma / d.sigma * (1 + d.delta)), 0) FROM lv u JOIN (SELECT DISTINCT lvl - 1 AS lvl FROM b) k ON k.lvl = u.lvl
+      LEFT JOIN (SELECT b.source, b.sigma, b.delta, calls.src FROM b JOIN calls ON calls.dst = b.node) d ON d.source = u.source AND d.src = u.node
+      GROUP BY u.source, u.node, u.lvl, u.sigma),
+    c AS (SELECT node, sum(delta) AS d FROM b WHERE node <> source GROUP BY 1)
+    SELECT id, round(coalesce(d, 0) / ((n - 1) * (n - 2)), 9) AS centrality FROM nodes CROSS JOIN z LEFT JOIN c ON c.node = id""",
+)
 def betweenness(spark, sf):
     b = A.betweenness(T.call_pairs(spark, sf), T.functions(spark, sf))
     return b.withColumn("centrality", F.round("centrality", 9))
