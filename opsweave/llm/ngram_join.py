@@ -45,6 +45,7 @@ FREQUENT = 64
 PAIRED_UP_TO = 10  # bands of sets below 2 ** (this + 1) index frequent tokens in pairs
 BLOCK_TOKENS = 300_000  # tokens of one block of a cluster, on average
 BATCH_TOKENS = 2_000_000
+FILTER_BITS = 1 << 23
 _CACHED = 400_000
 
 
@@ -190,6 +191,21 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[t
                 todo.append(j)
 
 
+def id_filter(rows: DataFrame, id_col: str) -> bytes:
+    """A bitmap of ``FILTER_BITS`` places with the places of all ids set: 1 MB, however many ids.
+
+    A row whose place is not set has none of the ids. With very many ids most places are set, and
+    rows are sorted out by the join alone.
+    """
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS)) + 1  # bitmaps count from 1
+    bit, bucket = F.bitmap_bit_position(place), F.bitmap_bucket_number(place)
+    parts = rows.groupBy(bucket.alias("k")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
+    out, size = bytearray(FILTER_BITS // 8), 4096
+    for r in parts:
+        out[(r["k"] - 1) * size : r["k"] * size] = r["bits"]
+    return bytes(out)
+
+
 def _links(docs: DataFrame, id_col: str, text_col: str, clusters: DataFrame, reps: DataFrame) -> DataFrame:
     """Links ``(a, b)`` within clusters ``(node, component)``; reps: ``(v, id, n)``."""
     own = clusters.join(reps, clusters["node"] == reps["v"]).select("component", "v", "id", "n")
@@ -199,15 +215,20 @@ def _links(docs: DataFrame, id_col: str, text_col: str, clusters: DataFrame, rep
     batches = max(1, -(-(sizes.where(f"tokens <= {BLOCK_TOKENS}").agg(F.sum("tokens")).collect()[0][0] or 0) // BATCH_TOKENS))
     block = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
     own = own.select("id", "v", "component", "blocks", block.alias("block")).withColumnRenamed("id", "_id")
-    texts = docs.select(F.col(id_col).alias("_t"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(own, texts["_t"].eqNullSafe(own["_id"])).select("v", "component", "blocks", "block", "text")
+    wanted = id_filter(own, "_id")
 
     def sets(row) -> Iterator[tuple]:
-        tokens = shingles(row[4])
-        if len(tokens) and xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) == row[0]:
-            yield *row[:4], tokens.tobytes()
-
-    made = map_rows(joined, sets, "v bigint, component bigint, blocks int, block int, tokens binary").dropDuplicates(["v", "block"])
+        if wanted[row[2] >> 3] >> (row[2] & 7) & 1:
+            tokens = shingles(row[1])
+            if len(tokens):
+                yield row[0], xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63), tokens.tobytes()
+
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))
+    texts = docs.select(F.col(id_col).alias("_t"), F.col(text_col).cast("string").alias("text"), place.alias("place"))
+    kind = texts.schema["_t"].dataType.simpleString()
+    made = map_rows(texts, sets, f"_t {kind}, _v bigint, tokens binary")
+    made = made.join(own, made["_t"].eqNullSafe(own["_id"]) & (made["_v"] == own["v"]))
+    made = made.select("v", "component", "blocks", "block", "tokens").dropDuplicates(["v", "block"])
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     made = made.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # one-block clusters share groups; each pair of blocks of a larger one is a group of its own
