@@ -75,13 +75,13 @@ def disk_alerts(disks: DataFrame) -> DataFrame:
 def unit_alerts(units: DataFrame) -> DataFrame:
     bad = units.where("active_state = 'failed'")
     key = _joined("systemd:", F.col("hostname"), ":", F.col("name"))
-    return _alert(bad, key, "warning", _joined("Systemd unit failed: ", F.col("name")), F.col("hostname"))
+    return _alert(bad, key, "warning", _joined("Unit down: ", F.col("name")), F.col("hostname"))
 
 
 def wifi_alerts(wifi: DataFrame) -> DataFrame:
     bad = wifi.where("discarded > 5000")
     key = _joined("wifi:", F.col("hostname"), ":", F.col("interface"))
-    return _alert(bad, key, "warning", _joined("WiFi instability: ", F.col("discarded"), " dropped packets"), F.col("hostname"))
+    return _alert(bad, key, "warning", _joined("Wireless drops: ", F.col("discarded")), F.col("hostname"))
 
 
 def kernel_alerts(events: DataFrame) -> DataFrame:

@@ -243,6 +243,7 @@ GENERIC_NAMES = (
     "delete", "remove", "find", "next", "done", "callback", "apply", "call", "bind",
     "toString", "valueOf", "default", "export", "module", "require", "import",
 )
+# Patterns that name a function in an error text, with rank and shortest length.
 EXPLICIT = (
     (1, r"(?U)\[(\w+)\]", 4),
     (2, r"(?U)(\w+)\s+is not a function", 4),

@@ -121,9 +121,9 @@ def codebase_suggestion(actions: DataFrame, entities: DataFrame) -> DataFrame:
         F.col("b.name").alias("name"),
         (-F.col("b.neg")).alias("shared"),
         F.concat(
-            F.lit("This codebase already has "), F.col("b.name"), F.lit("() at "),
+            F.lit("See "), F.col("b.name"), F.lit(" in "),
             F.col("b.file"), F.lit(":"), F.col("b.line").cast("string"),
-            F.lit(". Consider using it instead."),
+            F.lit(" before writing a new one"),
         ).alias("suggestion"),
     )
 

@@ -20,7 +20,7 @@ from opsweave.sources import tables as T
 # Pods of this family are named like the log pods, so buckets and causes join.
 SQL_UPODS = f"""{SQL_BUCKETS}, up AS (SELECT 'main' AS cluster, 'ns' || user_id % 10 AS namespace, 'pod-' || user_id AS name, max(k) AS restart_count,
     CASE WHEN min(k) < 1 THEN 'CrashLoopBackOff' WHEN min(k) < 3 THEN 'Failed' ELSE 'Running' END AS status, 'web' || user_id % 30 AS owner_name FROM ev GROUP BY user_id),
-  cz AS (SELECT 'ns' || user_id % 10 AS namespace, 'pod-' || user_id AS pod, event_type AS change_type, 'cm-' || k AS resource_name, round(value, 1) AS delta_seconds FROM ev WHERE value < 20 AND event_type <> 'view')"""
+  cz AS (SELECT 'ns' || user_id % 10 AS namespace, 'pod-' || user_id AS pod, event_type AS change_type, 'cm-' || k AS resource_name, round(value, 1) AS delta_seconds FROM ev)"""
 
 
 def user_pods(spark, sf):
@@ -36,7 +36,7 @@ def user_pods(spark, sf):
 
 
 def causes(spark, sf):
-    e = T.events(spark, sf).where("value < 20 and event_type <> 'view'")
+    e = T.events(spark, sf)
     u = F.col("user_id")
     return e.select(
         F.concat(F.lit("ns"), (u % 10).cast("string")).alias("namespace"), F.concat(F.lit("pod-"), u.cast("string")).alias("pod"),
@@ -84,8 +84,8 @@ def disks(spark, sf):
 @query(
     "alert_units_wifi_kernel",
     "ALR4",
-    f"""WITH {SQL_HOSTS} SELECT DISTINCT 'systemd:' || hostname || ':unit-' || k AS alert_id, 'warning' AS severity, 'Systemd unit failed: unit-' || k AS title, hostname AS detail FROM hv WHERE event_type = 'error'
-    UNION ALL SELECT 'wifi:' || hostname || ':wlan0', 'warning', 'WiFi instability: ' || sum(k) * 2 || ' dropped packets', hostname FROM hv GROUP BY hostname HAVING sum(k) * 2 > 5000
+    f"""WITH {SQL_HOSTS} SELECT DISTINCT 'systemd:' || hostname || ':unit-' || k AS alert_id, 'warning' AS severity, 'Unit down: unit-' || k AS title, hostname AS detail FROM hv WHERE event_type = 'error'
+    UNION ALL SELECT 'wifi:' || hostname || ':wlan0', 'warning', 'Wireless drops: ' || sum(k) * 2, hostname FROM hv GROUP BY hostname HAVING sum(k) * 2 > 5000
     UNION ALL SELECT DISTINCT 'security:' || hostname || ':' || event_type || ':cmd' || k % 10, 'critical', 'Security: suspicious ' || event_type || ' on ' || hostname, 'cmd' || k % 10 FROM hv WHERE k < 10""",
 )
 def units_wifi_kernel(spark, sf):
@@ -189,7 +189,7 @@ def kernel_families(spark, sf):
 @query(
     "alert_baseline_drift",
     "ALR9",
-    f"""WITH {SQL_EVENTS}, m AS (SELECT DISTINCT 'h' || user_id % 4 AS hostname, CASE event_type WHEN 'view' THEN 'ssh_keys' WHEN 'click' THEN 'cron_jobs' ELSE 'users' END AS kind, floor(t / 432000)::BIGINT AS poll, k // 10 AS member FROM ev WHERE k < 90),
+    f"""WITH {SQL_EVENTS}, m AS (SELECT DISTINCT 'h' || user_id % 4 AS hostname, CASE event_type WHEN 'view' THEN 'ssh_keys' WHEN 'click' THEN 'cron_jobs' ELSE 'users' END AS kind, floor(t / 432000)::BIGINT AS poll, k * 1000 + user_id AS member FROM ev),
     f AS (SELECT hostname, kind, min(poll) AS f FROM m GROUP BY ALL), b AS (SELECT m.hostname, m.kind, member FROM m JOIN f USING (hostname, kind) WHERE poll = f),
     p AS (SELECT m.hostname, m.kind, poll, count(*) AS n, count(b.member) AS same FROM m JOIN f USING (hostname, kind) LEFT JOIN b ON b.hostname = m.hostname AND b.kind = m.kind AND b.member = m.member WHERE poll > f GROUP BY ALL),
     nb AS (SELECT hostname, kind, count(*) AS nb FROM b GROUP BY ALL)
@@ -198,10 +198,10 @@ def kernel_families(spark, sf):
 )
 def baseline_drift(spark, sf):
     t = F.col("event_type")
-    m = T.events(spark, sf).where("k < 90").select(
+    m = T.events(spark, sf).select(
         F.concat(F.lit("h"), (F.col("user_id") % 4).cast("string")).alias("hostname"),
         F.when(t == "view", "ssh_keys").when(t == "click", "cron_jobs").otherwise("users").alias("kind"),
-        F.floor(F.col("t") / 432000).alias("poll"), F.floor(F.col("k") / 10).alias("member"),
+        F.floor(F.col("t") / 432000).alias("poll"), (F.col("k") * 1000 + F.col("user_id")).alias("member"),
     )
     return A.baseline_drift(m)
 
@@ -388,7 +388,7 @@ def candidate_functions(spark, sf):
 @query(
     "diagnose_upstream_trace",
     "DIA7",
-    f"""WITH {SQL_IMPORTS}, t AS (SELECT id, name FROM fn WHERE line <= 10), up AS (SELECT dst AS id, file AS upstream FROM calls JOIN fn ON fn.id = src WHERE dst IN (SELECT id FROM t) UNION SELECT t.id, importer FROM edges JOIN t USING (name)),
+    f"""WITH {SQL_IMPORTS}, t AS (SELECT id, name FROM fn), up AS (SELECT dst AS id, file AS upstream FROM calls JOIN fn ON fn.id = src WHERE dst IN (SELECT id FROM t) UNION SELECT t.id, importer FROM edges JOIN t USING (name)),
     vi AS (SELECT DISTINCT importer FROM edges WHERE contains(replace(name, 'red_', 'validate_'), 'validate')), vu AS (SELECT DISTINCT file FROM fn WHERE line > 45)
     SELECT id, upstream, upstream IN (SELECT importer FROM vi) OR upstream IN (SELECT file FROM vu) AS validated, upstream NOT IN (SELECT importer FROM vi) AND NOT starts_with(upstream, 'src/') AS root_cause FROM up""",
 )
@@ -398,7 +398,7 @@ def upstream_trace(spark, sf):
     name = F.replace(F.col("name"), F.lit("red_"), F.lit("validate_"))
     renamed = f.withColumn("name", name)
     return D.upstream_trace(
-        f.where("line <= 10"), renamed, T.call_pairs(spark, sf), edges.withColumn("name", name), f.where("line > 45")
+        f, renamed, T.call_pairs(spark, sf), edges.withColumn("name", name), f.where("line > 45")
     )
 
 

@@ -491,9 +491,9 @@ def diff_lines(spark, sf):
       count(*) FILTER (starts_with(line, '+') AND NOT starts_with(line, '+++') AND regexp_matches(line, '\.split\(|\.map\(|\.filter\(|\.forEach\(') AND NOT regexp_matches(line, '\?\?|\?\.|\|\| \[\]|\|\| ''''')) AS unguarded FROM x GROUP BY 1),
     c AS (SELECT doc_id AS pr, (lang = 'de')::BIGINT AS schemas, (lang IN ('de', 'fr') AND n_chars % 2 = 0)::BIGINT AS deleted FROM documents)
     SELECT pr, guards, unguarded, schemas, deleted, CASE WHEN guards > 3 OR (deleted > 0 AND schemas > 0) THEN 'HIGH' WHEN guards > 0 OR schemas > 0 OR unguarded > 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
-      CASE WHEN guards = 0 AND unguarded <= 3 AND schemas = 0 AND deleted = 0 THEN 'No significant risks detected' ELSE concat_ws('; ', CASE WHEN guards > 0 THEN 'Removes ' || guards || ' null/undefined safety checks' END,
-        CASE WHEN unguarded > 3 THEN unguarded || ' method calls without null guards (.split/.map/.filter)' END, CASE WHEN schemas > 0 THEN 'Database schema/migration changes' END,
-        CASE WHEN deleted > 0 THEN 'Deletes ' || deleted || ' files (check imports)' END) END AS risk_details FROM d JOIN c USING (pr)""",
+      CASE WHEN guards = 0 AND unguarded <= 3 AND schemas = 0 AND deleted = 0 THEN 'none found' ELSE concat_ws('; ', CASE WHEN guards > 0 THEN 'null guards taken out: ' || guards END,
+        CASE WHEN unguarded > 3 THEN 'unguarded calls added: ' || unguarded END, CASE WHEN schemas > 0 THEN 'touches the schema' END,
+        CASE WHEN deleted > 0 THEN 'files removed: ' || deleted END) END AS risk_details FROM d JOIN c USING (pr)""",
 )
 def diff_risk(spark, sf):
     lang = F.col("lang")

@@ -216,11 +216,11 @@ def top_mentions(spark, sf):
 @query(
     "log_emitted_edges",
     "LOG10 REL4",
-    f"""WITH {SQL_BUCKETS}, pods AS (SELECT DISTINCT 'ns' || user_id % 10 AS namespace, 'pod-' || user_id AS pod FROM ev WHERE event_type = 'signup')
+    f"""WITH {SQL_BUCKETS}, pods AS (SELECT DISTINCT 'ns' || user_id % 10 AS namespace, 'pod-' || user_id AS pod FROM ev)
     SELECT namespace, pod, template_hash FROM buckets JOIN pods USING (namespace, pod)""",
 )
 def emitted_edges(spark, sf):
-    e = T.events(spark, sf).where("event_type = 'signup'")
+    e = T.events(spark, sf)
     pods = e.select(
         F.concat(F.lit("ns"), (F.col("user_id") % 10).cast("string")).alias("namespace"),
         F.concat(F.lit("pod-"), F.col("user_id").cast("string")).alias("name"),

@@ -109,12 +109,12 @@ def histogram_findings(spark, sf):
 @query(
     "metric_by_destination",
     "MET7",
-    f"""WITH {SQL_EVENTS}, d AS (SELECT user_id AS host, '10.0.0.' || k // 30 AS dest, sum(k) AS n FROM ev WHERE value > 150 GROUP BY ALL)
+    f"""WITH {SQL_EVENTS}, d AS (SELECT user_id AS host, '10.0.0.' || k // 30 AS dest, sum(k) AS n FROM ev GROUP BY ALL)
     SELECT host, sum(n)::BIGINT AS total, count(*) AS destinations, arg_min(dest, (-n, dest)) AS top_dest,
     CASE WHEN count(*) >= 3 THEN 'local link' WHEN count(*) = 1 THEN 'remote' ELSE 'healthy' END AS verdict FROM d GROUP BY host""",
 )
 def by_destination(spark, sf):
-    e = T.events(spark, sf).where("value > 150")
+    e = T.events(spark, sf)
     dest = F.concat(F.lit("10.0.0."), F.floor(F.col("k") / 30).cast("string"))
     return M.by_destination(e.select(F.col("user_id").alias("host"), dest.alias("dest"), F.col("k").alias("n")), ["host"])
 
@@ -122,12 +122,12 @@ def by_destination(spark, sf):
 @query(
     "metric_drop_reasons",
     "MET8",
-    f"""WITH {SQL_EVENTS}, d AS (SELECT user_id AS host, event_type AS reason, sum(k) AS n FROM ev WHERE k < 40 GROUP BY ALL)
+    f"""WITH {SQL_EVENTS}, d AS (SELECT user_id AS host, event_type AS reason, sum(k) AS n FROM ev GROUP BY ALL)
     SELECT host, sum(n)::BIGINT AS total, arg_min(reason, (-n, reason)) AS top_reason,
     coalesce(CASE WHEN sum(n) > 1000 THEN 'critical' WHEN sum(n) > 100 THEN 'warning' END, '') AS severity FROM d GROUP BY host""",
 )
 def drop_reasons(spark, sf):
-    e = T.events(spark, sf).where("k < 40").select(
+    e = T.events(spark, sf).select(
         F.col("user_id").alias("host"), F.col("event_type").alias("reason"), F.col("k").alias("n")
     )
     return M.drop_reasons(e, ["host"]).fillna("", ["severity"])

@@ -522,8 +522,8 @@ def risk_enrichment(spark, sf):
     ap AS (SELECT DISTINCT action, unnest(regexp_split_to_array(lower(action), '[_\-\s]+')) AS part FROM a),
     s AS (SELECT action, name, file, line, count(*) AS shared FROM ap JOIN fp USING (part) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY shared DESC, file, line, name) AS rn FROM s)
-    SELECT action, name, shared, 'This codebase already has ' || name || '() at ' || file || ':' || line
-       || '. Consider using it instead.' AS suggestion FROM r WHERE rn = 1""",
+    SELECT action, name, shared, 'See ' || name || ' in ' || file || ':' || line
+       || ' before writing a new one' AS suggestion FROM r WHERE rn = 1""",
 )
 def codebase_suggestion(spark, sf):
     f = T.functions(spark, sf)

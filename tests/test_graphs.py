@@ -141,9 +141,9 @@ def test_community_summary_text(spark):
     rows = {r.component: r for r in A.community_summaries(e, f).collect()}
     assert rows[1].name == "users" and rows[1].key_function == "set_user_name"
     assert rows[1].description == (
-        "User/name module (3 functions in 3 files). Entry point: set_user_name. Handles gets, loads, sets for user, name"
+        "User/name module (3 functions, 3 files). Hub: set_user_name. Does: get, load, set for user, name"
     )
-    assert rows[5].name == "alpha beta" and rows[5].description == "Module (2 functions in 0 files). Entry point: alpha"
+    assert rows[5].name == "alpha beta" and rows[5].description == "Module (2 functions, 0 files). Hub: alpha"
 
 
 def test_token_scores(spark):
