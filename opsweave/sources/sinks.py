@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsweave.functions.ordered import with_row_index
+from opsweave.session import cut_lineage
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_first: Sequence[str] = ()) -> DataFrame:
@@ -27,46 +29,30 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_first: Se
     )
 
 
-class VersionedTable:
-    """A parquet table of numbered versions with a pointer file naming the live one.
-
-    A version is written beside the live one and published last, so readers never
-    see a half-written table; writing the same version again changes nothing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _pointer(self) -> int | None:
-        try:
-            rows = self.spark.read.schema("version long").json(f"{self.path}/pointer").collect()
-        except Exception as e:  # a new table has no pointer yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return max((r.version for r in rows), default=None)
-
-    def read(self) -> DataFrame | None:
-        v = self._pointer()
-        return None if v is None else self.spark.read.parquet(f"{self.path}/v={v}")
-
-    def publish(self, df: DataFrame, version: int) -> None:
-        live = self._pointer()
-        if live is not None and live >= version:
-            return  # a replayed batch
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("append").json(f"{self.path}/pointer")
+PARTS = 64
 
 
 def upsert_stream(
-    table: VersionedTable, keys: Sequence[str], keep_first: Sequence[str] = ()
+    spark: SparkSession, path: str, keys: Sequence[str], keep_first: Sequence[str] = (), parts: int = PARTS
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: merge a micro-batch into the table, once per batch id."""
+    """``foreachBatch`` function: merge a micro-batch into a table of ``parts`` hash partitions.
+
+    Only the partitions that the batch touches are read and overwritten. Merging the same batch again
+    changes nothing, so a replayed batch does no harm.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        old = table.read()
-        new = batch if old is None else upserted(old, batch, keys, keep_first)
-        table.publish(new, batch_id + 1)
+        new = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        try:
+            old = spark.read.parquet(path)
+        except AnalysisException as e:  # a new table
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        else:
+            touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most ``parts``
+            old = old.where(F.col("part").isin(touched)).select(*new.columns)
+            new = cut_lineage(upserted(old, new, [*keys, "part"], keep_first))  # before its files go
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
     return merge
 

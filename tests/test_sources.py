@@ -77,14 +77,19 @@ def test_exports(spark, tmp_path):
     assert R.documents(spark, str(tmp_path / "docs")).first().content == "# A\ntext"
 
 
-def test_versioned_upsert_is_idempotent(spark, tmp_path):
-    table = S.VersionedTable(spark, str(tmp_path / "t"))
-    merge = S.upsert_stream(table, ["k"], keep_first=["first"])
+def test_upsert_touches_its_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge = S.upsert_stream(spark, path, ["k"], keep_first=["first"], parts=4)
     cols = "k int, first int, n int"
-    merge(spark.createDataFrame([(1, 10, 1), (2, 10, 1)], cols), 0)
-    merge(spark.createDataFrame([(1, 20, 5), (3, 20, 5)], cols), 1)
-    merge(spark.createDataFrame([(9, 99, 9)], cols), 1)  # a replayed batch id
-    assert sorted(map(tuple, table.read().select("k", "first", "n").collect())) == [(1, 10, 5), (2, 10, 1), (3, 20, 5)]
+    merge(spark.createDataFrame([(i, 10, 1) for i in range(40)], cols), 0)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").glob("part=*/*.parquet")}
+    second = spark.createDataFrame([(1, 20, 5)], cols)
+    merge(second, 1)
+    merge(second, 1)  # a replayed batch
+    got = sorted(map(tuple, spark.read.parquet(path).select("k", "first", "n").collect()))
+    assert got == [(i, 10, 5 if i == 1 else 1) for i in range(40)]
+    changed = {p.parent.name for p, t in files.items() if not p.exists() or p.stat().st_mtime_ns != t}
+    assert len(changed) == 1
 
 
 def test_append_and_export(spark, tmp_path):
