@@ -49,16 +49,29 @@ PULLS = (
 )
 
 
+def parsed(texts: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """JSON texts, one object each, as typed columns; bad texts are skipped."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = texts.select(F.from_json(value, f"{schema}, _bad string", options).alias("j"))
+    return rows.where("j is not null and j._bad is null").select("j.*").drop("_bad")
+
+
 def code_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entities, call_sites) of code index documents."""
-    raw = spark.read.schema(CODE_INDEX).json(path, multiLine=True)
+    return code_index_rows(spark.read.schema(CODE_INDEX).json(path, multiLine=True))
+
+
+def code_index_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.select("repo", F.inline("entities")), raw.select("repo", F.inline("call_sites"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, since: str | None = None) -> DataFrame:
     """A JSON-lines log; bad lines are skipped. ``since`` filters on an RFC 3339 ``ts``."""
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    df = df.withColumn("ts", F.try_to_timestamp("ts"))
+    return timed_rows(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path), since)
+
+
+def timed_rows(raw: DataFrame, since: str | None = None) -> DataFrame:
+    df = raw.withColumn("ts", F.try_to_timestamp("ts"))
     return df if since is None else df.where(F.col("ts") >= F.lit(since).cast("timestamp"))
 
 
@@ -84,7 +97,12 @@ def _as_fields(ddl: str) -> str:
 def commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(commits, file_changes) of a log text: blocks start with ``COMMIT_START``, then
     hash, author, email, date, subject and ``M/A/D/R<tab>path`` lines."""
-    blocks = spark.read.option("lineSep", "COMMIT_START\n").text(path).where(F.trim("value") != "")
+    return commit_rows(spark.read.option("lineSep", "COMMIT_START\n").text(path))
+
+
+def commit_rows(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from one text block ``value`` per commit."""
+    blocks = blocks.where(F.trim("value") != "")
     part = F.split("value", "\n")
     rows = blocks.select(
         F.get(part, F.lit(0)).alias("hash"), F.get(part, F.lit(1)).alias("author"),
@@ -106,7 +124,10 @@ def commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def chat_export(spark: SparkSession, path: str) -> DataFrame:
     """Messages of channel exports; empty ones are skipped, text is kept whole."""
-    raw = spark.read.schema(CHAT).json(path, multiLine=True)
+    return chat_rows(spark.read.schema(CHAT).json(path, multiLine=True))
+
+
+def chat_rows(raw: DataFrame) -> DataFrame:
     m = raw.select("channel_id", F.col("channel_name").alias("channel"), F.inline("messages"))
     return m.where("ts <> '' and text <> ''").withColumns(
         {"ts_key": F.col("ts"), "ts": F.col("ts").try_cast("double"), "reply_count": F.coalesce("reply_count", F.lit(0))}
@@ -118,9 +139,12 @@ def _text(col: str) -> Column:
 
 
 def ticket_export(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(TICKETS).json(path).where("key <> ''")
+    return ticket_rows(spark.read.schema(TICKETS).json(path))
+
+
+def ticket_rows(raw: DataFrame) -> DataFrame:
     f = "fields."
-    return raw.select(
+    return raw.where("key <> ''").select(
         "key", _text(f + "summary").alias("summary"), _text(f + "status.name").alias("status"),
         _text(f + "status.statusCategory.name").alias("status_category"),
         _text(f + "assignee.displayName").alias("assignee"), _text(f + "reporter.displayName").alias("reporter"),
@@ -132,7 +156,11 @@ def ticket_export(spark: SparkSession, path: str) -> DataFrame:
 
 def issue_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(issues, in-app frames) of error-tracker exports."""
-    raw = spark.read.schema(ISSUES).json(path).where("id <> ''")
+    return issue_rows(spark.read.schema(ISSUES).json(path))
+
+
+def issue_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    raw = raw.where("id <> ''")
     issues = raw.select(
         F.col("id").alias("issue_id"), _text("title").alias("title"),
         F.coalesce(F.col("count").try_cast("long"), F.lit(0)).alias("count"),
@@ -155,8 +183,11 @@ def issue_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def pull_requests(spark: SparkSession, path: str, repo: str) -> DataFrame:
-    raw = spark.read.schema(PULLS).json(path).where("number <> 0")
-    return raw.select(
+    return pull_rows(spark.read.schema(PULLS).json(path), repo)
+
+
+def pull_rows(raw: DataFrame, repo: str) -> DataFrame:
+    return raw.where("number <> 0").select(
         F.lit(repo).alias("repo"), "number", _text("title").alias("title"), _text("state").alias("state"),
         _text("author.login").alias("author"), _text("headRefName").alias("branch"),
         *[F.try_to_timestamp(F.nullif(F.col(c), F.lit(""))).alias(n) for c, n in
@@ -181,7 +212,10 @@ def probe_history(spark: SparkSession, path: str) -> DataFrame:
 
 def network_paths(spark: SparkSession, path: str) -> DataFrame:
     """One row per hop of every path sample."""
-    raw = spark.read.schema(PATHS).option("mode", "DROPMALFORMED").json(path)
+    return path_rows(spark.read.schema(PATHS).option("mode", "DROPMALFORMED").json(path))
+
+
+def path_rows(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("timestamp").alias("ts"), "signal_dbm", F.posexplode("path").alias("hop_no", "h")).select(
         "ts", "signal_dbm", "hop_no", "h.hop", "h.host", F.col("h.latency_avg_ms").alias("avg_ms"),
         F.col("h.latency_max_ms").alias("max_ms"), "h.jitter_ms", "h.loss_pct",
