@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsweave.operators import policy as P
 from opsweave.operators import policy_state as S
-from opsweave.operators.rules import compare, load_rules
+from opsweave.operators.rules import compare, if_else, load_rules, ruleset
 from opsweave.plans.registry import query
 from opsweave.sources import tables as T
 
@@ -600,3 +600,69 @@ def fsm_timeouts(spark, sf):
     e = fsm_events(spark, sf)
     states = S.final_states(e, S.replay(e, MACHINE))
     return S.due_timeouts(states, MACHINE, 1706659200.0)
+
+
+@query(
+    "policy_unary_truth",
+    "POL5 POL6",
+    f"""WITH {SQL_EVENTS}, u AS (SELECT event_type, k % 3 = 0 AS flag, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'false' ELSE 'true' END AS word, value FROM ev)
+    SELECT event_type, count(*) FILTER (flag) AS yes, count(*) FILTER (NOT flag) AS no, count(*) FILTER (word = 'true') AS word_yes, count(*) FILTER (coalesce(word, '') IN ('false', '')) AS word_no,
+      count(*) FILTER (coalesce(word, '') = '') AS empty, count(*) FILTER (coalesce(word, '') <> '') AS filled,
+      sum(CASE WHEN flag AND value > 50 THEN 2 WHEN value > 100 THEN 1 ELSE 0 END)::BIGINT AS points, count(*) FILTER (CASE WHEN flag THEN 'x' ELSE word END = 'x') AS branch
+    FROM u GROUP BY 1""",
+)
+def unary_truth(spark, sf):
+    k = F.col("k")
+    word = F.when(k % 4 == 1, "").when(k % 4 == 2, "false").when(k % 4 == 3, "true")
+    e = T.events(spark, sf).select("event_type", (k % 3 == 0).alias("flag"), word.alias("word"), "value")
+
+    def n(field, op):
+        return F.count_if(compare(e, field, op))
+
+    points = F.coalesce(ruleset((F.col("flag") & (F.col("value") > 50), F.lit(2)), (F.col("value") > 100, F.lit(1))), F.lit(0))
+    return e.groupBy("event_type").agg(
+        n("flag", "is_true").alias("yes"), n("flag", "is_false").alias("no"), n("word", "is_true").alias("word_yes"),
+        n("word", "is_false").alias("word_no"), n("word", "is_empty").alias("empty"), n("word", "is_not_empty").alias("filled"),
+        F.sum(points).alias("points"), F.count_if(if_else(F.col("flag"), F.lit("x"), F.col("word")) == "x").alias("branch"),
+    )
+
+
+@query(
+    "policy_rules_from_table",
+    "POL9",
+    f"""WITH {SQL_EVENTS}, r AS (SELECT n_nationkey AS ord, n_nationkey * 4 AS bound FROM nation),
+    f AS (SELECT event_id, min(ord) AS ord FROM ev JOIN r ON k = bound AND value > ord GROUP BY 1)
+    SELECT 'when k eq ' || f.ord * 4 || ' and amount gt ' || f.ord || ' then ' || CASE WHEN f.ord % 2 = 0 THEN 'block' ELSE 'ask' END AS rule, count(*) AS n FROM f GROUP BY 1""",
+)
+def rules_from_table(spark, sf):
+    """Rule texts are read from a table: one per nation."""
+    i = F.col("n_nationkey")
+    dsl = F.concat(F.lit("when k eq "), i * 4, F.lit(" and amount gt "), i, F.lit(" then "), F.when(i % 2 == 0, "block").otherwise("ask"))
+    rules = P.collect_rules(T.load(spark, sf, "nation").select(i.alias("ord"), dsl.alias("dsl")))
+    c = P.guard_check(T.action_events(spark, sf), rules).where("rule is not null")
+    return c.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(
+    "policy_compliance_summary",
+    "POL25",
+    """WITH r AS (SELECT o_custkey AS member, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS version FROM orders GROUP BY 1)
+    SELECT count(*) AS total, count(*) FILTER (coalesce(version = '1-URGENT', false)) AS compliant, count(*) FILTER (NOT coalesce(version = '1-URGENT', false)) AS non_compliant
+    FROM customer LEFT JOIN r ON member = c_custkey""",
+)
+def compliance_totals(spark, sf):
+    return P.compliance_summary(compliance(spark, sf))
+
+
+@query(
+    "policy_table_source",
+    "POL28",
+    f"""WITH {SQL_EVENTS}, n AS (SELECT o_custkey AS session, count(*) AS blast_radius FROM orders GROUP BY 1)
+    SELECT coalesce(blast_radius, 0) > 12 AS risky, count(*) AS n FROM ev LEFT JOIN n ON session = user_id GROUP BY 1""",
+)
+def table_source(spark, sf):
+    """A risk source that comes from a table: open orders of the session's customer."""
+    n = T.load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("session")).agg(F.count("*").alias("blast_radius"))
+    e = P.attach_policy_dimension(T.action_events(spark, sf), n, "session")
+    c = P.guard_check(e, load_rules(["when blast_radius gt 12 then require_approval"]))
+    return c.groupBy(F.col("rule").isNotNull().alias("risky")).agg(F.count("*").alias("n"))
