@@ -8,7 +8,7 @@ first ones must meet. The index holds these prefixes:
 * *Bands.* Linked sets have sizes within a factor of 0.9. Sets are indexed in the band of their size
   (powers of two), and also in the band below if they reach into it. Within a band only tokens whose
   hash is below the band's share are used; the argument holds in any sub-universe of tokens that leaves
-  every set enough of them, and shares are doubled until that is so.
+  every set enough of them, and shares are raised until that is so.
 * *Order.* Tokens are ordered by their frequency in the band, rarest first, over all documents. Tokens
   of one set alone count for the prefix but need no index.
 * *Combinations.* Tokens held by more than ``FREQUENT`` sets are indexed in pairs: m of them in a prefix
@@ -90,8 +90,9 @@ def first_share(band: int) -> float:
     return min(1.0, 0.15 + 12 / 2**band)
 
 
-def _nodes(docs: DataFrame, id_col: str, text_col: str, shares: dict[int, float]) -> DataFrame:
-    """``(id, n, v, short, parts)``: per row its set's size and hash, and per band the tokens used."""
+def _nodes(docs: DataFrame, id_col: str, text_col: str, shares: dict[int, float], with_parts: bool) -> DataFrame:
+    """``(id, n, v, short, parts)``: per row its set's size and hash, the bands in which it has too few
+    tokens, and, if asked for, per band the tokens used."""
 
     def one(row) -> Iterator[tuple]:
         tokens = shingles(row[1])
@@ -105,8 +106,9 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, shares: dict[int, float]
             own = tokens if share >= 1 else tokens[: np.searchsorted(tokens, np.uint64(int(share * (1 << 64))))]
             if len(own) < min(n, edits(n) + 2):
                 short.append(b)
-            keys = mix64(own ^ np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64)))
-            parts.append((b, len(own), keys.view(np.int64).tolist()))
+            if with_parts:
+                keys = mix64(own ^ np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64)))
+                parts.append((b, len(own), keys.view(np.int64).tolist()))
         v = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
         yield row[0], n, v, short, parts
 
@@ -254,17 +256,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row ``(id_col, n_shingles, component_id)`` per row: the smallest id reachable by links."""
     shares: dict[int, float] = {}
     while True:
-        rows = cut_lineage(_nodes(docs, id_col, text_col, shares))
+        rows = cut_lineage(_nodes(docs, id_col, text_col, shares, False).drop("parts"))  # narrow
         few = [r["b"] for r in rows.select(F.explode("short").alias("b")).distinct().collect()]  # bands
         if not few:
             break
-        shares |= {b: min(1.0, 2 * (shares.get(b) or first_share(b))) for b in few}
+        shares |= {b: min(1.0, 1.25 * (shares.get(b) or first_share(b))) for b in few}
     reps = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    first = rows.where("v is not null").select("v", "id", "n", "parts").join(
-        reps.select("v", F.col("id").alias("_first")), "v"
-    )
-    nodes = first.where(F.col("id").eqNullSafe(F.col("_first")) & (F.size("parts") > 0)).select("v", "n", "parts")
-    entries = cut_lineage(_signatures(nodes.dropDuplicates(["v"])).distinct())
+    wide = _nodes(docs, id_col, text_col, shares, True).where(F.size("parts") > 0).select("v", "id", "n", "parts")
+    first = wide.join(reps.select("v", F.col("id").alias("_first")), "v")
+    nodes = first.where(F.col("id").eqNullSafe(F.col("_first"))).select("v", "n", "parts")
+    nodes = cut_lineage(nodes.dropDuplicates(["v"]))  # tokens are shuffled from here, each set's once
+    entries = cut_lineage(_signatures(nodes).distinct())
     pivots = entries.groupBy("entry").agg(F.min("v").alias("a"), F.count("*").alias("c")).where("c > 1")
     pairs = entries.join(pivots, "entry").where("v != a").select("a", F.col("v").alias("b")).distinct()
     clusters = cut_lineage(components(cut_lineage(pairs)))
