@@ -290,3 +290,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
     own = docs.withColumn(nr, order).where(F.col(nr) == 1)
     return own.join(kept, own[id_col].eqNullSafe(kept[key]), "left_semi").select(*docs.columns)
+
+
+SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as t from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.t = b.t and a.doc_id < b.doc_id group by all),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * c >= 90 * (x.n + y.n - c)),
+u as (select a, b from l union all select b, a from l),
+cc(id, component) using key (id) as (select doc_id, doc_id from documents
+  union (select u.b as id, min(cc.component) as component from cc join u on u.a = cc.id
+         join recurring.cc as old on old.id = u.b group by u.b having min(cc.component) < min(old.component)))
+select doc_id, coalesce(n, 0) as n_shingles, component as component_id from documents join cc on id = doc_id left join n using (doc_id)
+"""

@@ -62,4 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html_extract,
     )
 }
-SQL: dict[str, str] = {"op5_source_mix": mixing.SQL, "op7_top_k": topk.SQL, "op9_url_filter": urls.SQL}
+SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.SQL, "op5_source_mix": mixing.SQL, "op7_top_k": topk.SQL, "op9_url_filter": urls.SQL,
+}
