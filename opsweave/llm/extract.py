@@ -255,7 +255,9 @@ def made_pages(n: int, seed: int = 3) -> Iterator[tuple[list, np.ndarray]]:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Labeller:
     own = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html"))
-    sample = own.where(F.length("html").between(1, FIT_CHARS)).orderBy(F.md5("id"), "id", "html").limit(FIT_PAGES).collect()
+    own = own.where(F.length("html").between(1, FIT_CHARS))
+    ids = own.select("id").distinct().orderBy(F.md5("id"), "id").limit(FIT_PAGES)  # ids first: only theirs travel
+    sample = own.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("html").alias("html")).orderBy("id").collect()
     x, y = [], []
     for found, labels in made_pages(MADE_PAGES):
         x.append(vectors(found))
