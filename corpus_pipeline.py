@@ -1,7 +1,8 @@
 """Corpus pipeline over ``documents``: every stage is written as Parquet and read again.
 
 1. ``toxicity``: documents that the classifier chain finds toxic go.
-2. ``near_duplicates``: of each group of linked documents, the one with the smallest id stays.
+2. ``near_duplicates``: of each group of linked documents, the one with the smallest id stays. Links are
+   those of ``op2_ngram_join``: word shingles of three, Jaccard >= 0.9.
 3. ``decontaminate``: documents that hold a benchmark item go.
 4. ``secrets``: every secret is replaced in the text; all documents stay.
 5. ``mix``: the documents that the mix takes, with their number of words taken, copies and place.

@@ -1,11 +1,11 @@
-"""Similarity join on word n-grams: Jaccard >= 0.9, by token-combination prefixes.
+"""Similarity join on word n-grams: Jaccard >= ``percent`` / 100, by token-combination prefixes.
 
-A document is the set of its distinct shingles of three words (tokens here). Equal sets become one
-node. Two nodes x, y can only be linked if x lacks at most ``edits = |x| - ceil(0.9 |x|)`` of its tokens
-in y. So among any ``edits + 1`` of its tokens, one is shared, and of the tokens in a common order the
+A document is the set of its distinct shingles of ``size`` words (tokens here). The query takes three words
+and 90 %; ``percent`` has to be above 50. Equal sets become one node. Two nodes x, y can only be linked if x
+lacks at most ``edits = |x| - ceil(percent / 100 * |x|)`` of its tokens in y. So among any ``edits + 1`` of its tokens, one is shared, and of the tokens in a common order the
 first ones must meet. The index holds these prefixes:
 
-* *Bands.* Linked sets have sizes within a factor of 0.9. Sets are indexed in the band of their size
+* *Bands.* Linked sets have sizes within a factor of ``percent`` / 100. Sets are indexed in the band of their size
   (powers of two), and also in the band below if they reach into it. Within a band only tokens whose
   hash is below the band's share are used; the argument holds in any sub-universe of tokens that leaves
   every set enough of them, and shares are raised until that is so.
@@ -20,7 +20,8 @@ every pair of blocks of a cluster is verified exactly with incidence matrices; o
 the links found leaves the task. The components of the links are the result; no two documents are ever
 written out as a pair of copies.
 
-Sets of up to 8 tokens can only be linked to equal ones (9 of 10 is the smallest unequal pair). A null,
+Very small sets (at 90 %, up to 8 tokens: 9 of 10 is the smallest unequal pair) can only be linked to equal
+ones. A null,
 empty or wordless text has an empty set and is linked with nothing. Repeated rows and equal texts are
 one node and are all reported; rows of one id with different texts are different documents.
 """
@@ -40,7 +41,7 @@ from opsweave.llm.components import components
 from opsweave.session import cut_lineage
 
 SHINGLE = 3
-PERCENT = 90  # 100 * intersection >= PERCENT * union
+PERCENT = 90  # linked: 100 * intersection >= percent * union
 FREQUENT = 64
 PAIRED_UP_TO = 10  # bands of sets below 2 ** (this + 1) index frequent tokens in pairs
 BLOCK_TOKENS = 300_000  # tokens of one block of a cluster, on average
@@ -73,38 +74,40 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def edits(n: int) -> int:
-    """Tokens that a set of n may lack in a linked one: n - ceil(PERCENT / 100 * n)."""
-    return n - -(-PERCENT * n // 100)
+def edits(n: int, percent: int = PERCENT) -> int:
+    """Tokens that a set of n may lack in a linked one: n - ceil(percent / 100 * n)."""
+    return n - -(-percent * n // 100)
 
 
-def bands(n: int) -> list[int]:
+def bands(n: int, percent: int = PERCENT) -> list[int]:
     """The band of a set of n tokens, and the one below if linked sets may lie there."""
-    if edits(n) == 0 and n < 9:
+    if 100 * n // percent == n:  # no larger set can be linked, and none that lacks a token
         return []
     own = n.bit_length() - 1
-    return [own, own - 1] if -(-PERCENT * n // 100) < 1 << own else [own]
+    return [own, own - 1] if -(-percent * n // 100) < 1 << own else [own]
 
 
-def first_share(band: int) -> float:
-    return min(1.0, 0.15 + 12 / 2**band)
+def first_share(band: int, percent: int = PERCENT) -> float:
+    return min(1.0, 1.5 * (100 - percent) / 100 + 12 / 2**band)
 
 
-def _nodes(docs: DataFrame, id_col: str, text_col: str, shares: dict[int, float], with_parts: bool) -> DataFrame:
+def _nodes(
+    docs: DataFrame, id_col: str, text_col: str, shares: dict[int, float], with_parts: bool, size: int, percent: int
+) -> DataFrame:
     """``(id, n, v, short, parts)``: per row its set's size and hash, the bands in which it has too few
     tokens, and, if asked for, per band the tokens used."""
 
     def one(row) -> Iterator[tuple]:
-        tokens = shingles(row[1])
+        tokens = shingles(row[1], size)
         n = len(tokens)
         if not n:
             yield row[0], 0, None, [], []
             return
         parts, short = [], []
-        for b in bands(n):
-            share = shares.get(b) or first_share(b)
+        for b in bands(n, percent):
+            share = shares.get(b) or first_share(b, percent)
             own = tokens if share >= 1 else tokens[: np.searchsorted(tokens, np.uint64(int(share * (1 << 64))))]
-            if len(own) < min(n, edits(n) + 2):
+            if len(own) < min(n, edits(n, percent) + 2):
                 short.append(b)
             if with_parts:
                 keys = mix64(own ^ np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -119,7 +122,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, shares: dict[int, float]
     )
 
 
-def _signatures(nodes: DataFrame) -> DataFrame:
+def _signatures(nodes: DataFrame, percent: int) -> DataFrame:
     """Index entries ``(entry, v)`` of nodes ``(v, n, parts)``."""
     parts = nodes.select("v", "n", F.explode("parts").alias("p")).select("v", "n", "p.band", "p.m", "p.keys")
     tokens = parts.select("v", "band", F.explode("keys").alias("key"))
@@ -127,7 +130,7 @@ def _signatures(nodes: DataFrame) -> DataFrame:
     # a set's own tokens only; a third of all sets may share a key, which adaptive joins split
     held = tokens.join(shared, "key").groupBy("v", "band").agg(F.collect_list(F.struct("df", "key")).alias("held"))
     held = held.join(parts.select("v", "band", "n", "m"), ["v", "band"])
-    need = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     held = held.withColumn("need", need.cast("long")).where(F.col("m") - F.size("held") < F.col("need"))
 
     def one(row) -> Iterator[tuple]:
@@ -153,13 +156,15 @@ def _signatures(nodes: DataFrame) -> DataFrame:
     return map_rows(held.select("v", "band", "m", "need", "held"), one, "entry bigint, v bigint")
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def linked(
+    sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT
+) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among sorted token arrays (between the two sides if given)."""
     c = len(sets)
     n = np.array([len(s) for s in sets])
     if c == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if 100 * both >= PERCENT * (n.sum() - both):
+        if 100 * both >= percent * (n.sum() - both):
             yield 0, 1
         return
     row = np.repeat(np.arange(c), n)
@@ -176,7 +181,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[t
         part = np.zeros((c, width), dtype=np.float32)
         part[row[a:b], token[a:b] - lo] = 1
         common += part @ part.T
-    near = 100 * common.astype(np.int64) >= PERCENT * (n[:, None] + n[None, :] - common.astype(np.int64))
+    near = 100 * common.astype(np.int64) >= percent * (n[:, None] + n[None, :] - common.astype(np.int64))
     if side is not None:
         near &= side[:, None] != side[None, :]
     left = np.ones(c, dtype=bool)
@@ -208,7 +213,9 @@ def id_filter(rows: DataFrame, id_col: str) -> bytes:
     return bytes(out)
 
 
-def _links(docs: DataFrame, id_col: str, text_col: str, clusters: DataFrame, reps: DataFrame) -> DataFrame:
+def _links(
+    docs: DataFrame, id_col: str, text_col: str, clusters: DataFrame, reps: DataFrame, size: int, percent: int
+) -> DataFrame:
     """Links ``(a, b)`` within clusters ``(node, component)``; reps: ``(v, id, n)``."""
     own = clusters.join(reps, clusters["node"] == reps["v"]).select("component", "v", "id", "n")
     sizes = own.groupBy("component").agg(F.sum("n").alias("tokens"))
@@ -221,7 +228,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, clusters: DataFrame, rep
 
     def sets(row) -> Iterator[tuple]:
         if wanted[row[2] >> 3] >> (row[2] & 7) & 1:
-            tokens = shingles(row[1])
+            tokens = shingles(row[1], size)
             if len(tokens):
                 yield row[0], xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63), tokens.tobytes()
 
@@ -245,32 +252,34 @@ def _links(docs: DataFrame, id_col: str, text_col: str, clusters: DataFrame, rep
             v = own["v"].to_numpy()
             if len(v) > 1:
                 side = own["block"].to_numpy() if lo != hi else None
-                found = linked([np.frombuffer(t, dtype=np.uint64) for t in own["tokens"]], side)
+                found = linked([np.frombuffer(t, dtype=np.uint64) for t in own["tokens"]], side, percent)
                 out += [(int(v[i]), int(v[j])) for i, j in found]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return made.groupBy("g").applyInPandas(verify, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
     """One row ``(id_col, n_shingles, component_id)`` per row: the smallest id reachable by links."""
     shares: dict[int, float] = {}
     while True:
-        rows = cut_lineage(_nodes(docs, id_col, text_col, shares, False).drop("parts"))  # narrow
+        rows = cut_lineage(_nodes(docs, id_col, text_col, shares, False, size, percent).drop("parts"))  # narrow
         few = [r["b"] for r in rows.select(F.explode("short").alias("b")).distinct().collect()]  # bands
         if not few:
             break
-        shares |= {b: min(1.0, 1.25 * (shares.get(b) or first_share(b))) for b in few}
+        shares |= {b: min(1.0, 1.25 * (shares.get(b) or first_share(b, percent))) for b in few}
     reps = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    wide = _nodes(docs, id_col, text_col, shares, True).where(F.size("parts") > 0).select("v", "id", "n", "parts")
+    wide = _nodes(docs, id_col, text_col, shares, True, size, percent).where(F.size("parts") > 0).select("v", "id", "n", "parts")
     first = wide.join(reps.select("v", F.col("id").alias("_first")), "v")
     nodes = first.where(F.col("id").eqNullSafe(F.col("_first"))).select("v", "n", "parts")
     nodes = cut_lineage(nodes.dropDuplicates(["v"]))  # tokens are shuffled from here, each set's once
-    entries = cut_lineage(_signatures(nodes).distinct())
+    entries = cut_lineage(_signatures(nodes, percent).distinct())
     pivots = entries.groupBy("entry").agg(F.min("v").alias("a"), F.count("*").alias("c")).where("c > 1")
     pairs = entries.join(pivots, "entry").where("v != a").select("a", F.col("v").alias("b")).distinct()
     clusters = cut_lineage(components(cut_lineage(pairs)))
-    links = cut_lineage(_links(docs, id_col, text_col, clusters, reps))
+    links = cut_lineage(_links(docs, id_col, text_col, clusters, reps, size, percent))
     found = components(links).withColumnRenamed("node", "v")
     named = reps.join(found, "v", "left").select("v", "id", F.coalesce("component", "v").alias("c"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
@@ -281,10 +290,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
     """One row of each component, the one with the smallest id; all columns stay. Of rows that repeat
     an id, the one with the smallest text stays."""
-    kept = join(docs, id_col, text_col).where(F.col("component_id").eqNullSafe(F.col(id_col)))
+    kept = join(docs, id_col, text_col, size, percent).where(F.col("component_id").eqNullSafe(F.col(id_col)))
     key, nr = fresh(docs, "_kept"), fresh(docs, "_nr")
     kept = kept.select(F.col(id_col).alias(key)).distinct()
     order = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))

@@ -72,6 +72,30 @@ def test_planted_groups_against_brute_force(spark, frame, monkeypatch):
         assert got == want
 
 
+def test_five_words_at_80_percent(spark, frame):
+    """Near copies of 5-word Jaccard 0.80 to 0.85, which 3 words at 0.9 do not link."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for group, (n, changed) in enumerate([(200, 4), (100, 2), (420, 8), (1000, 18), (3000, 55), (8, 0), (9, 0)]):
+        base = [f"g{group}w{i}" for i in range(n)]
+        copy = list(base)
+        for k in range(changed):
+            copy[10 + k * (n - 20) // max(changed, 1)] = f"new{rng.random()}"
+        if not changed:  # 4 shingles of 5, and 5 of 6
+            copy.append("more")
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, copy)]
+        assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+        rows += [(2 * group, " ".join(base), "a"), (2 * group + 1, " ".join(copy), "a")]
+        want |= {2 * group: 2 * group, 2 * group + 1: 2 * group}
+    rows += [(99, " ".join(f"w{i}" for i in range(300)), "a"), (100, "g1w0 g1w1 g1w2", "a")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(frame(rows), size=5, percent=80).collect()}
+    assert got == want | {99: 99, 100: 100}
+    kept = ngram_join.keep_one(frame(rows), size=5, percent=80).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({*want.values(), 99, 100})
+    for n in range(1, 500):
+        assert all(set(ngram_join.bands(n, 80)) & set(ngram_join.bands(m, 80)) for m in range(n + 1, n * 5 // 4 + 1)), n
+
+
 def test_query_against_brute_force(spark, docs):
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op2_ngram_join"](spark, SF).collect()}
