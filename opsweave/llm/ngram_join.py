@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsweave.llm.common import fresh, map_rows, mix64, words_of
@@ -91,17 +91,21 @@ def first_share(band: int, percent: int = PERCENT) -> float:
     return min(1.0, 1.5 * (100 - percent) / 100 + 12 / 2**band)
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def _nodes(
     docs: DataFrame, id_col: str, text_col: str, shares: dict[int, float], with_parts: bool, size: int, percent: int
 ) -> DataFrame:
-    """``(id, n, v, short, parts)``: per row its set's size and hash, the bands in which it has too few
-    tokens, and, if asked for, per band the tokens used."""
+    """``(id, t, n, v, short, parts)``: per row the hash of its text, its set's size and hash, the bands in
+    which it has too few tokens, and, if asked for, per band the tokens used."""
 
     def one(row) -> Iterator[tuple]:
         tokens = shingles(row[1], size)
         n = len(tokens)
         if not n:
-            yield row[0], 0, None, [], []
+            yield row[0], row[2], 0, None, [], []
             return
         parts, short = [], []
         for b in bands(n, percent):
@@ -113,12 +117,12 @@ def _nodes(
                 keys = mix64(own ^ np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64)))
                 parts.append((b, len(own), keys.view(np.int64).tolist()))
         v = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
-        yield row[0], n, v, short, parts
+        yield row[0], row[2], n, v, short, parts
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     return map_rows(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), one,
-        f"id {kind}, n bigint, v bigint, short array<int>, parts array<struct<band:int,m:int,keys:array<bigint>>>",
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col)), one,
+        f"id {kind}, t bigint, n bigint, v bigint, short array<int>, parts array<struct<band:int,m:int,keys:array<bigint>>>",
     )
 
 
@@ -259,10 +263,8 @@ def _links(
     return made.groupBy("g").applyInPandas(verify, "a bigint, b bigint")
 
 
-def join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT
-) -> DataFrame:
-    """One row ``(id_col, n_shingles, component_id)`` per row: the smallest id reachable by links."""
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(id, t, n, v)``, and the component ``(v, id, c)`` of each set with its least id."""
     shares: dict[int, float] = {}
     while True:
         rows = cut_lineage(_nodes(docs, id_col, text_col, shares, False, size, percent).drop("parts"))  # narrow
@@ -282,6 +284,14 @@ def join(
     links = cut_lineage(_links(docs, id_col, text_col, clusters, reps, size, percent))
     found = components(links).withColumnRenamed("node", "v")
     named = reps.join(found, "v", "left").select("v", "id", F.coalesce("component", "v").alias("c"))
+    return rows, named
+
+
+def join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """One row ``(id_col, n_shingles, component_id)`` per row: the smallest id reachable by links."""
+    rows, named = _components(docs, id_col, text_col, size, percent)
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
     named = named.join(least, "c").select("v", "component_id")
     out = rows.select("id", "n", "v").join(named, "v", "left")
@@ -293,14 +303,24 @@ def join(
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """One row of each component, the one with the smallest id; all columns stay. Of rows that repeat
-    an id, the one with the smallest text stays."""
-    kept = join(docs, id_col, text_col, size, percent).where(F.col("component_id").eqNullSafe(F.col(id_col)))
-    key, nr = fresh(docs, "_kept"), fresh(docs, "_nr")
-    kept = kept.select(F.col(id_col).alias(key)).distinct()
-    order = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    own = docs.withColumn(nr, order).where(F.col(nr) == 1)
-    return own.join(kept, own[id_col].eqNullSafe(kept[key]), "left_semi").select(*docs.columns)
+    """One row of each component, the one with the smallest id; all columns stay.
+
+    Rows of one id, or without an id, are documents of their own if their texts differ: each is judged by
+    its own text. Rows without an id come last in their component; among rows of one id, the least hash
+    of the text decides, and of rows with equal id and text any one stays. Wordless texts all stay.
+    """
+    rows, named = _components(docs, id_col, text_col, size, percent)
+    least = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("t"))).alias("least")
+    own = rows.where("v is not null").groupBy("v").agg(least)  # one row per set, so that no join is on hot keys
+    own = own.join(named.select("v", "c"), "v").groupBy("c").agg(F.min("least").alias("least")).select("least.*")
+    z, i, t = (fresh(docs, c) for c in ("_z", "_i", "_t"))  # none is null, so that one exchange serves all
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    kept = own.select(F.col("z").alias(z), name("id").alias(i), F.col("t").alias(t))
+    text = F.col(text_col).cast("string")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    all_rows = docs.withColumns({z: F.col(id_col).isNull(), i: name(id_col), t: _text_hash(text_col)})
+    one = all_rows.where(worded).dropDuplicates([z, i, t]).join(kept, [z, i, t], "left_semi")
+    return one.select(*docs.columns).union(docs.where(~worded))
 
 
 SQL = r"""

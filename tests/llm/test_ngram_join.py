@@ -132,3 +132,15 @@ def test_edges(frame, edge_rows):
     kept = ngram_join.keep_one(frame(edge_rows))
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, 7, None], key=str)
     assert kept.columns == frame([]).columns and ngram_join.keep_one(frame([])).count() == 0
+
+
+def test_keep_one_judges_rows_by_their_texts(frame):
+    """Different texts under one id or without an id are different documents."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    near = b.replace("b0 ", "x0 ")  # 27 of 29 shingles
+    loose = [(None, f"text {i} without an id", "a") for i in range(20)]
+    rows = [(3, a, "a"), (5, a, "a"), (5, b, "a"), (5, b, "a"), (6, near, "a"), (None, a, "a"), (None, c, "a"), (None, c, "b")]
+    rows += loose + loose[:4] + [(None, "", "a"), (None, None, "a"), (1, " ", "a"), (1, " ", "a")]
+    want = [(3, a), (5, b), (None, c), (None, ""), (None, None), (1, " "), (1, " ")] + [(None, t) for _, t, _ in loose]
+    kept = ngram_join.keep_one(frame(rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
