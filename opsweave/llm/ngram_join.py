@@ -17,7 +17,7 @@ first ones must meet. The index holds these prefixes:
 
 Sets that share an index entry are candidates. Their clusters are cut into blocks of bounded size, and
 every pair of blocks of a cluster is verified exactly with incidence matrices; only a spanning forest of
-the links found leaves the task. The components of the links are the result; no two documents are ever
+the links found leaves the task. Blocks are bounded in tokens and in sets, as the matrices have a row per set. The components of the links are the result; no two documents are ever
 written out as a pair of copies.
 
 Very small sets (at 90 %, up to 8 tokens: 9 of 10 is the smallest unequal pair) can only be linked to equal
@@ -45,6 +45,8 @@ PERCENT = 90  # linked: 100 * intersection >= percent * union
 FREQUENT = 64
 PAIRED_UP_TO = 10  # bands of sets below 2 ** (this + 1) index frequent tokens in pairs
 BLOCK_TOKENS = 300_000  # tokens of one block of a cluster, on average
+BLOCK_SETS = 3000  # sets of one block, on average: two blocks take a float matrix of their counts squared
+STRIP = 1024
 BATCH_TOKENS = 2_000_000
 FILTER_BITS = 1 << 23
 _CACHED = 400_000
@@ -184,10 +186,8 @@ def linked(
         a, b = np.searchsorted(token, (lo, lo + width))
         part = np.zeros((c, width), dtype=np.float32)
         part[row[a:b], token[a:b] - lo] = 1
-        common += part @ part.T
-    near = 100 * common.astype(np.int64) >= percent * (n[:, None] + n[None, :] - common.astype(np.int64))
-    if side is not None:
-        near &= side[:, None] != side[None, :]
+        for at in range(0, c, STRIP):  # a product of the whole would be a second matrix
+            common[at : at + STRIP] += part[at : at + STRIP] @ part.T
     left = np.ones(c, dtype=bool)
     for start in range(c):
         if not left[start]:
@@ -195,7 +195,11 @@ def linked(
         left[start], todo = False, [start]
         while todo:
             i = todo.pop()
-            new = np.flatnonzero(near[i] & left)
+            both = common[i].astype(np.int64)
+            near = left & (100 * both >= percent * (n[i] + n - both))
+            if side is not None:
+                near &= side != side[i]
+            new = np.flatnonzero(near)
             left[new] = False
             for j in new.tolist():
                 yield i, j
@@ -222,10 +226,11 @@ def _links(
 ) -> DataFrame:
     """Links ``(a, b)`` within clusters ``(node, component)``; reps: ``(v, id, n)``."""
     own = clusters.join(reps, clusters["node"] == reps["v"]).select("component", "v", "id", "n")
-    sizes = own.groupBy("component").agg(F.sum("n").alias("tokens"))
-    blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")
-    own = own.join(sizes.select("component", "tokens", blocks.alias("blocks")), "component")
-    batches = max(1, -(-(sizes.where(f"tokens <= {BLOCK_TOKENS}").agg(F.sum("tokens")).collect()[0][0] or 0) // BATCH_TOKENS))
+    sizes = own.groupBy("component").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets"))
+    blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("sets") / BLOCK_SETS)).cast("int")
+    sizes = sizes.select("component", "tokens", blocks.alias("blocks"))
+    own = own.join(sizes, "component")
+    batches = max(1, -(-(sizes.where("blocks = 1").agg(F.sum("tokens")).collect()[0][0] or 0) // BATCH_TOKENS))
     block = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
     own = own.select("id", "v", "component", "blocks", block.alias("block")).withColumnRenamed("id", "_id")
     wanted = id_filter(own, "_id")

@@ -1,14 +1,24 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from opsweave.llm import ngram_join, queries
 from opsweave.llm.components import components
 from tests.llm.conftest import SF
 
 
+class Largest(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def brute(rows):
     """Smallest linked id and set size per row, by all pairs of sets that share a shingle."""
     sets, size = defaultdict(list), {}
@@ -144,3 +154,37 @@ def test_keep_one_judges_rows_by_their_texts(frame):
     want = [(3, a), (5, b), (None, c), (None, ""), (None, None), (1, " "), (1, " ")] + [(None, t) for _, t, _ in loose]
     kept = ngram_join.keep_one(frame(rows))
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_memory_of_many_short_sets():
+    """Two blocks of short texts: one float matrix and strips, not several matrices of 8 bytes a cell."""
+    rng = np.random.default_rng(3)
+    shared = np.arange(28, dtype=np.uint64)
+    sets = [np.concatenate([shared, 100 + np.sort(rng.choice(3000, 2, False)).astype(np.uint64)]) for _ in range(3000)]
+    side = np.arange(3000) % 2
+    tracemalloc.start()
+    forest = list(ngram_join.linked(sets, side))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * 3000**2 and all(side[i] != side[j] for i, j in forest)
+    near = lambda i, j: 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 90 * (60 - k)
+    assert forest and all(near(i, j) for i, j in forest)
+
+
+def test_blocks_are_bounded_in_sets(spark, frame, monkeypatch):
+    """A cluster of short texts is cut into blocks though its tokens would fit into one."""
+    rng = random.Random(5)
+    shared = [f"s{i}" for i in range(40)]
+    rows = [(d, " ".join([f"a{d}" if rng.random() < 0.5 else f"b{d % 9}", *shared, f"c{rng.randrange(200)}"])) for d in range(300)]
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 40)
+    largest, linked = spark.sparkContext.accumulator(0, Largest()), ngram_join.linked
+
+    def watched(sets, side=None, percent=90):
+        largest.add(len(sets))
+        return linked(sets, side, percent)
+
+    monkeypatch.setattr(ngram_join, "linked", watched)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame([(d, t, "a") for d, t in rows])).collect()}
+    assert got == brute(rows)
+    assert 2 < largest.value < 160  # two blocks of 40 on average, of 300
