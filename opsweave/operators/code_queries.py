@@ -141,11 +141,11 @@ def file_skeleton(entities: DataFrame) -> DataFrame:
     return entities.withColumn("position", F.row_number().over(w))
 
 
-def module_exports(functions: DataFrame, k: int = 100) -> DataFrame:
-    """Public names per file: how many, and the first ``k``."""
+def module_exports(functions: DataFrame, k: int | None = 100) -> DataFrame:
+    """Public names per file: how many, and the first ``k``, or all of them for None."""
     public = functions.where(~F.col("name").startswith("_")).select("file", "name").distinct()
     n = public.groupBy("file").agg(F.count("*").alias("n"))
-    few = top_k(public, ["file"], [F.col("name")], k)
+    few = public if k is None else top_k(public, ["file"], [F.col("name")], k)
     return n.join(few.groupBy("file").agg(F.array_sort(F.collect_list("name")).alias("names")), "file")
 
 

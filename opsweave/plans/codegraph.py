@@ -343,7 +343,7 @@ def file_skeleton(spark, sf):
     f"WITH {SQL_FN} SELECT file, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM fn GROUP BY 1",
 )
 def module_exports(spark, sf):
-    return Q.module_exports(T.functions(spark, sf), 900).withColumn("names", F.array_join("names", ","))
+    return Q.module_exports(T.functions(spark, sf), None).withColumn("names", F.array_join("names", ","))
 
 
 SQL_FILES = """fg AS (SELECT DISTINCT a.file AS src, z.file AS dst FROM calls JOIN fn a ON a.id = calls.src JOIN fn z ON z.id = calls.dst WHERE a.file <> z.file)"""

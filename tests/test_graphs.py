@@ -5,6 +5,7 @@ import pytest
 
 from opsweave.operators import code_queries as Q
 from opsweave.operators import graph_algos as A
+from opsweave.plans import load_all
 
 
 def graph(seed, nodes=24, edges=40):
@@ -156,3 +157,12 @@ def test_token_scores(spark):
     assert score("retry backoff", "retry_backoff") == 0.6  # 0.6 * 1.0, no body
     assert score("retry backoff", "create_user") == 0.0
     assert score("retry", "retrying") > 0
+
+
+def test_module_exports_lists_every_name(spark, tmp_path):
+    part = spark.range(1, 1101).selectExpr("id as p_partkey", "'a b' as p_name", "'Brand#11' as p_brand", "1 as p_size")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    (got,) = load_all()["code_module_exports"].run(spark, str(tmp_path)).collect()
+    assert got.n == 1100 and got.names.split(",") == sorted(f"a_b_{i}" for i in range(1, 1101))
+    few = Q.module_exports(spark.createDataFrame([("f", "a"), ("f", "b"), ("f", "_c")], "file string, name string"), 1).collect()
+    assert [(r.n, r.names) for r in few] == [(2, ["a"])]
