@@ -85,25 +85,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(*m.span(), "hex") for m in _HEX.finditer(text)]
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
-    """Name and literal spans of every assignment, in text order; the flag tells a literal that
-    came through a constant. A later assignment of a name replaces the earlier one."""
-    constants: dict[str, list[tuple[int, int, bool]]] = {}
+class Value:
+    """The right side of an assignment: its own literals' spans, and the constants' values that it took over.
+
+    Values are shared by reference, so that a text of n assignments holds n of them, however often
+    one flows into the next."""
+
+    __slots__ = ("own", "taken", "tested")
+
+    def __init__(self, own: list[tuple[int, int]], taken: list[Value]):
+        self.own, self.taken = own, list(dict.fromkeys(taken))
+        self.tested = 0.0  # the largest name weight that its literals have met
+
+
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """Name and value of every assignment, in text order. A later assignment of a name replaces the
+    earlier one."""
+    constants: dict[str, Value] = {}
     for left in _LEFT.finditer(text):
-        at, spans = left.end(), []
+        at, own, taken = left.end(), [], []
         while m := _PIECE.match(text, at):
             if m["name"] is not None and m["name"] in constants:
-                spans += [(a, b, True) for a, b, _ in constants[m["name"]]]
+                taken.append(constants[m["name"]])
             elif m["lit"] is not None:
-                spans.append((*m.span("lit"), False))
+                own.append(m.span("lit"))
             elif (part := "name" if m["name"] is not None else "bare") and m[part]:
-                spans.append((*m.span(part), False))
+                own.append(m.span(part))
             if not m["plus"]:
                 break
             at = m.end()
-        if spans:
-            constants[left[1]] = spans
-            yield left[1], spans
+        if own or taken:
+            constants[left[1]] = value = Value(own, taken)
+            yield left[1], value
 
 
 def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
@@ -117,15 +130,24 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     if "=" in text or ":" in text:
         covered = [(a, b) for a, b, _ in found]
         more: dict[tuple[int, int], str] = {}
-        for name, spans in pairs(text):
+        for name, value in pairs(text):
             weight = name_weight(name)
             if weight < 0.5:
                 continue
-            for a, b, through in spans:
-                if weight + literal_weight(text[a:b]) >= NEEDED + 0.5 and not any(
-                    x <= a and b <= y for x, y in covered
-                ):
-                    more.setdefault((a, b), "flow" if through else "pair")
+            todo = [value]
+            while todo:
+                v = todo.pop()
+                if v.tested >= weight:  # a lower weight adds nothing
+                    continue
+                v.tested = weight
+                for a, b in v.own:
+                    if (
+                        (a, b) not in more
+                        and weight + literal_weight(text[a:b]) >= NEEDED + 0.5
+                        and not any(x <= a and b <= y for x, y in covered)
+                    ):
+                        more[a, b] = "pair" if v is value else "flow"
+                todo += v.taken
         found += [(a, b, kind) for (a, b), kind in more.items()]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import tracemalloc
 
 from opsweave.llm import queries, secrets
 from tests.llm.conftest import SF
@@ -61,3 +63,46 @@ def test_redaction(frame):
     assert got[1]["text"] == 'x token = "[SECRET]" y' and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] is None and got[3]["text"] == "clean" and got[3]["n_chars"] is None
     assert df.columns == frame([]).columns
+
+
+def flat(text):
+    """pair and flow spans by copying every constant's spans at each use."""
+    constants, more, covered = {}, {}, [(a, b) for a, b, _ in secrets.base_spans(text)]
+    for m in re.finditer(r"^(\w+) = (.*)$", text, re.M):
+        at, spans = m.start(2), []
+        for piece in m[2].split(" + "):
+            if piece in constants:
+                spans += [(a, b, True) for a, b, _ in constants[piece]]
+            else:
+                spans.append((at + 1, at + len(piece) - 1, False) if piece[0] == '"' else (at, at + len(piece), False))
+            at += len(piece) + 3
+        constants[m[1]], weight = spans, secrets.name_weight(m[1])
+        for a, b, through in spans if weight >= 0.5 else ():
+            if weight + secrets.literal_weight(text[a:b]) >= 1.5 and not any(x <= a and b <= y for x, y in covered):
+                more.setdefault((a, b), "flow" if through else "pair")
+    return {(a, b, k) for (a, b), k in more.items()}
+
+
+def test_constants_against_copied_spans():
+    rng, found = random.Random(2), 0
+    names = ["a", "b", "c", "key", "auth", "db_pwd", "my_secret_key", "signing"]
+    literals = ['"aB3dE5gH7jK9mN2p"', '"abcdefgh"', '"Zx81kQpL0m"', '"0a1b2c3d4e"', '"short"', '"abababab1"']
+    for _ in range(400):
+        lines = [f"{rng.choice(names)} = " + " + ".join(rng.choice(names + literals) for _ in range(rng.randint(1, 3))) for _ in range(12)]
+        text = "\n".join(lines)
+        got = {x for x in secrets.find_secrets(text) if x[2] in ("pair", "flow")}
+        assert got == flat(text), text
+        found += sum(x[2] == "flow" for x in got)
+    assert found > 100
+
+
+def test_growing_constants():
+    """Doubled constants, and a constant that grows line by line, take no more room than their text."""
+    doubled = 's = "aB3dE5gH7jK9mN2p"\n' + "s = s + s\n" * 20 + "db_pwd = s\n"
+    grown = 'db_pwd = "aB3dE5gH7jK9mN2p"\n' + 'db_pwd = db_pwd + "xY8wQ2zR5t"\n' * 2000
+    for text, kinds in ((doubled, {"flow": 1}), (grown, {"pair": 2001})):
+        tracemalloc.start()
+        found = secrets.find_secrets(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {k: sum(x[2] == k for x in found) for k in {x[2] for x in found}} == kinds and peak < 5_000_000
