@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsweave.llm import decontaminate, extract, licenses, mixing, ngram_join, secrets, suffix_dedup, topk, toxicity, urls
+from opsweave.llm import (
+    decontaminate, extract, licenses, merkle, mixing, ngram_join, periodic, secrets, suffix_dedup, token_files, topk, toxicity, urls,
+)
 from opsweave.llm.common import load
 
 
@@ -56,12 +58,27 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(load(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(load(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.digest(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_ngram_join, op3_license_scan, op4_suffix_dedup, op5_source_mix, op6_toxicity, op7_top_k, op8_decontaminate, op9_url_filter,
-        op10_html_extract,
+        op10_html_extract, op11_periodic_runs, op12_token_files, op13_merkle_manifest,
     )
 }
 SQL: dict[str, str] = {
     "op2_ngram_join": ngram_join.SQL, "op5_source_mix": mixing.SQL, "op7_top_k": topk.SQL, "op9_url_filter": urls.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
