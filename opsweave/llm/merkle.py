@@ -3,11 +3,10 @@
 1. *Leaves.* A row's leaf is the SHA-256 of its columns, each ``-`` if null, else byte count, ``:`` and value. Leaves
    of a group are numbered by id (null first), then leaf. The numbers come from a range sort of narrow rows and
    the counts of its ranges, so that a group with most of the rows is spread over all tasks; equal rows are cut by their place in the input.
-2. *Levels.* The ``fan_out`` consecutive nodes of a run are siblings. Each sibling computes the index of the run's
-   first node from its own (its index XOR 1 for a binary tree, its index less its slot otherwise) and is
-   joined to that node on it, slot by slot: an equijoin of unique keys. The slot-zero rows then hold the whole
-   run and emit the parent, the digest of all the run's hex digests; also where a run has one node only. A group
-   of one node keeps it as its subroot.
+2. *Levels.* The ``fan_out`` consecutive nodes of a run are siblings. The slot-zero row of each run computes its
+   siblings' indices (XOR for a binary tree, slot offsets otherwise) and the level is joined to itself on them: an
+   equijoin of unique keys. The slot-zero rows then emit the parents, the digest of all the run's hex digests;
+   also where a run has one node only. A group of one node keeps it as its subroot.
 3. *Subroots* are numbered by group (null first, by UTF-8 bytes) and form a tree of the same shape, whose top is
    the root.
 4. *Proofs* go down again: a run's siblings of each slot are put before the proof of its parent. A row's
@@ -33,6 +32,7 @@ from opsweave.session import cut_lineage
 FAN_OUT = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ROWS_PER_PARTITION = 500_000
+LEVELS_A_PLAN = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STEP = "struct<left:binary,right:binary>"
 
@@ -72,26 +72,30 @@ def _joined(digests: Column) -> Column:
     return F.aggregate(digests, F.lit(b"").cast("binary"), lambda a, h: F.concat(a, h))
 
 
-def levels(nodes: DataFrame, fan_out: int) -> tuple[list[DataFrame], DataFrame]:
+def levels(nodes: DataFrame, sizes: DataFrame, fan_out: int) -> tuple[list[DataFrame], DataFrame]:
     """From nodes ``(g, i, h, m)`` (group, index from 0, digest, nodes of the group): the runs ``(g, p, hs, m)``
-    of every level, and the tops ``(g, h)``. A group of one node is handed up as it is until all have one."""
+    of every level, and the tops ``(g, h)``. A group of one node is handed up as it is until all have one.
+    sizes: ``m`` of each group."""
     runs: list[DataFrame] = []
-    while True:
-        most, total = nodes.agg(F.max("m"), F.count("*")).collect()[0]
-        if (most or 0) <= 1:
-            return runs, nodes.select("g", "h")
-        slot = F.pmod("i", F.lit(fan_out)).cast("int")
-        first = F.col("i").bitwiseXOR(slot.cast("long")) if fan_out == 2 else F.col("i") - slot
-        keyed = nodes.select("g", "h", "m", slot.alias("slot"), first.alias("first"))
-        run = keyed.where("slot = 0").select("g", "first", "m", F.col("h").alias("h0"))
-        for k in range(1, fan_out):
-            sibling = keyed.where(F.col("slot") == k).select("g", "first", F.col("h").alias(f"h{k}"))
-            run = run.join(sibling, ["g", "first"], "left")
-        hs = F.filter(F.array(*[f"h{k}" for k in range(fan_out)]), lambda h: h.isNotNull())
-        run = run.select("g", F.floor(F.col("first") / fan_out).cast("long").alias("p"), hs.alias("hs"), "m")
-        runs.append(cut_lineage(run.coalesce(max(1, -(-total // ROWS_PER_PARTITION)))))  # narrow rows, ever fewer
+    most = sizes.agg(F.max("m")).collect()[0][0] or 0
+    height = 0
+    while fan_out**height < most:
+        height += 1
+    left = [F.sum(F.ceil(F.col("m") / fan_out**k)).cast("long") for k in range(height + 1)]
+    totals = sizes.agg(*left).collect()[0]
+    for level in range(height):
+        # the slot-zero node asks for the run by computed index, and what it gets makes the parent
+        head = nodes.where(F.col("i") % fan_out == 0).select("g", F.col("i").alias("first"), "m")
+        slots = F.sequence(F.lit(0).cast("long"), F.least(F.lit(fan_out).cast("long"), F.col("m") - F.col("first")) - 1)
+        asked = head.withColumn("slot", F.explode(slots))
+        index = F.col("first").bitwiseXOR(F.col("slot")) if fan_out == 2 else F.col("first") + F.col("slot")
+        sibling = asked.withColumn("i", index).join(nodes.select("g", "i", "h"), ["g", "i"])
+        run = sibling.groupBy("g", "first").agg(F.array_sort(F.collect_list(F.struct("slot", "h"))).alias("hs"), F.max("m").alias("m"))
+        run = run.select("g", F.floor(F.col("first") / fan_out).cast("long").alias("p"), F.col("hs.h").alias("hs"), "m")
+        runs.append(cut_lineage(run.coalesce(max(1, -(-totals[level + 1] // ROWS_PER_PARTITION)))))  # narrow rows, ever fewer
         parent = F.when(F.col("m") == 1, F.element_at("hs", 1)).otherwise(_digest_of(_joined(F.col("hs"))))
         nodes = runs[-1].select("g", F.col("p").alias("i"), parent.alias("h"), F.ceil(F.col("m") / fan_out).cast("long").alias("m"))
+    return runs, nodes.select("g", "h")
 
 
 def _step(slot: Column) -> Column:
@@ -108,10 +112,13 @@ def with_proofs(nodes: DataFrame, runs: list[DataFrame], tops: DataFrame, fan_ou
     if not runs:
         return nodes.join(up.drop("i"), "g")
     slot = F.col("slot")
-    for run in reversed(runs[1:]):
+    for k in reversed(range(1, len(runs))):
+        run = runs[k]
         own = run.join(up.withColumnRenamed("i", "p"), ["g", "p"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.size("hs") - 1)))
         own = own.withColumns({"i": F.col("p") * fan_out + slot, "proof": F.concat(_step(slot), "proof")})
         up = own.select(*up.columns)
+        if k % LEVELS_A_PLAN == 0:
+            up = cut_lineage(up)  # else one plan holds the joins of all levels
     lowest = runs[0].join(up.withColumnRenamed("i", "p"), ["g", "p"]).withColumnsRenamed({"g": "_g", "p": "_p", "m": "_m"})
     run_of = F.floor(F.col("i") / fan_out).cast("long")
     own = nodes.join(lowest, (nodes["g"] == lowest["_g"]) & (run_of == lowest["_p"])).drop("_g", "_p", "_m")
@@ -144,11 +151,11 @@ def manifest(
     both = placed.join(of, (placed["part"] == of["_part"]) & placed["group"].eqNullSafe(of["_group"]))
     kept = [f"x_{name}" for name in extra]
     nodes = cut_lineage(both.select("id", "group", "leaf", *kept, "g", (F.col("at") - F.col("first")).alias("i"), "m"))
-    runs, tops = levels(nodes.select("g", "i", F.col("leaf").alias("h"), "m"), fan_out)
+    runs, tops = levels(nodes.select("g", "i", F.col("leaf").alias("h"), "m"), groups, fan_out)
 
     count = groups.count()
     subroots = tops.select(F.lit(0).alias("g"), F.col("g").alias("i"), "h", F.lit(count).cast("long").alias("m"))
-    above, root = levels(subroots, fan_out)
+    above, root = levels(subroots, subroots.limit(1), fan_out)
     none = F.array().cast(f"array<{_STEP}>")
     roots = root.select("g", F.col("h").alias("root"), none.alias("proof"))
     proven = with_proofs(subroots.select("g", "i", F.col("h").alias("subroot"), "m"), above, roots, fan_out)
