@@ -36,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opsweave.llm.common import ROWS_PER_BATCH, _arrow_schema
+from opsweave.llm.common import ROWS_PER_BATCH
 from opsweave.session import cut_lineage, ensure_checkpoint_dir
 
 MAGIC = b"IDBITS01"
@@ -48,10 +49,11 @@ HEADER = "<IIQQQQ"
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 24
 END_ID = 0
-CACHED = 600_000  # chunks of text kept in each of two generations
+CACHED = 400_000  # pieces of text kept in a worker
 #: Unicode white space, which the tokenizers' patterns mean by \s.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
-_BEFORE_SPACE = [c + " " for c in SPACES]
+MARK = "\x01"
+BATCH_BYTES = 4 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -125,8 +127,9 @@ class Encoder:
 
     A byte-level tokenizer without normalizer cuts a text by a pattern of which no match runs on from
     another character into white space. So a text may be cut before white space that follows another
-    character, and its ids are those of the pieces. Pieces seen before come from a cache of bounded size; new ones
-    are encoded together, and their ids told apart by the bytes that each id stands for. Any other tokenizer encodes each text as it is.
+    character, and its ids are those of the pieces. A batch is cut by Arrow, its distinct pieces are looked up
+    in a cache of bounded size, and ids are put together by numpy. New pieces are encoded together, and
+    their ids told apart by the bytes that each id stands for. Any other tokenizer encodes each text as it is.
     """
 
     def __init__(self, path: str):
@@ -148,52 +151,104 @@ class Encoder:
         for i, token in self._library.get_added_tokens_decoder().items():
             self._bytes[i] = len(token.content.encode())
         self._piece = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._slots: dict[str, int] = {}
+        self._start = self._count = self._used = np.zeros(0, dtype=np.int64)
+        self._pool = np.zeros(0, dtype=np.uint32)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self._library.encode_batch(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str]:
-        if any(x in text for x in _BEFORE_SPACE):
-            return self._piece.findall(text)
-        head, *rest = text.split(" ")
-        return ([head] if head else []) + [" " + p for p in rest]
-
-    def _learn(self, missing: set[str]) -> None:
-        """Pieces that begin with a space can stand one after another if the one before ends otherwise."""
-        if len(self._new) + len(missing) > CACHED:
-            self._old, self._new = self._new, {}
-        unseen = []
-        for p in missing:
-            known = self._old.get(p)
-            if known is None:
-                unseen.append(p)
-            else:
-                self._new[p] = known
-        joined = [p for p in unseen if p[0] == " " and p[-1] not in SPACES]
-        for p, ids in zip(apart := [p for p in unseen if not (p[0] == " " and p[-1] not in SPACES)], self._plain(apart)):
-            self._new[p] = ids.tobytes()
-        for at in range(0, len(joined), 500):
-            some = joined[at : at + 500]
-            ids = self._plain(["".join(some)])[0]
+        return [np.array(e.ids, dtype=np.uint32) for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces that begin with white space can stand one after another if the one before ends otherwise."""
+        alone = [p for p in pieces if p[:1] not in (" ", "\n") or p[-1] in SPACES]
+        joined = [p for p in pieces if p[:1] in (" ", "\n") and p[-1] not in SPACES]
+        groups = [joined[at : at + 200] for at in range(0, len(joined), 200)]
+        ids, counts = self._plain(alone), []
+        counts += [len(x) for x in ids]
+        for some, found in zip(groups, self._plain(["".join(g) for g in groups])):
             ends = np.cumsum([len(p.encode("utf-8")) for p in some])
-            cuts = np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1
-            for p, own in zip(some, np.split(ids, cuts[:-1])):
-                self._new[p] = own.tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
+            cuts = np.searchsorted(np.cumsum(self._bytes[found]), ends) + 1
+            ids.append(found)
+            counts += np.diff(cuts, prepend=0).tolist()
+        counts = np.array(counts, dtype=np.int64)
+        self._slots.update(zip(alone + joined, range(len(self._count), len(self._count) + len(counts))))
+        self._start = np.r_[self._start, len(self._pool) + np.cumsum(counts) - counts]
+        self._count = np.r_[self._count, counts]
+        self._used = np.r_[self._used, np.zeros(len(counts), dtype=np.int64)]
+        self._pool = np.concatenate([self._pool, *ids])
+
+    def _forget(self) -> None:
+        """Keep the pieces seen often, at most half of what may be kept."""
+        order = np.argsort(-self._used, kind="stable")[: CACHED // 2]
+        order = np.sort(order[self._used[order] > 2])
+        names = list(self._slots)  # in the order of the slots
+        self._pool = self._pool[self._places(order)]
+        self._slots = {names[k]: new for new, k in enumerate(order.tolist())}
+        self._count, self._used = self._count[order], self._used[order]
+        self._start = np.cumsum(self._count) - self._count
+
+    def _places(self, slots: np.ndarray) -> np.ndarray:
+        """Where the ids of these pieces stand in the pool, one after another."""
+        counts = self._count[slots]
+        total = np.cumsum(counts)
+        return np.repeat(self._start[slots] - (total - counts), counts) + np.arange(total[-1] if len(total) else 0)
+
+    def _gather(self, distinct: list[str], which: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts and their counts: text t is the pieces ``which[cuts[t]:cuts[t + 1]]`` of ``distinct``."""
+        if len(self._slots) > CACHED:
+            self._forget()
+        self._learn([p for p in distinct if p not in self._slots])
+        slots = np.fromiter(map(self._slots.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        self._used[slots] += np.bincount(which, minlength=len(distinct))
+        slots = slots[which]
+        ends = np.r_[0, np.cumsum(self._count[slots])]
+        return self._pool[self._places(slots)], ends[cuts[1:]] - ends[cuts[:-1]]
+
+    def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts without a null and without white space side by side; a mark stands before each."""
+        mark, nothing = pa.scalar(MARK, texts.type), pa.scalar("", texts.type)
+        marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts, "\n", " \n"), nothing)
+        lists = pc.split_pattern(marked, " ")
+        found = lists.flatten().dictionary_encode()
+        names = [p[1:] if p[:1] == MARK else p if p[:1] == "\n" else " " + p for p in found.dictionary.to_pylist()]
+        distinct = dict.fromkeys(names)
+        if len(distinct) == len(names):
+            which = found.indices.to_numpy()
+        else:  # a text's first piece may equal another one
+            number = {p: k for k, p in enumerate(distinct)}
+            which = np.array([number[p] for p in names], dtype=np.int64)[found.indices.to_numpy()]
+        cuts = lists.offsets.to_numpy()
+        return self._gather(list(distinct), which, cuts - cuts[0])
+
+    def _others(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self._in_pieces:
+            found = self._plain(texts)
+            return np.concatenate([np.zeros(0, dtype=np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64)
+        pieces = [self._piece.findall(t) for t in texts]
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(w, len(number)) for p in pieces for w in p], dtype=np.int64)
+        return self._gather(list(number), which, np.cumsum([0] + [len(p) for p in pieces]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the number of ids of each; a null is an empty text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        odd = pc.match_substring_regex(texts, f"[{SPACES}][{SPACES}]|{MARK}").to_numpy(zero_copy_only=False)
         if not self._in_pieces:
-            return self._plain(texts)
-        pieces = [self._pieces(t) for t in texts]
-        found = [list(map(self._new.get, p)) for p in pieces]
-        self._learn({w for p, f in zip(pieces, found) if None in f for w, known in zip(p, f) if known is None})
-        new = self._new
-        return [
-            np.frombuffer(b"".join([new[w] if known is None else known for w, known in zip(p, f)] if None in f else f), dtype="<u4")
-            for p, f in zip(pieces, found)
-        ]
+            odd[:] = True
+        if not odd.any():
+            return self._regular(texts)
+        others, counts = self._others(texts.filter(pa.array(odd)).to_pylist())
+        if odd.all():
+            return others, counts
+        ids, n = self._regular(texts.filter(pa.array(~odd)))
+        both = np.zeros(len(texts), dtype=np.int64)
+        both[odd], both[~odd] = counts, n
+        out = np.zeros(int(both.sum()), dtype=np.uint32)
+        of_odd = np.repeat(odd, both)
+        out[of_odd], out[~of_odd] = others, ids
+        return out, both
 
 
 def encoder(path: str) -> Encoder:
@@ -205,6 +260,21 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to some bytes, and cut where they hold more; a row is never cut."""
+    held, size = [], 0
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most / max(most, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            held.append(batch.slice(at, step))
+            size += held[-1].nbytes
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def write(
     docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
     end_id: int = END_ID, file_ids: int = FILE_IDS, block_ids: int = BLOCK_IDS,
@@ -215,34 +285,35 @@ def write(
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(ranges, "id", "h", "row").sortWithinPartitions("id", "h", "row").select("id", "text")
-    kind = _arrow_schema(spark, f"id {rows.schema['id'].dataType.simpleString()}").field("id").type
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         bits = bits_for(max(tool.vocabulary, end_id + 1))
-        own, ids, n = [], [], 0
-        end = np.array([end_id], dtype="<u4")
+        own, ids, counts, n = [], [], [], 0
 
         def done() -> pa.RecordBatch:
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            sizes = np.concatenate(counts)
             index = pa.RecordBatch.from_arrays(
-                [pa.array(own, kind), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes)], names=["id", "start", "n"]
+                [pa.concat_arrays(own), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes)], names=["id", "start", "n"]
             )
-            return pa.RecordBatch.from_arrays(
-                [pa.array([file_bytes(part, number, index, np.concatenate(ids), bits, block_ids)], pa.binary())], names=["file"]
-            )
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                some = batch.slice(lo, 200)
-                for i, found in zip(some.column(0).to_pylist(), tool.encode(some.column(1).to_pylist())):
-                    own.append(i)
-                    ids.append(np.concatenate([found, end]))
-                    n += len(ids[-1])
-                    if n >= file_ids:
-                        yield done()
-                        own, ids, n, number = [], [], 0, number + 1
+            data = file_bytes(part, number, index, np.concatenate(ids), bits, block_ids)
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["file"])
+
+        for batch in _by_bytes(batches):
+            found, sizes = tool.encode(batch.column(1))
+            found, sizes = np.insert(found, np.cumsum(sizes), end_id), sizes + 1
+            ends, at = np.cumsum(sizes), 0
+            while at < len(sizes):  # up to the document that fills the file
+                before = ends[at - 1] if at else 0
+                stop = min(len(sizes), int(np.searchsorted(ends, before + file_ids - n)) + 1)
+                own.append(batch.column(0).slice(at, stop - at))
+                ids.append(found[before : ends[stop - 1]])
+                counts.append(sizes[at:stop])
+                n, at = n + int(ends[stop - 1] - before), stop
+                if n >= file_ids:
+                    yield done()
+                    own, ids, counts, n, number = [], [], [], 0, number + 1
         if own:
             yield done()
 

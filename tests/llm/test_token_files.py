@@ -35,11 +35,23 @@ def test_pieces_equal_the_whole_text():
     signs = ["a", "b", "é", "1", ".", "'s", "'", " ", "  ", "\n", "\t", "\r\n", "\x85", "\xa0", " ", "　", "\x1c", "\x1f", "᠎", "​", "﻿", "漢", "<|endoftext|>", "\x00", "日本", "ß", "🙂"]
     texts = ["", " ", "  a", "a ", "a  b", " \n x"] + ["".join(rng.choices(signs, k=rng.randint(1, 40))) for _ in range(3000)]
     for _ in range(2):  # also from the cache
-        got = tool.encode(texts)
-        for text, ids, want in zip(texts, got, plain.encode_batch(texts, add_special_tokens=False)):
+        ids, counts = tool.encode(pa.array([None, *texts]))
+        assert counts[0] == 0
+        for text, ids, want in zip(texts, np.split(ids, np.cumsum(counts[1:-1])), plain.encode_batch(texts, add_special_tokens=False)):
             assert ids.tolist() == want.ids, repr(text)
 
 
+def test_pieces_are_forgotten(monkeypatch):
+    monkeypatch.setattr(T, "CACHED", 20)
+    tool, plain = T.Encoder(PATH), Tokenizer.from_file(PATH)
+    for k in range(30):
+        texts = [f"The word{j % 7} of round {k} and {j}\nends here" for j in range(9)]
+        ids, counts = tool.encode(pa.array(texts))
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in got] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert len(tool._slots) < 60
+
+
 def want_of(rows):
     plain, out, start = Tokenizer.from_file(PATH), [], 0
     for i, text in rows:
