@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from opsweave.session import ensure_checkpoint_dir
+
 ROWS_PER_BATCH = 1000
 
 
@@ -48,6 +52,24 @@ def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], np.ndarray])
     return df.mapInArrow(run, df.schema)
 
 
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, which is removed at the end: for rows that are read more
+    than once, but no longer than the block lasts. What is made of it must be checkpointed inside."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    yield spark.read.parquet(path)
+    remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own in the shared folder, by the file system that holds it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

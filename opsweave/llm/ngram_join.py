@@ -2,8 +2,8 @@
 
 A document is the set of its distinct shingles of ``size`` words (tokens here). The query takes three words
 and 90 %; ``percent`` has to be above 50. Equal sets become one node. Two nodes x, y can only be linked if x
-lacks at most ``edits = |x| - ceil(percent / 100 * |x|)`` of its tokens in y. So among any ``edits + 1`` of its tokens, one is shared, and of the tokens in a common order the
-first ones must meet. The index holds these prefixes:
+lacks at most ``edits = |x| - ceil(percent / 100 * |x|)`` of its tokens in y. So among any ``edits + 1`` of its
+tokens, one is shared, and of the tokens in a common order the first ones must meet. The index holds these prefixes:
 
 * *Bands.* Linked sets have sizes within a factor of ``percent`` / 100. Sets are indexed in the band of their size
   (powers of two), and also in the band below if they reach into it. Within a band only tokens whose
@@ -11,18 +11,21 @@ first ones must meet. The index holds these prefixes:
   every set enough of them, and shares are raised until that is so.
 * *Order.* Tokens are ordered by their frequency in the band, rarest first, over all documents. Tokens
   of one set alone count for the prefix but need no index.
-* *Combinations.* Tokens held by more than ``FREQUENT`` sets are indexed in pairs: m of them in a prefix
-  count as m - 1, since after m - 2 losses two are still shared. A prefix is extended until it counts
-  ``edits + 1``. In bands of very large sets, where pairs would be too many, they stay single.
+* *Combinations.* Tokens held by more than ``FREQUENT`` sets are indexed in pairs. They fall into c classes by
+  their hash, as many as a band's ``classes``, and only pairs within a class are indexed: m of them in a
+  prefix count as m - c, since of c + 1 shared ones two are in one class. A prefix is extended until it counts
+  ``edits + 1``. As c grows with the edits, a class holds about four tokens and the entries of a set grow in proportion to its
+  edits, whatever its size.
 
 Sets that share an index entry are candidates. Their clusters are cut into blocks of bounded size, and
 every pair of blocks of a cluster is verified exactly with incidence matrices; only a spanning forest of
-the links found leaves the task. Blocks are bounded in tokens and in sets, as the matrices have a row per set. The components of the links are the result; no two documents are ever
-written out as a pair of copies.
+the links found leaves the task. Blocks are bounded in tokens and in sets, as the matrices have a row per set.
+The components of the links are the result; no two documents are ever written out as a pair of copies.
 
 Very small sets (at 90 %, up to 8 tokens: 9 of 10 is the smallest unequal pair) can only be linked to equal
 ones. A null,
-empty or wordless text has an empty set and is linked with nothing. Repeated rows and equal texts are
+empty or wordless text has an empty set and is linked with nothing; an empty table gives no rows. A very long
+text is a set of any size and takes the same path. Columns other than id and text are not read, so any may clash. Repeated rows and equal texts are
 one node and are all reported; rows of one id with different texts are different documents.
 """
 
@@ -36,14 +39,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsweave.llm.common import fresh, map_rows, mix64, words_of
+from opsweave.llm.common import fresh, map_rows, mix64, words_of, written
 from opsweave.llm.components import components
 from opsweave.session import cut_lineage
 
 SHINGLE = 3
 PERCENT = 90  # linked: 100 * intersection >= percent * union
 FREQUENT = 64
-PAIRED_UP_TO = 10  # bands of sets below 2 ** (this + 1) index frequent tokens in pairs
 BLOCK_TOKENS = 300_000  # tokens of one block of a cluster, on average
 BLOCK_SETS = 3000  # sets of one block, on average: two blocks take a float matrix of their counts squared
 STRIP = 1024
@@ -89,8 +91,13 @@ def bands(n: int, percent: int = PERCENT) -> list[int]:
     return [own, own - 1] if -(-percent * n // 100) < 1 << own else [own]
 
 
+def classes(band: int, percent: int = PERCENT) -> int:
+    """Classes of frequent tokens in a band, the same for all its sets: a third of the edits."""
+    return max(1, edits(3 << max(0, band - 1), percent) // 3)
+
+
 def first_share(band: int, percent: int = PERCENT) -> float:
-    return min(1.0, 1.5 * (100 - percent) / 100 + 12 / 2**band)
+    return min(1.0, 1.6 * (100 - percent) / 100 + 12 / 2**band)
 
 
 def _text_hash(text_col: str) -> Column:
@@ -113,7 +120,7 @@ def _nodes(
         for b in bands(n, percent):
             share = shares.get(b) or first_share(b, percent)
             own = tokens if share >= 1 else tokens[: np.searchsorted(tokens, np.uint64(int(share * (1 << 64))))]
-            if len(own) < min(n, edits(n, percent) + 2):
+            if len(own) < min(n, edits(n, percent) + classes(b, percent) + 1):
                 short.append(b)
             if with_parts:
                 keys = mix64(own ^ np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -128,6 +135,20 @@ def _nodes(
     )
 
 
+def pairs_within_classes(keys: list[int], c: int) -> list[int]:
+    """Hashes of the pairs of keys that fall into the same of c classes."""
+    a = np.sort(np.array(keys, dtype=np.int64)).view(np.uint64)
+    own = mix64(a ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(c)
+    order = np.argsort(own, kind="stable")
+    a, own = a[order], own[order]
+    out: list[int] = []
+    for lo, hi in zip(cuts := np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)]), [*cuts[1:], len(own)]):
+        i, j = np.triu_indices(hi - lo, 1)
+        part = a[lo:hi]
+        out += mix64(mix64(part[i]) * np.uint64(3) + part[j]).view(np.int64).tolist()
+    return out
+
+
 def _signatures(nodes: DataFrame, percent: int) -> DataFrame:
     """Index entries ``(entry, v)`` of nodes ``(v, n, parts)``."""
     parts = nodes.select("v", "n", F.explode("parts").alias("p")).select("v", "n", "p.band", "p.m", "p.keys")
@@ -141,23 +162,18 @@ def _signatures(nodes: DataFrame, percent: int) -> DataFrame:
 
     def one(row) -> Iterator[tuple]:
         v, band, m, lacking, own = row
-        covered, paired, single, last = m - len(own), band <= PAIRED_UP_TO, [], []
+        c, covered, last = classes(band, percent), m - len(own), []
         for df, key in sorted((r["df"], r["key"]) for r in own):
             if covered >= lacking:
                 break
-            if paired and df > FREQUENT:
+            if df > FREQUENT:
                 last.append(key)
-                covered += len(last) > 1
+                covered += len(last) > c
             else:
-                single.append(key)
+                yield key, v
                 covered += 1
-        for key in single:
+        for key in pairs_within_classes(last, c):
             yield key, v
-        if last:
-            a = np.sort(np.array(last, dtype=np.int64)).view(np.uint64)
-            i, j = np.triu_indices(len(a), 1)
-            for key in mix64(mix64(a[i]) * np.uint64(3) + a[j]).view(np.int64).tolist():
-                yield key, v
 
     return map_rows(held.select("v", "band", "m", "need", "held"), one, "entry bigint, v bigint")
 
@@ -281,8 +297,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     wide = _nodes(docs, id_col, text_col, shares, True, size, percent).where(F.size("parts") > 0).select("v", "id", "n", "parts")
     first = wide.join(reps.select("v", F.col("id").alias("_first")), "v")
     nodes = first.where(F.col("id").eqNullSafe(F.col("_first"))).select("v", "n", "parts")
-    nodes = cut_lineage(nodes.dropDuplicates(["v"]))  # tokens are shuffled from here, each set's once
-    entries = cut_lineage(_signatures(nodes, percent).distinct())
+    with written(nodes.dropDuplicates(["v"])) as nodes:  # tokens are shuffled from here, each set's once
+        entries = cut_lineage(_signatures(nodes, percent).distinct())
     pivots = entries.groupBy("entry").agg(F.min("v").alias("a"), F.count("*").alias("c")).where("c > 1")
     pairs = entries.join(pivots, "entry").where("v != a").select("a", F.col("v").alias("b")).distinct()
     clusters = cut_lineage(components(cut_lineage(pairs)))

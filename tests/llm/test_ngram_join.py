@@ -19,12 +19,12 @@ class Largest(AccumulatorParam):
         return max(a, b)
 
 
-def brute(rows):
-    """Smallest linked id and set size per row, by all pairs of sets that share a shingle."""
+def brute(rows, n=3, percent=90):
+    """Smallest linked id and set size per row, by all pairs of sets that share a shingle of n words."""
     sets, size = defaultdict(list), {}
     for d, t in rows:
         w = (t or "").encode().lower().split()
-        s = frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) or frozenset([tuple(w)] if w else [])
+        s = frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([tuple(w)] if w else [])
         size[d] = len(s)
         if s:
             sets[s].append(d)
@@ -39,7 +39,7 @@ def brute(rows):
     for i, s in enumerate(nodes):
         shared = Counter(j for x in s for j in index[x])
         for j, k in shared.items():
-            if 100 * k >= 90 * (len(s) + len(nodes[j]) - k):
+            if 100 * k >= percent * (len(s) + len(nodes[j]) - k):
                 root[find(i)] = find(j)
         for x in s:
             index[x].append(i)
@@ -112,6 +112,22 @@ def test_query_against_brute_force(spark, docs):
     assert got == want
 
 
+@pytest.mark.parametrize("n,percent", [(20, 90), (100, 90), (1000, 90), (2000, 90), (20_000, 90), (1000, 80)])
+def test_pairs_of_a_prefix_grow_with_the_edits(n, percent):
+    """A set of frequent tokens only: entries in proportion to the edits, and a pair left after all of them."""
+    rng = np.random.default_rng(n)
+    e = ngram_join.edits(n, percent)
+    for band in ngram_join.bands(n, percent):
+        c = ngram_join.classes(band, percent)
+        keys = rng.integers(-(1 << 63), 1 << 63, e + c + 1).tolist()
+        found = ngram_join.pairs_within_classes(keys, c)
+        assert len(found) <= max(10, 6 * (e + c))
+        for _ in range(20):
+            left = rng.choice(len(keys), c + 1, replace=False)
+            assert set(ngram_join.pairs_within_classes([keys[i] for i in left], c)) & set(found)
+    assert ngram_join.pairs_within_classes([], 3) == []
+
+
 def test_bound_and_bands():
     for n in range(1, 3000):
         linked = [m for m in range(n, int(n / 0.9) + 2) if 100 * n >= 90 * m]  # a subset of n in m

@@ -15,7 +15,7 @@ def test_stages_against_plain_python(spark, docs):
     score = toxicity.scorer(chain := toxicity.fit(docs, load(spark, SF, "labels")))
     at = toxicity.CHAIN.index("toxic")
     rows = [r for r in rows if score(r["text"])[0][at] < chain.thresholds[at]]
-    link = brute([(r["doc_id"], r["text"]) for r in rows])
+    link = brute([(r["doc_id"], r["text"]) for r in rows], 5, 80)
     rows = [r for r in rows if link[r["doc_id"]][1] == r["doc_id"]]
     index = decontaminate.Index([(r["item_id"], r["text"]) for r in load(spark, SF, "benchmark").collect()])
     bad = {x[0] for x in index.find([r["text"] for r in rows])}
@@ -45,7 +45,7 @@ def test_stages_on_edge_rows(spark, frame, edge_rows, tmp_path):
 
 def test_entry_lists_everything():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql())
 
 
