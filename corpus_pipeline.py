@@ -2,13 +2,14 @@
 
 1. ``toxicity``: documents that the classifier chain finds toxic go.
 2. ``near_duplicates``: of each group of linked documents, the one with the smallest id stays. Links are
-   those of ``op2_ngram_join``: word shingles of three, Jaccard >= 0.9.
+   those of the n-gram join at word shingles of five and a Jaccard of 0.8 or more.
 3. ``decontaminate``: documents that hold a benchmark item go.
 4. ``secrets``: every secret is replaced in the text; all documents stay.
 5. ``mix``: the documents that the mix takes, with their number of words taken, copies and place.
 
 Every stage keeps all columns; the last one adds ``taken``, ``copies`` and ``starts_at``. Null and empty
-texts pass the first four stages and are never taken by the mix. An empty table stays empty.
+texts pass the first four stages and are never taken by the mix. An empty table stays empty. ``run`` removes a
+stage's folder once the next one is written.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from opsweave.llm import decontaminate, mixing, ngram_join, secrets, toxicity
-from opsweave.llm.common import load
+from opsweave.llm.common import load, remove
 from opsweave.session import ensure_checkpoint_dir
 
 
@@ -28,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,4 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
