@@ -286,6 +286,21 @@ def outage_events(cycles: DataFrame) -> DataFrame:
     return alerts.unionByName(recovered)
 
 
+def failure_sessions(failures: DataFrame, keys: Sequence[str], gap: str = "gap_seconds") -> DataFrame:
+    """Failures of a key less than its gap apart are one session: ``(keys, started, ended, failures)``.
+
+    ``failures(keys, ts, gap)`` in seconds, one gap per key. A session ends its gap after its last failure. Histories are cut
+    into chunks, so no task holds those of one key; the streaming form uses Spark's session windows.
+    """
+    keys = list(keys)
+    before = with_previous(failures, keys, "ts", ["ts"])
+    new = F.when(F.col("prev_ts").isNull() | (F.col("ts") - F.col("prev_ts") > F.col(gap)), 1).otherwise(0)
+    numbered = with_running_sum(before.withColumn("_new", new), keys, "ts", {"session": F.col("_new")})
+    return numbered.groupBy(*keys, "session").agg(
+        F.min("ts").alias("started"), F.max(F.col("ts") + F.col(gap)).alias("ended"), F.count("*").alias("failures")
+    ).drop("session")
+
+
 def degradations(probes: DataFrame, cycles: DataFrame) -> DataFrame:
     """In good cycles: external targets above 20 % loss, else anything slower than 100 ms."""
     good = cycles.where("state = 'ok'").select("host", "ts")

@@ -6,7 +6,7 @@ from opsweave.plans.registry import ENTRIES
 
 _FAMILIES = (
     "policy", "logs", "metrics", "correlation", "inventory", "codegraph", "graphs", "search",
-    "alerts", "collab", "sources", "sinks",
+    "alerts", "paths", "collab", "sources", "sinks",
 )
 
 

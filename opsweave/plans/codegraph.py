@@ -352,14 +352,14 @@ SQL_FILES = """fg AS (SELECT DISTINCT a.file AS src, z.file AS dst FROM calls JO
 @query(
     "code_import_tree",
     "GRA22",
-    f"""WITH {SQL_FN}, {sql_calls()}, {SQL_FILES}, roots AS (SELECT DISTINCT file FROM fn WHERE line = 1),
+    f"""WITH {SQL_FN}, {sql_calls()}, {SQL_FILES}, roots AS (SELECT DISTINCT file FROM fn),
     r AS (SELECT file AS start, dst AS node, 1 AS d FROM roots JOIN fg ON src = file),
     r2 AS (SELECT * FROM r UNION SELECT r.start, fg.dst, 2 FROM r JOIN fg ON fg.src = r.node)
     SELECT start, node, min(d) AS depth FROM r2 GROUP BY ALL""",
 )
 def import_tree(spark, sf):
     f = T.functions(spark, sf)
-    roots = f.where("line = 1").select("file").distinct()
+    roots = f.select("file").distinct()
     return Q.import_tree(Q.file_graph(T.call_pairs(spark, sf), f), roots)
 
 
@@ -506,12 +506,12 @@ def diff_risk(spark, sf):
 
 def pr_changes(spark, sf):
     """Open PRs: open orders; their lines' files with the return flag as change."""
-    o = T.load(spark, sf, "orders").where("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("pr"))
+    o = T.load(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("pr"))
     c = T.file_changes(spark, sf).select(F.col("commit").alias("pr"), "file", F.col("change").alias("change_type"))
     return c.join(o, "pr", "left_semi")
 
 
-SQL_PRS = f"""{SQL_CHANGES}, prc AS (SELECT commit AS pr, file, change AS change_type FROM chg WHERE commit IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')),
+SQL_PRS = f"""{SQL_CHANGES}, prc AS (SELECT commit AS pr, file, change AS change_type FROM chg WHERE commit IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')),
   hit AS (SELECT DISTINCT pr, fn.id AS fn, name, file, change_type FROM prc JOIN fn USING (file))"""
 
 

@@ -134,14 +134,14 @@ def ticket_parents(spark, sf):
 @query(
     "pr_commits",
     "COL7",
-    """SELECT o_orderkey AS commit, o_custkey AS number FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
+    """SELECT o_orderkey AS commit, o_custkey AS number FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""",
 )
 def pr_commits(spark, sf):
     commits = T.load(spark, sf, "orders").select(
         F.col("o_orderkey").alias("commit"),
         F.concat(F.lit("Merge pull request #"), F.col("o_custkey").cast("string"), F.lit(" from x")).alias("message"),
     )
-    prs = T.load(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("number"))
+    prs = T.load(spark, sf, "customer").select(F.col("c_custkey").alias("number"))
     return C.pr_commits(prs, commits)
 
 

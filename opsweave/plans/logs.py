@@ -435,11 +435,11 @@ def kernel_findings(spark, sf):
 @query(
     "log_ssh_brute_force",
     "LOG22 REL12",
-    f"""WITH {SQL_EVENTS}, l AS (SELECT 'host-' || user_id % 10 AS hostname, 'Failed password for root from 10.1.0.' || k // 3 || ' port ' || event_id || ' ssh2' AS line FROM ev WHERE event_type IN ('error', 'view'))
+    f"""WITH {SQL_EVENTS}, l AS (SELECT 'host-' || user_id % 10 AS hostname, 'Failed password for root from 10.1.0.' || k // 3 || ' port ' || event_id || ' ssh2' AS line FROM ev)
     SELECT hostname, regexp_extract(line, 'from\\s+(\\S+)\\s+port', 1) AS source_ip, count(*) AS attempts FROM l GROUP BY ALL HAVING count(*) > 10""",
 )
 def ssh_brute_force(spark, sf):
-    e = T.events(spark, sf).where("event_type in ('error', 'view')")
+    e = T.events(spark, sf)
     lines = e.select(
         F.concat(F.lit("host-"), (F.col("user_id") % 10).cast("string")).alias("hostname"),
         F.concat(

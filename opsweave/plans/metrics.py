@@ -340,7 +340,7 @@ def path_bottleneck(spark, sf):
 @query(
     "metric_dns_comparison",
     "MET17",
-    f"""WITH {SQL_EVENTS}, c AS (SELECT user_id AS host, CASE event_type WHEN 'view' THEN '1.1.1.1' WHEN 'click' THEN '8.8.8.8' ELSE '192.168.1.' || k // 50 END AS resolver, value * 5 AS ms FROM ev WHERE k > 70),
+    f"""WITH {SQL_EVENTS}, c AS (SELECT user_id AS host, CASE event_type WHEN 'view' THEN '1.1.1.1' WHEN 'click' THEN '8.8.8.8' ELSE '192.168.1.' || k // 50 END AS resolver, value * 5 AS ms FROM ev),
     g AS (SELECT host, arg_min(resolver, (ms, resolver)) FILTER (resolver LIKE '192%') AS own_resolver, min(ms) FILTER (resolver LIKE '192%') AS own_ms, min(ms) FILTER (resolver NOT LIKE '192%') AS public_ms FROM c GROUP BY host)
     SELECT host, coalesce(own_resolver, '') AS own_resolver, round(coalesce(own_ms, -1), 4) AS own_ms, round(coalesce(public_ms, -1), 4) AS public_ms,
     NOT (coalesce(own_ms > 200, false) AND coalesce(public_ms > 200, true)) AS resolving FROM g""",
@@ -348,7 +348,7 @@ def path_bottleneck(spark, sf):
 def dns_comparison(spark, sf):
     t = F.col("event_type")
     own = F.concat(F.lit("192.168.1."), F.floor(F.col("k") / 50).cast("string"))
-    e = T.events(spark, sf).where("k > 70").select(
+    e = T.events(spark, sf).select(
         F.col("user_id").alias("host"),
         F.when(t == "view", "1.1.1.1").when(t == "click", "8.8.8.8").otherwise(own).alias("resolver"),
         (F.col("value") * 5).alias("response_ms"),
@@ -357,6 +357,26 @@ def dns_comparison(spark, sf):
     return d.withColumns({c: F.round(c, 4) for c in ("own_ms", "public_ms")})
 
 
+def failures(spark, sf):
+    """Errors of a user as failed probes of a host; the gap of a session is two hours, or a day for even users."""
+    return T.events(spark, sf).where("event_type = 'error'").select(
+        F.col("user_id").alias("host"), F.col("t").alias("ts"), F.when(F.col("user_id") % 2 == 0, 86400).otherwise(7200).alias("gap_seconds")
+    )
+
+
+@query(
+    "metric_failure_sessions",
+    "MET13",
+    f"""WITH {SQL_EVENTS}, f AS (SELECT user_id AS host, t, CASE WHEN user_id % 2 = 0 THEN 86400 ELSE 7200 END AS gap FROM ev WHERE event_type = 'error'),
+    n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY host ORDER BY t) <= gap THEN 0 ELSE 1 END AS new FROM f),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY host ORDER BY t ROWS UNBOUNDED PRECEDING) AS nr FROM n)
+    SELECT host, round(min(t), 3) AS started, round(max(t + gap), 3) AS ended, count(*) AS failures FROM s GROUP BY host, nr""",
+)
+def failure_sessions(spark, sf):
+    s = M.failure_sessions(failures(spark, sf), ["host"])
+    return s.withColumns({c: F.round(c, 3) for c in ("started", "ended")})
+
+
 @query(
     "metric_link_quality",
     "MET18",

@@ -456,14 +456,13 @@ def top_called_tools(spark, sf):
 @query(
     "policy_busy_hours",
     "POL33",
-    f"""WITH {SQL_EVENTS}, h AS (SELECT floor(t / 3600)::BIGINT AS hour, count(*) AS calls FROM ev WHERE event_type = 'error' GROUP BY 1),
+    f"""WITH {SQL_EVENTS}, h AS (SELECT floor(t / 3600)::BIGINT AS hour, count(*) AS calls FROM ev GROUP BY 1),
     a AS (SELECT avg(calls) AS average, count(*) AS hours FROM h)
     SELECT hour, calls, round(average, 6) AS average, round(calls / average, 6) AS ratio
     FROM h, a WHERE hours >= 2 AND calls > 2 * average""",
 )
 def busy_hours(spark, sf):
-    errors = T.events(spark, sf).where("event_type = 'error'")
-    hours = P.busy_hours(errors, 0.0)
+    hours = P.busy_hours(T.events(spark, sf), 0.0)
     return hours.select("hour", "calls", F.round("average", 6).alias("average"), F.round("ratio", 6).alias("ratio"))
 
 

@@ -232,6 +232,15 @@ def outages(cycles: DataFrame) -> DataFrame:
     return _stateful(cycles, "host", ["ts"], fold, "ts double, event string, seconds double", "fails long, since double")
 
 
+def failure_sessions(failures: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Sessions of failures: ``failures(host, event_time, gap_seconds)``, a gap per host. State of a session goes once the
+    watermark has passed its end."""
+    gap = F.concat(F.col("gap_seconds").cast("string"), F.lit(" seconds"))
+    seen = failures.withWatermark("event_time", delay)
+    sessions = seen.groupBy(F.session_window("event_time", gap).alias("w"), "host").agg(F.count("*").alias("failures"))
+    return sessions.select("host", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "failures")
+
+
 def pending_approvals(log: DataFrame) -> DataFrame:
     """Approvals granted by a tool call within 60 s of an ask: ``log(session, t, event_id,
     kind, rule)``."""
