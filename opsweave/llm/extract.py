@@ -7,7 +7,9 @@ known, and on at most ``FIT_PAGES`` pages of the table (those of up to ``FIT_CHA
 order of the MD5 of their ids), labelled by what their tag paths say. Every page is read whole.
 
 One output row per page row. A null or empty page, or one without article blocks, gives an empty text.
-Repeated rows give repeated results.
+Repeated rows give repeated results, an empty table none. Pages are read together by the number of their
+blocks, a very long one alone, so memory goes with the longest page. Other columns of the table may have any name but
+those of the result.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ FIT_CHARS = 20_000
 MADE_PAGES = 260
 HIDDEN = 10
 EPOCHS = 16
+CELLS = 1 << 15  # steps times pages that are read at once
 _BAD = {PATH_WORDS[w] for w in BOILERPLATE_WORDS}
 
 
@@ -142,13 +145,37 @@ class Labeller:
                     self.w[k] = self.w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
         return self
 
-    def labels(self, pages: list[np.ndarray], at_once: int = 64) -> list[np.ndarray]:
-        out: list = [None] * len(pages)
-        order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
-        for lo in range(0, len(order), at_once):
-            own = order[lo : lo + at_once]
-            for i, z in zip(own, self.logits([pages[i] for i in own])):
-                out[i] = z > 0
+    def _votes(self, pages: list[np.ndarray], direction: int) -> list[np.ndarray]:
+        """Of one direction (0 or 1), what its states add to each block's score. Pages in order of falling
+        length; only the gates' inputs of all steps are held, no states."""
+        wx, wh, b = self.w[3 * direction : 3 * direction + 3]
+        out = self.w[6][self.h * direction : self.h * (direction + 1)]
+        lens = np.array([len(p) for p in pages])
+        pre = np.zeros((int(lens[0]), len(pages), 4 * self.h))
+        for k, page in enumerate(pages):
+            rows = page[::-1] if direction else page
+            for at in range(0, len(rows), 4096):
+                pre[at : at + 4096, k][: len(rows) - at] = rows[at : at + 4096] @ wx + b
+        votes = np.zeros(pre.shape[:2])
+        h, c = np.zeros((len(pages), self.h)), np.zeros((len(pages), self.h))
+        for t, k in enumerate((lens[None, :] > np.arange(lens[0])[:, None]).sum(axis=1).tolist()):
+            z = pre[t, :k] + h[:k] @ wh
+            g = 1 / (1 + np.exp(-z[:, : 3 * self.h]))
+            c[:k] = g[:, self.h : 2 * self.h] * c[:k] + g[:, : self.h] * np.tanh(z[:, 3 * self.h :])
+            h[:k] = g[:, 2 * self.h :] * np.tanh(c[:k])
+            votes[t, :k] = h[:k] @ out
+        return [votes[:n, k][::-1] if direction else votes[:n, k] for k, n in enumerate(lens.tolist())]
+
+    def labels(self, pages: list[np.ndarray], cells: int = CELLS) -> list[np.ndarray]:
+        """Pages of like length are read together, as many as fit into ``cells`` steps times pages; a longer page alone."""
+        out: list = [np.zeros(0, dtype=bool) for _ in pages]
+        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: -len(pages[i]))
+        while order:
+            n = max(1, cells // len(pages[order[0]]))
+            own, order = order[:n], order[n:]
+            some = [pages[i] for i in own]
+            for i, page, f, b in zip(own, some, self._votes(some, 0), self._votes(some, 1)):
+                out[i] = f + b + page @ self.w[7] + self.w[8] > 0
         return out
 
 
@@ -269,6 +296,18 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> La
     return Labeller().fit(x, y)
 
 
+def _by_length(pages: list, most: int = 4 << 20) -> Iterator[list]:
+    """The pages in order, as many at once as have ``most`` characters; a longer one alone."""
+    own, total = [], 0
+    for page in pages:
+        if own and total + len(page or "") > most:
+            yield own
+            own, total = [], 0
+        own.append(page)
+        total += len(page or "")
+    yield own
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), model: Labeller | None = None) -> DataFrame:
     """One row ``(id_col, *keep, text, n_chars)`` per page; pages are not shuffled."""
     model = model or fit(pages, id_col, html_col)
@@ -278,9 +317,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(h) for h in batch.column(len(columns)).to_pylist()]
-            good = model.labels([vectors(f) for f in found])
-            texts = ["\n\n".join(b.text for b, g in zip(f, own) if g) for f, own in zip(found, good)]
+            texts = []
+            for some in _by_length(batch.column(len(columns)).to_pylist()):
+                found = [blocks(h) for h in some]
+                good = model.labels([vectors(f) for f in found])
+                texts += ["\n\n".join(b.text for b, g in zip(f, own) if g) for f, own in zip(found, good)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=[*columns, "text", "n_chars"],

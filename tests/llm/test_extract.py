@@ -1,5 +1,6 @@
 import html
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -85,3 +86,20 @@ def test_edges(spark, model):
     assert len(got) == 6 and [r["n_chars"] for r in got if r["page_id"] != 4] == [0] * 4
     assert all(r["text"].count("\n\n") == 19_999 for r in got if r["page_id"] == 4)
     assert extract.extract(df.limit(0)).count() == 0
+
+
+def test_memory_of_a_long_page_among_short_ones():
+    """63 short pages and one of 50,000 blocks: the short ones are not padded to the long one."""
+    rng = np.random.default_rng(1)
+    model = extract.Labeller()
+    for k in range(len(model.w)):
+        model.w[k] = model.w[k] + rng.normal(0, 0.3, model.w[k].shape)
+    pages = [rng.random((n, extract.SIZE), dtype=np.float32) for n in [0, *rng.integers(1, 40, 62), 50_000]]
+    tracemalloc.start()
+    got = model.labels(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for one, z in zip(got[:-1], model.logits(pages[:-1])):
+        assert (one == (z > 0)).all()
+    assert (got[-1][:300] == (model.logits([pages[-1]])[0] > 0)[:300]).all()
