@@ -14,7 +14,7 @@ tokens, one is shared, and of the tokens in a common order the first ones must m
 * *Combinations.* Tokens held by more than ``FREQUENT`` sets are indexed in pairs. They fall into c classes by
   their hash, as many as a band's ``classes``, and only pairs within a class are indexed: m of them in a
   prefix count as m - c, since of c + 1 shared ones two are in one class. A prefix is extended until it counts
-  ``edits + 1``. As c grows with the edits, a class holds about four tokens and the entries of a set grow in proportion to its
+  ``edits + 1``. As c grows with the edits, a class holds about six tokens and the entries of a set grow in proportion to its
   edits, whatever its size.
 
 Sets that share an index entry are candidates. Their clusters are cut into blocks of bounded size, and
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsweave.llm.common import fresh, map_rows, mix64, words_of, written
+from opsweave.llm.common import fresh, map_rows, mix64, release, words_of, written
 from opsweave.llm.components import components
 from opsweave.session import cut_lineage
 
@@ -92,12 +92,12 @@ def bands(n: int, percent: int = PERCENT) -> list[int]:
 
 
 def classes(band: int, percent: int = PERCENT) -> int:
-    """Classes of frequent tokens in a band, the same for all its sets: a third of the edits."""
-    return max(1, edits(3 << max(0, band - 1), percent) // 3)
+    """Classes of frequent tokens in a band, the same for all its sets: a fifth of the edits."""
+    return max(1, edits(3 << max(0, band - 1), percent) // 5)
 
 
 def first_share(band: int, percent: int = PERCENT) -> float:
-    return min(1.0, 1.6 * (100 - percent) / 100 + 12 / 2**band)
+    return min(1.0, 1.4 * (100 - percent) / 100 + 12 / 2**band)
 
 
 def _text_hash(text_col: str) -> Column:
@@ -284,6 +284,12 @@ def _links(
     return made.groupBy("g").applyInPandas(verify, "a bigint, b bigint")
 
 
+def _distinct_sets(wide: DataFrame, reps: DataFrame) -> DataFrame:
+    """One row ``(v, n, parts)`` of each set that can be linked to another."""
+    wide = wide.where(F.size("parts") > 0).select("v", "id", "n", "parts").join(reps.select("v", F.col("id").alias("_first")), "v")
+    return wide.where(F.col("id").eqNullSafe(F.col("_first"))).select("v", "n", "parts").dropDuplicates(["v"])
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows ``(id, t, n, v)``, and the component ``(v, id, c)`` of each set with its least id."""
     shares: dict[int, float] = {}
@@ -294,14 +300,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
             break
         shares |= {b: min(1.0, 1.25 * (shares.get(b) or first_share(b, percent))) for b in few}
     reps = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    wide = _nodes(docs, id_col, text_col, shares, True, size, percent).where(F.size("parts") > 0).select("v", "id", "n", "parts")
-    first = wide.join(reps.select("v", F.col("id").alias("_first")), "v")
-    nodes = first.where(F.col("id").eqNullSafe(F.col("_first"))).select("v", "n", "parts")
-    with written(nodes.dropDuplicates(["v"])) as nodes:  # tokens are shuffled from here, each set's once
+    with written(_distinct_sets(_nodes(docs, id_col, text_col, shares, True, size, percent), reps)) as nodes:  # tokens are shuffled from here, each set's once
         entries = cut_lineage(_signatures(nodes, percent).distinct())
     pivots = entries.groupBy("entry").agg(F.min("v").alias("a"), F.count("*").alias("c")).where("c > 1")
     pairs = entries.join(pivots, "entry").where("v != a").select("a", F.col("v").alias("b")).distinct()
     clusters = cut_lineage(components(cut_lineage(pairs)))
+    del entries, pivots, pairs
+    release(docs.sparkSession)
     links = cut_lineage(_links(docs, id_col, text_col, clusters, reps, size, percent))
     found = components(links).withColumnRenamed("node", "v")
     named = reps.join(found, "v", "left").select("v", "id", F.coalesce("component", "v").alias("c"))

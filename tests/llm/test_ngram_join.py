@@ -121,7 +121,7 @@ def test_pairs_of_a_prefix_grow_with_the_edits(n, percent):
         c = ngram_join.classes(band, percent)
         keys = rng.integers(-(1 << 63), 1 << 63, e + c + 1).tolist()
         found = ngram_join.pairs_within_classes(keys, c)
-        assert len(found) <= max(10, 6 * (e + c))
+        assert len(found) <= max(10, 8 * (e + c))
         for _ in range(20):
             left = rng.choice(len(keys), c + 1, replace=False)
             assert set(ngram_join.pairs_within_classes([keys[i] for i in left], c)) & set(found)
