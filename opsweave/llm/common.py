@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -61,18 +60,8 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    del df
-    release(spark)
     yield spark.read.parquet(path)
     remove(spark, path)
-    release(spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Free the shuffle files of frames that nothing refers to any more. Spark frees them when the driver's
-    collector meets such a frame, which may be long after; large ones are worth asking for it."""
-    gc.collect()  # Python's handles first
-    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:
