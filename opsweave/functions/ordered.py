@@ -130,6 +130,70 @@ def over_recent(
     return out.where(F.col("_b") == F.col("_own")).select(*df.columns, *aggs)
 
 
+def _ranges(marks: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Number the range partitions of a total order as ``_p``. Spark samples the order and cuts a key with many
+    rows into many ranges; the checkpoint freezes which range a row is in."""
+    return cut_lineage(marks.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+
+
+def _instants(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, agg: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with their instant ``_us``, and per (key, instant) two marks on the time axis: the instant itself
+    (kind 1, with ``_v`` = the aggregate) and the start of its window (kind 0)."""
+    rows = df.withColumn("_us", F.round(F.col(ts) * 1_000_000).cast("long"))
+    held = rows.where("_us is not null").groupBy(*keys, "_us").agg(agg.alias("_v"))
+    start = F.col("_us") - seconds * 1_000_000
+    both = F.array(
+        F.struct(F.col("_us").alias("_pos"), F.lit(1).alias("_kind"), "_v"),
+        F.struct(start.alias("_pos"), F.lit(0).alias("_kind"), F.lit(None).cast(held.schema["_v"].dataType).alias("_v")),
+    )
+    return rows, held.select(*keys, "_us", F.inline(both))
+
+
+def _back(df: DataFrame, rows: DataFrame, per_instant: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    return _attach(rows, per_instant, [*keys, "_us"]).select(*df.columns, name)
+
+
+def count_recent(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str) -> DataFrame:
+    """Add the number of rows of the key in ``[ts - seconds, ts)``; null where ``ts`` is null.
+
+    Rows are first counted per instant. A count is the difference of two running counts, and those come from
+    ranges of (key, time) plus one total per range, so no task holds one key's window, however hot it is.
+    """
+    keys = list(keys)
+    rows, marks = _instants(df, keys, ts, seconds, F.count("*"))
+    order = [*[F.col(k) for k in keys], F.col("_pos"), F.col("_kind")]
+    placed = _ranges(marks, order)
+    n = F.coalesce("_v", F.lit(0))
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = placed.groupBy("_p").agg(F.sum(n).alias("_sum"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_p", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    run = placed.withColumn("_before", F.sum(n).over(inside) - n).join(F.broadcast(offsets), "_p")  # one row per range
+    at = F.col("_before") + F.col("_offset")
+    span = F.max(F.when(F.col("_kind") == 1, at)) - F.max(F.when(F.col("_kind") == 0, at))
+    return _back(df, rows, run.groupBy(*keys, "_us").agg(span.cast("long").alias(name)), keys, name)
+
+
+def first_recent(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, col: str, tie: str, name: str) -> DataFrame:
+    """Add ``col`` of the key's oldest row (ties: smallest ``tie``) in ``[ts - seconds, ts]``; null where ``ts`` is null.
+
+    Read backwards in time, it is the last instant met before the start of the window; ranges as in ``count_recent``.
+    """
+    keys = list(keys)
+    rows, marks = _instants(df, keys, ts, seconds, F.struct(F.min_by(col, tie).alias("v")))
+    order = [*[F.col(k) for k in keys], F.col("_pos").desc(), F.col("_kind").desc()]
+    placed = _ranges(marks, order)
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # reading order within a key: later times first
+    tails = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    tails = tails.groupBy("_p").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_rn"))).alias("_tail"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select("_p", F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
+    met = placed.withColumn("_met", F.last("_v", ignorenulls=True).over(inside)).join(F.broadcast(carry), "_p")  # one row per range
+    starts = met.where("_kind = 0").select(*keys, "_us", F.coalesce("_met", "_carry")["v"].alias(name))
+    return _back(df, rows, starts, keys, name)
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows per key. Filtering right on the row number lets Spark trim
     every map task to ``k`` rows per key before the shuffle, so hot keys are cheap."""

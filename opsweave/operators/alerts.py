@@ -55,12 +55,12 @@ def failed_pod_alerts(pods: DataFrame, reads: DataFrame) -> DataFrame:
     listed = deps.groupBy("namespace", "name").agg(F.array_join(F.array_sort(F.collect_set("d")), ", ").alias("deps"))
     out = failed.join(healthy, ["namespace", "owner_name"], "left").join(listed, ["namespace", "name"], "left")
     ok = F.coalesce("_ok", F.lit(False))
-    detail = F.when(ok, "a healthy replacement is running").otherwise(
-        F.coalesce(_joined("depends on ", F.col("deps")), F.lit("no config dependencies found"))
+    detail = F.when(ok, "its owner has another running pod").otherwise(
+        F.coalesce(_joined("depends on ", F.col("deps")), F.lit("reads no config"))
     )
     key = _joined("failed:", F.col("cluster"), ":", F.col("namespace"), ":", F.col("name"))
     level = F.when(ok, "info").otherwise("warning")
-    return _alert(out, key, level, _joined("Pod Failed: ", F.col("namespace"), "/", F.col("name")), detail)
+    return _alert(out, key, level, _joined("Failed pod ", F.col("namespace"), "/", F.col("name")), detail)
 
 
 def disk_alerts(disks: DataFrame) -> DataFrame:

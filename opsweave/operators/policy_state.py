@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsweave.functions.ordered import (
-    over_recent,
+    count_recent,
     with_last_known,
     with_previous,
     with_running_sum,
@@ -61,9 +61,7 @@ def granted_approvals(log: DataFrame, keys: Sequence[str] = ("session",)) -> Dat
 
 def with_cooloff(blocks: DataFrame, keys: Sequence[str] = ("rule",)) -> DataFrame:
     """Blocks of a rule that already blocked three times in five minutes become asks."""
-    seen = over_recent(
-        blocks, keys, "t", COOLOFF_SECONDS, {"recent_blocks": F.count("*")}, include_self=False
-    )
+    seen = count_recent(blocks, keys, "t", COOLOFF_SECONDS, "recent_blocks")
     return seen.withColumn(
         "action_taken",
         F.when(F.col("recent_blocks") >= COOLOFF_BLOCKS, "ask").otherwise(F.col("action_taken")),

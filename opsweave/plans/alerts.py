@@ -63,8 +63,8 @@ def crashloop(spark, sf):
     "ALR2 REL8",
     f"""WITH {SQL_UPODS}, d AS (SELECT namespace, pod, string_agg(DISTINCT 'ConfigMap: ' || resource_name, ', ' ORDER BY 'ConfigMap: ' || resource_name) AS deps FROM cz GROUP BY ALL),
     r AS (SELECT up.*, EXISTS (SELECT 1 FROM up o WHERE o.namespace = up.namespace AND o.owner_name = up.owner_name AND o.status = 'Running') AS ok FROM up WHERE status = 'Failed')
-    SELECT 'failed:main:' || r.namespace || ':' || name AS alert_id, CASE WHEN ok THEN 'info' ELSE 'warning' END AS severity, 'Pod Failed: ' || r.namespace || '/' || name AS title,
-      CASE WHEN ok THEN 'a healthy replacement is running' ELSE coalesce('depends on ' || deps, 'no config dependencies found') END AS detail FROM r LEFT JOIN d ON d.namespace = r.namespace AND d.pod = r.name""",
+    SELECT 'failed:main:' || r.namespace || ':' || name AS alert_id, CASE WHEN ok THEN 'info' ELSE 'warning' END AS severity, 'Failed pod ' || r.namespace || '/' || name AS title,
+      CASE WHEN ok THEN 'its owner has another running pod' ELSE coalesce('depends on ' || deps, 'reads no config') END AS detail FROM r LEFT JOIN d ON d.namespace = r.namespace AND d.pod = r.name""",
 )
 def failed_pods(spark, sf):
     reads = causes(spark, sf).select("namespace", "pod", F.lit("ConfigMap").alias("kind"), F.col("resource_name").alias("target"))

@@ -82,3 +82,29 @@ def test_substring_join(spark):
     assert got == sorted((i, y) for i, x in enumerate(texts) for y in needles if y in x)
     long = sorted((x.id, x.needle) for x in contains_join(t, "text", n, "needle").collect())
     assert long == [(i, y) for i, y in got if len(y) >= 4]
+
+
+def test_recent_counts_and_first_rows_of_a_hot_key(spark):
+    """One key holds every row; ranges cut it, so no task holds its window."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # small inputs would become one range
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        _recent_of_a_hot_key(spark)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _recent_of_a_hot_key(spark):
+    data = rows(600) + [(600 + i, None, float(50 * i), i) for i in range(30)] + [(700 + i, "hot", 9000.0, i) for i in range(40)]
+    for df, mine in ((frame(spark, data), data), (frame(spark, [(i, "one", t, v) for i, _, t, v in data]), [(i, "one", t, v) for i, _, t, v in data])):
+        n = {r.id: r.n for r in O.count_recent(df, ["key"], "t", 300, "n").collect()}
+        first = {r.id: r.f for r in O.first_recent(df, ["key"], "t", 300, "v", "id", "f").collect()}
+        for i, k, t, _ in mine:
+            same = [(u, j, v) for j, q, u, v in mine if q == k and t - 300 <= u <= t]
+            assert n[i] == sum(u < t for u, _, _ in same) and first[i] == min(same)[2]
+    marks = O._instants(df, ["key"], "t", 300, F.count("*"))[1]
+    sizes = [r["count"] for r in O._ranges(marks, [F.col("key"), F.col("_pos"), F.col("_kind")]).groupBy("_p").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
+    empty = O.count_recent(df.where("id < 0"), ["key"], "t", 300, "n")
+    assert empty.count() == 0 and O.first_recent(df.withColumn("t", F.lit(None).cast("double")), ["key"], "t", 300, "v", "id", "f").where("f is null").count() == len(mine)
