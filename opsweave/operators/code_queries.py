@@ -56,12 +56,8 @@ def blast_radius(calls: DataFrame, functions: DataFrame, targets: DataFrame, dep
     """Direct and transitive callers of every target ``(id)``, affected files and level."""
     first = functions.groupBy("file").agg(F.min("id").alias("mark"))  # a file's number: its first function
     marks = functions.select("id", "file").join(first, "file").select("id", "mark")
-    out = targets.select("id").distinct()
-    for part in (
-        reach_sizes(calls, 1, name="direct"), reach_sizes(calls, depth, name="dependents"),
-        reach_sizes(calls, depth, marks, "files"),
-    ):
-        out = out.join(part, "id", "left")
+    sizes = reach_sizes(calls, depth, {"dependents": None, "files": marks})
+    out = targets.select("id").distinct().join(sizes, "id", "left")
     out = out.fillna(0, ["direct", "dependents", "files"])
     return out.withColumn("level", impact_level(F.col("dependents"), F.col("files")))
 
@@ -209,7 +205,7 @@ def resolves_to(entities: DataFrame, references: DataFrame, symbol: str) -> Data
 def risk_scores(calls: DataFrame, modified: DataFrame, targets: DataFrame) -> DataFrame:
     """Risk of changing each target: callers within three steps (0-4), few
     contributors (0-3), fix commits (0-1); shown out of ten."""
-    blast = reach_sizes(calls, 3, name="transitive")
+    blast = reach_sizes(calls, 3, {"transitive": None}).drop("direct")
     fix = F.lower("message").contains("fix")
     mine = modified.withColumnRenamed("fn", "id").join(targets.select("id").distinct(), "id", "left_semi")
     hist = mine.groupBy("id").agg(F.countDistinct("author").alias("authors"), F.count_if(fix).alias("fixes"))
@@ -228,7 +224,7 @@ def risk_scores(calls: DataFrame, modified: DataFrame, targets: DataFrame) -> Da
 
 def pre_change_warning(calls: DataFrame, modified: DataFrame, targets: DataFrame) -> DataFrame:
     """Callers, last touch, top maintainers and the warnings that follow."""
-    blast = reach_sizes(calls, 1, name="direct").join(reach_sizes(calls, 3, name="transitive"), "id")
+    blast = reach_sizes(calls, 3, {"transitive": None})
     mine = modified.withColumnRenamed("fn", "id").join(targets.select("id").distinct(), "id", "left_semi")
     last = mine.groupBy("id").agg(
         F.max("date").alias("last_date"), F.max_by("author", F.struct("date", "commit")).alias("last_author")
