@@ -20,6 +20,8 @@ contaminated by an item when some stretch of it lies within an edit distance (in
 Items travel to the tasks in slices of bounded size, each slice passing over the documents once; there
 is one slice unless the benchmark exceeds ``SLICE_CHARS``. A null or wordless text or item matches
 nothing; repeated rows match alike; items of one wording are all reported.
+An empty table, or an empty benchmark, gives no matches. A very long text is read whole in its task.
+Columns other than id and text are not read by the search, so any may clash.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ are always reported.
 
 Rows: one output row per input row, in any order. A null or empty text has no spans. Repeated rows
 are reported once each. Texts are read whole, whatever their length.
+An empty table gives no rows. Columns other than id and text are not read, so any may clash.
 """
 
 from __future__ import annotations

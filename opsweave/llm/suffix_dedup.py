@@ -23,6 +23,9 @@ end some words early, and a document whose only repeat is about ``min_words`` lo
 
 Only documents with a span are returned. Null, empty and short texts have none; a passage that repeats
 within one document, or in rows of the same id, does not count.
+Rows without an id are left out, on either side of a match. A very long text is one array of hashes in its
+task and has a row per retained suffix. An empty table gives no rows; columns other than id and text are not
+read, so any may clash.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ Vectors that are null, empty, or hold a null or non-finite component take no par
 id. Shorter vectors count as filled up with zeros. A query never meets rows of its own id; rows that
 repeat an id are each a candidate, and each a query. Scores are exact; one beyond a long is set to
 the nearest long. With fewer than k candidates, all are returned.
+Without queries or candidates there are no rows; columns other than id and vector are not read.
 """
 
 from __future__ import annotations

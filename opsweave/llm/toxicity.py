@@ -12,6 +12,7 @@ label winning; a null label is no label. A category with fewer than ``FEWEST`` r
 stays at its share of the rows and marks nothing, so without labels no document is toxic. A null or
 empty text has no words and is scored by the intercept alone, but never marked. One output row per
 input row; extra columns play no part.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

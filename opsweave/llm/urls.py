@@ -10,6 +10,8 @@ share, an empty host is allowed.
 Rows: one output row per page, in any order. A null url, or one without ``://``, has an empty host and
 path. Hosts keep ports and user parts as they stand. Labels with a null outcome do not count; a page
 or label that is repeated counts each time. Without labels every host is allowed.
+Without pages there are no rows. Columns other than id and url are not read, so any may clash. The bound is
+a normal approximation of the beta posterior's upper end.
 """
 
 from __future__ import annotations

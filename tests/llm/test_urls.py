@@ -48,3 +48,7 @@ def test_edges(spark):
     df = spark.createDataFrame([(h,) for h in hosts], "h string")
     d, s = urls.domain_and_suffix(df["h"])
     assert [tuple(r) for r in df.select(d, s).collect()] == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("h", "h"), ("3.4", "4")]
+
+
+def test_no_pages(spark):
+    assert judged(spark, []) == {} and judged(spark, [], [(1, 1), (2, 0), (None, 1)]) == {}
