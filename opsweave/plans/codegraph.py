@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from opsweave.operators import code_queries as Q
 from opsweave.operators import codegraph as G
+from opsweave.operators import index_store as X
 from opsweave.plans.registry import query
+from opsweave.session import cut_lineage, shared_folder
 from opsweave.sources import tables as T
 
 SQL_FN = """fn AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') || '_' || p_partkey AS name,
@@ -215,6 +217,57 @@ def refresh_index(spark, sf):
     return G.refresh(f, fresh, st)
 
 
+def repo_index(spark, sf):
+    """Entities and call sites of five repositories (first digit of the brand), with the state of their files."""
+    st = index_states(spark, sf).withColumnRenamed("path", "file")
+    f = T.functions(spark, sf).select("id", "file", "line").join(st, "file", "left")
+    p = T.load(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.substring("p_brand", 7, 1).alias("repo"), F.regexp_replace("p_name", " ", "_").alias("name")
+    )
+    ent = p.join(f, "id").select(
+        F.lit("function").alias("kind"), "repo", "id", "name", "file", "line", F.coalesce("status", F.lit("unchanged")).alias("status")
+    )
+    a = ent.select(F.col("id").alias("src"), "repo", "file", "line", "status", F.col("name").alias("an"))
+    b = ent.select(F.col("id").alias("dst"), F.col("name").alias("bn"), F.col("line").alias("bl"))
+    j = T.call_pairs(spark, sf).join(a, "src").join(b, "dst")
+    sites = j.select(
+        "repo", "status", "line", F.when(F.col("line") > 45, F.concat(F.lit("run_"), "an")).otherwise(F.col("an")).alias("caller_name"),
+        F.col("file").alias("caller_file"), F.when(F.col("bl") > 40, F.concat(F.lit("lib_"), "bn")).otherwise(F.col("bn")).alias("callee_name"),
+    )
+    return ent, sites
+
+
+@query(
+    "code_incremental_edges",
+    "GRA7",
+    f"""WITH {SQL_STATES}, {sql_calls()}, e0 AS (SELECT p_partkey AS id, substr(p_brand, 7, 1) AS repo, replace(p_name, ' ', '_') AS name, fn.file, fn.line,
+      CASE WHEN status IN ('changed', 'added') AND fn.line % 2 = 1 THEN 'v2_' ELSE '' END AS v, status FROM part JOIN fn ON fn.id = p_partkey LEFT JOIN st ON path = file),
+    ent AS (SELECT repo, v || name AS name, file, line FROM e0 WHERE status IS DISTINCT FROM 'deleted'),
+    sites AS (SELECT DISTINCT a.repo, a.v || CASE WHEN a.line > 45 THEN 'run_' ELSE '' END || a.name AS caller_name, a.file AS caller_file,
+      CASE WHEN b.line > 40 THEN 'lib_' ELSE '' END || b.name AS callee_name FROM calls JOIN e0 a ON a.id = src JOIN e0 b ON b.id = dst WHERE a.status IS DISTINCT FROM 'deleted'),
+    firsts AS (SELECT repo, name, arg_min(file, (file, line)) AS ff FROM ent GROUP BY ALL),
+    sc AS (SELECT repo, caller_name AS name, min(caller_file) AS ff FROM sites GROUP BY ALL),
+    names AS (SELECT repo, name, coalesce(firsts.ff, sc.ff) AS ff FROM firsts FULL JOIN sc USING (repo, name)),
+    own AS (SELECT DISTINCT repo, name, file FROM ent),
+    x AS (SELECT DISTINCT s.repo, s.caller_name AS src_name, CASE WHEN o.name IS NOT NULL THEN s.caller_file ELSE a.ff END AS src_file, s.callee_name AS dst_name, coalesce(b.ff, '') AS dst_file
+      FROM sites s LEFT JOIN own o ON o.repo = s.repo AND o.name = s.caller_name AND o.file = s.caller_file JOIN names a ON a.repo = s.repo AND a.name = s.caller_name LEFT JOIN names b ON b.repo = s.repo AND b.name = s.callee_name)
+    SELECT * FROM x WHERE NOT (src_name = dst_name AND src_file = dst_file)""",
+)
+def incremental_edges(spark, sf):
+    """The index of the old files, then one change set of all files that came, went or changed."""
+    ent, sites = (cut_lineage(x) for x in repo_index(spark, sf))
+    old, gone, live = "status <> 'added'", "status <> 'unchanged'", "status in ('changed', 'added')"
+    again = (F.col("line") % 2 == 1) & (F.col("status") != "unchanged")
+
+    def fresh(rows, name):
+        return rows.where(live).withColumn(name, F.when(again, F.concat(F.lit("v2_"), name)).otherwise(F.col(name)))
+
+    with shared_folder(spark, "code-index") as root:
+        X.build(root, ent.where(old).drop("status", "id"), sites.where(old), buckets=4)
+        X.apply_changes(root, ent.where(gone).select("repo", "file"), fresh(ent, "name"), fresh(sites, "caller_name"), buckets=4)
+        return cut_lineage(X.call_edges(spark, root))
+
+
 # --- queries on the graph -------------------------------------------------------------
 
 
