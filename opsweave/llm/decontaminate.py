@@ -12,8 +12,11 @@ contaminated by an item when some stretch of it lies within an edit distance (in
    current word is written, and a random bit of (step, word) decides whether the walk moves on. Sequences
    a few edits apart fall into step again soon, so their outputs agree in most places.
 3. *Bit sampling.* In each repetition, a few sampled output places form a signature; windows look theirs
-   up in the buckets of the items of their size. The number of repetitions follows from the target
-   recall and the hit rate that edited copies of the items show (simulated, with a fixed seed).
+   up in the buckets of the items of their size. The number of repetitions follows, for each class of
+   sizes (half an octave), from the target recall and the hit rate that copies of such items with all
+   allowed edits show (simulated, with a fixed seed). Where the target needs more than
+   ``MOST_REPETITIONS``, the windows skip the lookup: each goes with the item whose run it holds
+   straight to verification, which is exact.
 4. *Verification.* Each (window, item) found is checked by exact edit distance of the item against the
    best stretch around the window.
 
@@ -41,7 +44,10 @@ from opsweave.llm.common import ROWS_PER_BATCH, keep_rows, mix64
 SIMILARITY = 0.8
 RECALL = 0.99
 SAMPLED = 3  # places of the embedding in one signature
+LEAST_REPETITIONS = 16
 MOST_REPETITIONS = 256
+#: Items per class of sizes, copies of each and walks of each copy that the hit rate is measured on.
+CALIBRATION = (20, 4, 96)
 SLICE_CHARS = 16_000_000
 _TO_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -101,7 +107,10 @@ def distance(item: np.ndarray, around: np.ndarray) -> tuple[int, int]:
 class Index:
     """Items of one slice: vocabulary, seeds (runs of words) and signature buckets by item size."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL):
+    def __init__(
+        self, items: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL,
+        most: int = MOST_REPETITIONS,
+    ):
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[object, np.ndarray, int]] = []
         for key, text in sorted(items, key=lambda x: (str(x[0]), x[1] or "")):
@@ -110,30 +119,35 @@ class Index:
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.int64)
                 self.items.append((key, ids, allowed_edits(len(ids), similarity)))
         self.base = len(self.vocabulary) + 1
+        by_size = defaultdict(list)
+        for i, (_, ids, _) in enumerate(self.items):
+            by_size[len(ids)].append(i)
+        self.repetitions = self._repetitions(recall)  # by size; None: too many, verify at once
+        self.repetitions = {n: r if r <= most else None for n, r in self.repetitions.items()}
         seeds: dict[int, dict[int, set]] = {1: defaultdict(set), 2: defaultdict(set), 3: defaultdict(set)}
-        for _, ids, e in self.items:
+        for i, (_, ids, e) in enumerate(self.items):
             g = run_length(len(ids), e)
+            own = i if self.repetitions[len(ids)] is None else -1
             for at, code in enumerate(self.codes(ids, g).tolist()):
-                seeds[g][code].add((len(ids), at))
+                seeds[g][code].add((len(ids), at, own))
         self.seeds = {g: {c: sorted(v) for c, v in s.items()} for g, s in seeds.items()}
         self.filters = {}
         for g, s in self.seeds.items():
             bits = np.zeros(1 << 16, dtype=bool)
             bits[self.slot(np.array(list(s), dtype=np.int64))] = True
             self.filters[g] = bits
-        self.repetitions = self._repetitions(recall)
         rng = np.random.default_rng(20_240_601)
-        self.walk_seeds = mix64(rng.integers(0, 2**62, self.repetitions).astype(np.uint64))
+        self.walk_seeds = mix64(rng.integers(0, 2**62, max(LEAST_REPETITIONS, most)).astype(np.uint64))
         self.sampled: dict[int, np.ndarray] = {}
         self.buckets: dict[int, dict[tuple, list[int]]] = {}
-        by_size = defaultdict(list)
-        for i, (_, ids, _) in enumerate(self.items):
-            by_size[len(ids)].append(i)
         for n, own in by_size.items():
-            steps = np.sort(np.random.default_rng(n).integers(0, self._reach(n), (self.repetitions, SAMPLED)), axis=1)
+            times = self.repetitions[n]
+            if times is None:
+                continue
+            steps = np.sort(np.random.default_rng(n).integers(0, self._reach(n), (times, SAMPLED)), axis=1)
             self.sampled[n] = steps
             table = defaultdict(list)
-            for i, sig in zip(own, walk(np.stack([self.items[i][1] for i in own]), self.walk_seeds, steps)):
+            for i, sig in zip(own, walk(np.stack([self.items[i][1] for i in own]), self.walk_seeds[:times], steps)):
                 for r, s in enumerate(sig):
                     table[(r, *s.tolist())].append(i)
             self.buckets[n] = dict(table)
@@ -158,38 +172,47 @@ class Index:
             known &= nxt > 0
         return np.where(known, out, 0)
 
-    def _repetitions(self, recall: float) -> int:
-        """From the hit rate of one repetition on copies of the items with all allowed edits."""
+    def _repetitions(self, recall: float) -> dict[int, float]:
+        """Repetitions by item size, from the hit rate of one on copies of items with all allowed edits."""
         rng = random.Random(7)
-        rates = []
-        for _, ids, e in self.items[:: max(1, len(self.items) // 40)]:
-            if e == 0 or len(ids) > 2000:
-                continue
-            seeds = mix64(np.arange(1, 97, dtype=np.uint64) * np.uint64(7919))
-            steps = np.sort(np.random.default_rng(len(ids)).integers(0, self._reach(len(ids)), (96, SAMPLED)), axis=1)
-            own = walk(ids[None, :], seeds, steps)
-            for _ in range(4):
-                copy = ids.tolist()
-                for _ in range(e):
-                    at, kind = rng.randrange(len(copy)), rng.randrange(3)
-                    copy[at : at + (kind != 2)] = [] if kind == 0 else [0]
-                copy = (copy + [0] * len(ids))[: len(ids)]
-                same = (walk(np.array([copy]), seeds, steps) == own).all(axis=2)
-                rates.append(float(same.mean()))
-        if not rates:
-            return 16
-        rate = max(0.01, sorted(rates)[len(rates) // 20])  # the worst twentieth
-        return max(16, min(MOST_REPETITIONS, math.ceil(math.log(1 - recall) / math.log(1 - min(rate, 0.9)))))
-
-    def windows(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """``(size, start)`` of every item-sized window with a seed at its place."""
+        items, copies, walks = CALIBRATION
+        classes = defaultdict(list)
+        for i, (_, ids, _) in enumerate(self.items):
+            classes[int(2 * math.log2(len(ids)))].append(i)
+        seeds = mix64(np.arange(1, walks + 1, dtype=np.uint64) * np.uint64(7919))
+        out = {}
+        for members in classes.values():
+            rates = []
+            for i in members[:: -(-len(members) // items)]:
+                _, ids, e = self.items[i]
+                if e == 0:
+                    continue
+                steps = np.sort(np.random.default_rng(len(ids)).integers(0, self._reach(len(ids)), (walks, SAMPLED)), axis=1)
+                own = walk(ids[None, :], seeds, steps)
+                for _ in range(copies):
+                    copy = ids.tolist()
+                    for _ in range(e):
+                        at, kind = rng.randrange(len(copy)), rng.randrange(3)
+                        copy[at : at + (kind != 2)] = [] if kind == 0 else [0]
+                    copy = (copy + [0] * len(ids))[: len(ids)]
+                    rates.append(float((walk(np.array([copy]), seeds, steps) == own).all(axis=2).mean()))
+            need = LEAST_REPETITIONS  # without edits every repetition hits
+            if rates:
+                rate = min(0.9, sorted(rates)[len(rates) // 20])  # the worst twentieth
+                need = max(need, math.ceil(math.log(1 - recall) / math.log(1 - rate))) if rate else math.inf
+            out.update((len(self.items[i][1]), need) for i in members)
+        return out
+
+    def windows(self, ids: np.ndarray) -> set[tuple[int, int, int]]:
+        """``(size, start, item)`` of every item-sized window with a seed at its place; the item is -1
+        where signatures tell it."""
         found = set()
         for g, seeds in self.seeds.items():
             if not seeds:
                 continue
             codes = self.codes(ids, g)
             for p in np.flatnonzero(self.filters[g][self.slot(codes)] & (codes > 0)).tolist():
-                found.update((n, p - at) for n, at in seeds.get(int(codes[p]), ()))
+                found.update((n, p - at, i) for n, at, i in seeds.get(int(codes[p]), ()))
         return found
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, object, int, int, int, int]]:
@@ -203,8 +226,8 @@ class Index:
             own = self.windows(ids)
             if own:
                 docs[d] = ids
-                for n, start in own:
-                    windows[n].append((d, start))
+                for n, start, i in own:
+                    windows[n].append((d, start, i))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n, own in sorted(windows.items()):
             for at in range(0, len(own), 2000):
@@ -213,14 +236,18 @@ class Index:
             yield d, self.items[i][0], edits, len(self.items[i][1]), start, end
 
     def _verify(self, n: int, own: list, docs: dict, best: dict) -> None:
-        cut = np.zeros((len(own), n), dtype=np.int64)
-        for k, (d, start) in enumerate(own):
-            a, b = max(0, start), min(len(docs[d]), start + n)
-            cut[k, a - start : b - start] = docs[d][a:b]
-        buckets = self.buckets[n]
-        for (d, start), sig in zip(own, walk(cut, self.walk_seeds, self.sampled[n])):
-            near = {i for r, s in enumerate(sig.tolist()) for i in buckets.get((r, *s), ())}
-            for i in sorted(near):
+        if self.repetitions[n] is None:
+            near = [(i,) for _, _, i in own]
+        else:
+            cut = np.zeros((len(own), n), dtype=np.int64)
+            for k, (d, start, _) in enumerate(own):
+                a, b = max(0, start), min(len(docs[d]), start + n)
+                cut[k, a - start : b - start] = docs[d][a:b]
+            buckets, steps = self.buckets[n], self.sampled[n]
+            found = walk(cut, self.walk_seeds[: len(steps)], steps)
+            near = [sorted({i for r, s in enumerate(sig.tolist()) for i in buckets.get((r, *s), ())}) for sig in found]
+        for (d, start, _), items in zip(own, near):
+            for i in items:
                 _, ids, e = self.items[i]
                 if best.get((d, i), (1,))[0] == 0:
                     continue

@@ -59,6 +59,29 @@ def test_recall_of_edited_copies(spark):
     assert np.mean([w in g for w, g in zip(want, got)]) >= 0.97
 
 
+def test_sizes_beyond_the_most_repetitions_are_exact():
+    """Long items with all allowed edits, whose target the lookup cannot reach, against the plain table."""
+    rng = random.Random(4)
+    items = [(k, " ".join(f"i{rng.randrange(5000)}" for _ in range(n))) for k, n in enumerate((30, 30, 60, 400, 400, 2500))]
+    index = Index(items, most=0)
+    assert set(index.repetitions.values()) == {None} and not index.buckets
+    texts = []
+    for key, text in items[:5] * 3:
+        words = text.split()
+        for _ in range(allowed_edits(len(words)) + rng.randrange(2)):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (kind != 2)] = [] if kind == 0 else [f"zq{rng.randrange(99)}"]
+        texts.append(" ".join([f"p{rng.randrange(99)}" for _ in range(20)] + words + ["tail"] * 9))
+    want = set()
+    for d, t in enumerate(texts):
+        for key, item in items[:5]:
+            if brute_distance(words_of(item), words_of(t)) <= allowed_edits(len(words_of(item))):
+                want.add((d, key))
+    assert len(want) >= 8 and {(d, key) for d, key, *_ in index.find(texts)} == want
+    sizes = Index(items).repetitions
+    assert sizes.keys() == {30, 60, 400, 2500} and all(r is None or 16 <= r <= 256 for r in sizes.values())
+
+
 def test_slices_give_the_same(spark, docs):
     bench = load(spark, SF, "benchmark")
     whole = sorted(map(tuple, decontaminate.find(docs, bench).collect()))
