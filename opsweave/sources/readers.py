@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsweave.operators.inventory import POD_SCHEMA
+from opsweave.sources.growing import blocks
 
 ENTITY = (
     "struct<kind: string, name: string, file: string, line: int, end_line: int, body: string, "
@@ -75,9 +76,22 @@ def timed_rows(raw: DataFrame, since: str | None = None) -> DataFrame:
     return df if since is None else df.where(F.col("ts") >= F.lit(since).cast("timestamp"))
 
 
-def jsonl_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    df = spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return df.withColumn("event_time", F.try_to_timestamp("ts"))
+def rejected(texts: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """The rows whose text ``parsed`` skips, as they are: the side output for bad lines."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    j = F.from_json(value, f"{schema}, _bad string", options)
+    return texts.where(j.isNull() | j["_bad"].isNotNull())
+
+
+def jsonl_stream(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON-lines files that grow: (rows with ``event_time`` from ``ts``, bad lines with their place)."""
+    lines = blocks(spark, path, stream=True)
+    return parsed(lines, schema).withColumn("event_time", F.try_to_timestamp("ts")), rejected(lines, schema)
+
+
+def commit_stream(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(commits, file_changes) of log texts that grow; a commit comes once the next one has begun."""
+    return commit_rows(blocks(spark, path, start="COMMIT_START", stream=True))
 
 
 def cluster_pods(spark: SparkSession, path: str) -> DataFrame:
