@@ -104,7 +104,7 @@ def test_interrupted_change_is_repaired(spark, tmp_path, monkeypatch):
     fresh = {("r", f"f{i}.py"): parse(rng, "r", f"f{i}.py", 8) for i in range(3)}
     changed = spark.createDataFrame(list(fresh), "repo string, file string")
     write = X._write
-    for stop in ("names", "entities"):
+    for stop in ("names", "sites", "entities"):
         root = str(tmp_path / stop)
         X.build(root, *frames(spark, files), buckets=4)
 
