@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
+    ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
@@ -182,7 +182,7 @@ e as (select *, case
   when (host = 'net' or host like '%.net') and starts_with(path, '/de/') then 'net/de/'
   when (host = 'org' or host like '%.org') and starts_with(path, '/es/') then 'org/es/' end as rule from f)
 select page_id, host, path, rule,
-       case when rule = 'example.com/en/7' then 'allow' when rule is not null then 'block'
+       case when rule in ('example.com/en/7', 'net/de/') then 'allow' when rule is not null then 'block'
             when bound < 0.5 then 'block' else 'allow' end as verdict,
        coalesce(n, 0)::bigint as n_labels, round(bound, 6) as bound
 from e
