@@ -158,11 +158,22 @@ def validation_edges(functions: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def modified_functions(changes: DataFrame, functions: DataFrame) -> DataFrame:
-    """Commit -> function through the touched file."""
-    return changes.select("commit", "file").join(functions.select("id", "file"), "file").select(
-        "commit", F.col("id").alias("fn")
-    ).distinct()
+def modified_functions(changes: DataFrame, functions: DataFrame, counted: bool = False) -> DataFrame:
+    """Commit -> function through the touched file; ``counted``: ``(fn, commits)``, their number per function.
+
+    The pairs grow with commits times functions of a file. Counts don't need them: a function of one file has the
+    commits of that file; only functions of several files are paired with their commits.
+    """
+    rows = changes.select("commit", "file").distinct()
+    own = functions.select(F.col("id").alias("fn"), "file").distinct()
+    if not counted:
+        return rows.join(own, "file").select("commit", "fn").distinct()
+    homes = own.groupBy("fn").agg(F.count("*").alias("_files"), F.min("file").alias("file"))
+    per_file = rows.groupBy("file").agg(F.count("*").alias("commits"))
+    one = homes.where("_files = 1").join(per_file, "file").select("fn", "commits")
+    several = homes.where("_files > 1").select(F.col("fn").alias("_fn"))
+    pairs = own.join(several, F.col("fn").eqNullSafe(F.col("_fn")), "left_semi").join(rows, "file").select("commit", "fn")
+    return one.unionByName(pairs.distinct().groupBy("fn").agg(F.count("*").alias("commits")))
 
 
 def file_states(old: DataFrame, new: DataFrame) -> DataFrame:

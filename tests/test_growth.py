@@ -1,7 +1,9 @@
 """Steps that must not grow with a product of two sides, compared with plain Python."""
 
+from collections import Counter
 
 from opsweave.functions.sizes import broadcast_if_small
+from opsweave.operators import codegraph as G
 from opsweave.sources import tables as T
 
 
@@ -18,3 +20,13 @@ def test_functions_of_a_well_compressed_table_are_not_broadcast(spark, tmp_path)
     few, many = spark.range(3), spark.range(9)
     assert "BroadcastHashJoin" not in plan(few.join(broadcast_if_small(many, 5), "id"))
     assert "BroadcastHashJoin" in plan(few.join(broadcast_if_small(many, 9), "id"))
+
+
+def test_modified_functions_counts_without_pairs(spark):
+    changes = [(1, "a"), (1, "a"), (2, "a"), (2, "b"), (None, "b"), (3, None), (4, "c")]
+    fns = [(10, "a"), (10, "a"), (11, "a"), (11, "b"), (12, None), (None, "b"), (13, "b"), (13, None), (14, "z")]
+    c, f = spark.createDataFrame(changes, "commit long, file string"), spark.createDataFrame(fns, "id long, file string")
+    pairs = {(m, fn) for m, x in changes for fn, y in fns if x is not None and x == y}
+    assert {tuple(r) for r in G.modified_functions(c, f).collect()} == pairs
+    want = Counter(fn for _, fn in pairs)
+    assert {r.fn: r.commits for r in G.modified_functions(c, f, counted=True).collect()} == want
