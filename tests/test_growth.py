@@ -1,8 +1,10 @@
 """Steps that must not grow with a product of two sides, compared with plain Python."""
 
+import random
 from collections import Counter
 
 from opsweave.functions.sizes import broadcast_if_small
+from opsweave.operators import code_queries as Q
 from opsweave.operators import codegraph as G
 from opsweave.sources import tables as T
 
@@ -30,3 +32,34 @@ def test_modified_functions_counts_without_pairs(spark):
     assert {tuple(r) for r in G.modified_functions(c, f).collect()} == pairs
     want = Counter(fn for _, fn in pairs)
     assert {r.fn: r.commits for r in G.modified_functions(c, f, counted=True).collect()} == want
+
+
+def test_affected_functions_shuffle_no_pairs(spark):
+    c = spark.createDataFrame([(1, "a", "M"), (1, "a", "M"), (1, "a", "D"), (2, None, "A")], "pr long, file string, change_type string")
+    f = spark.createDataFrame([(7, "f", "a"), (7, "f", "a"), (8, "f", "a"), (9, "g", None)], "id long, name string, file string")
+    out = Q.affected_functions(c, f)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, fn, "f", "a", t) for fn in (7, 8) for t in "DM"]
+    top = plan(out).split("SortMergeJoin")[0].split("BroadcastHashJoin")[0]
+    assert "HashAggregate" not in top and "Exchange" not in top
+
+
+def test_forgotten_files(spark, monkeypatch):
+    r = random.Random(5)
+    changes = [(r.choice([1, 2, 3, None]), r.choice("abcd")) for _ in range(9)] + [(4, None), (5, "x")]
+    fc = [(r.choice([*range(12), None]), r.choice("abcdefg")) for _ in range(60)] + [(None, "x"), *((m, None) for m in range(12))]
+    files, of = {x for x in changes}, {x for x in fc}
+    want = Counter()
+    for pr in {p for p, _ in files}:
+        mine = {f for p, f in files if p == pr}
+        for m in {m for m, _ in of if m is not None}:
+            there = {f for k, f in of if k == m}
+            for f in there:
+                if f not in mine or pr is None or f is None:
+                    want[pr, f] += len([x for x in there & mine if x is not None])
+    want = {k: n for k, n in want.items() if n >= 3}
+    assert want and any(f is None for _, f in want)
+    c = spark.createDataFrame(changes, "pr long, file string")
+    d = spark.createDataFrame(fc, "commit long, file string")
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(Q, "TOGETHER_ROWS", most)
+        assert {(x.pr, x.file): x.n for x in Q.forgotten_files(c, d).collect()} == want
