@@ -103,6 +103,8 @@ def _grams(text: Column, sizes: Sequence[int]) -> Column:
 
 #: Filed needles (with their row overhead) that may be broadcast.
 BROADCAST_BYTES = 16_000_000
+#: Needles of that many characters are filed under runs of that length: those of four repeat soon among many needles.
+LONG_GRAM = 8
 
 
 def contains_join(
@@ -115,8 +117,8 @@ def contains_join(
 ) -> DataFrame:
     """Exact substring join: rows of ``texts`` whose ``text`` contains ``needle``.
 
-    Every needle is filed under its rarest 4-gram. A text sends out only its own hash with the hashes of
-    its grams; the (text hash, needle) pairs found there meet the text once and are verified. Work follows
+    Every needle is filed under its rarest 8-gram, or 4-gram if it is shorter. A text sends out only its own hash with the hashes of
+    its grams, of the lengths in use; the (text hash, needle) pairs found there meet the text once and are verified. Work follows
     the text length and the real candidates, not the product of the two sides, and no text is copied per
     gram. Needles under four characters are found by equality with the grams of their own length; those
     under ``min_length`` never match. ``on`` columns must be equal on both sides. The filed needles are
@@ -125,7 +127,9 @@ def contains_join(
     on = list(on)
     columns = [c for c in needles.columns if c not in on]
     keyed = needles.where(F.length(needle) >= 4)
-    each = keyed.select(*on, needle, F.explode(_grams(F.col(needle), [4])).alias("_gram")).distinct()
+    long = F.length(needle) >= LONG_GRAM
+    own_grams = F.when(long, _grams(F.col(needle), [LONG_GRAM])).otherwise(_grams(F.col(needle), [4]))
+    each = keyed.select(*on, needle, F.explode(own_grams).alias("_gram")).distinct()
     spread = each.groupBy("_gram").agg(F.count("*").alias("_n"))
     anchor = (
         each.join(spread, "_gram")
@@ -133,13 +137,12 @@ def contains_join(
         .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
     )
     filed = keyed.select(*on, needle).distinct().join(anchor, [*on, needle])
-    lengths = [4]
     if min_length < 4:
         short = needles.where(F.length(needle).between(max(min_length, 1), 3))
         filed = filed.unionByName(short.select(*on, needle).distinct().withColumn("_gram", F.col(needle)))
-        lengths = list(range(max(min_length, 1), 5))
-    filed = cut_lineage(filed.select(*on, needle, F.xxhash64("_gram").alias("_gram")))
-    size = filed.agg(F.sum(F.length(needle) + 32)).collect()[0][0] or 0
+    filed = cut_lineage(filed.select(*on, needle, F.length("_gram").alias("_k"), F.xxhash64("_gram").alias("_gram")))
+    size, lengths = filed.agg(F.sum(F.length(needle) + 32), F.sort_array(F.collect_set("_k"))).collect()[0]
+    size, lengths, filed = size or 0, lengths or [4], filed.drop("_k")
     grams = F.explode(F.transform(_grams(F.col(text), lengths), lambda g: F.xxhash64(g)))
     own = F.xxhash64(*on, text)
     looked = texts.select(*on, own.alias("_hash"), grams.alias("_gram"))

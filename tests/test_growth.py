@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 from opsweave.functions.sizes import broadcast_if_small
+from opsweave.functions.text import contains_join
 from opsweave.operators import code_queries as Q
 from opsweave.operators import codegraph as G
 from opsweave.sources import tables as T
@@ -63,3 +64,17 @@ def test_forgotten_files(spark, monkeypatch):
     for most in (2_000_000, 0):
         monkeypatch.setattr(Q, "TOGETHER_ROWS", most)
         assert {(x.pr, x.file): x.n for x in Q.forgotten_files(c, d).collect()} == want
+
+
+def test_contains_join_around_the_gram_lengths(spark):
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("ab1") for _ in range(n))
+    texts = [(k, word(r.randint(0, 30))) for k in range(40)] + [(99, None)]
+    needles = sorted({word(n) for n in (1, 2, 3, 4, 5, 7, 8, 9, 10) for _ in range(6)})
+    t, n = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(x,) for x in needles], "n string")
+    for least in (1, 4, 8):
+        want = {(k, x) for k, text in texts if text for x in needles if len(x) >= max(least, 1) and x in text}
+        some = n.where(f"length(n) >= {least}")
+        got = [(x.id, x.n) for x in contains_join(t, "t", some, "n", min_length=min(least, 4)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert contains_join(t, "t", n.limit(0), "n").count() == 0
