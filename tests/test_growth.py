@@ -7,6 +7,7 @@ from opsweave.functions.sizes import broadcast_if_small
 from opsweave.functions.text import contains_join
 from opsweave.operators import code_queries as Q
 from opsweave.operators import codegraph as G
+from opsweave.operators import paths as P
 from opsweave.sources import tables as T
 
 
@@ -78,3 +79,14 @@ def test_contains_join_around_the_gram_lengths(spark):
         got = [(x.id, x.n) for x in contains_join(t, "t", some, "n", min_length=min(least, 4)).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert contains_join(t, "t", n.limit(0), "n").count() == 0
+
+
+def test_last_step_of_a_path_shuffles_only_nodes_with_several_ways(spark):
+    edges = [("p", "RUNS", "i1", 1.0), ("p", "RUNS", "i2", 2.0), ("q", "RUNS", "i1", None), ("i1", "BUILT_FROM", "f1", None),
+             ("i2", "BUILT_FROM", "f2", None), ("f1", "CONTAINS", "x", 3.0), ("f1", "CONTAINS", "x", 5.0), ("f2", "CONTAINS", "x", 4.0),
+             ("f2", "CONTAINS", "y", None), ("f1", "CONTAINS", None, 1.0), ("f2", "CONTAINS", None, 9.0)]
+    e = spark.createDataFrame(edges, "src string, edge_type string, dst string, at double")
+    s = spark.createDataFrame([("p",), ("q",), ("q",)], "start string")
+    got = sorted((r.start, r.node or "", r["at"]) for r in P.follow(e, s, P.TRACE).collect())
+    assert [(a, b) for a, b, _ in got] == [("p", ""), ("p", "x"), ("p", "y"), ("q", ""), ("q", "x")]
+    assert [t for *_, t in got] == [9.0, 5.0, None, 1.0, 5.0]
