@@ -140,9 +140,9 @@ def contains_join(
     if min_length < 4:
         short = needles.where(F.length(needle).between(max(min_length, 1), 3))
         filed = filed.unionByName(short.select(*on, needle).distinct().withColumn("_gram", F.col(needle)))
-    filed = cut_lineage(filed.select(*on, needle, F.length("_gram").alias("_k"), F.xxhash64("_gram").alias("_gram")))
-    size, lengths = filed.agg(F.sum(F.length(needle) + 32), F.sort_array(F.collect_set("_k"))).collect()[0]
-    size, lengths, filed = size or 0, lengths or [4], filed.drop("_k")
+    filed = cut_lineage(filed.select(*on, needle, F.length("_gram").alias("_gram_size"), F.xxhash64("_gram").alias("_gram")))
+    size, lengths = filed.agg(F.sum(F.length(needle) + 32), F.sort_array(F.collect_set("_gram_size"))).collect()[0]
+    size, lengths, filed = size or 0, lengths or [4], filed.drop("_gram_size")
     grams = F.explode(F.transform(_grams(F.col(text), lengths), lambda g: F.xxhash64(g)))
     own = F.xxhash64(*on, text)
     looked = texts.select(*on, own.alias("_hash"), grams.alias("_gram"))

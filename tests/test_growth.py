@@ -79,6 +79,7 @@ def test_contains_join_around_the_gram_lengths(spark):
         got = [(x.id, x.n) for x in contains_join(t, "t", some, "n", min_length=min(least, 4)).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert contains_join(t, "t", n.limit(0), "n").count() == 0
+    assert contains_join(t, "t", n.selectExpr("n as _k"), "_k").columns == ["id", "t", "_k"]  # any name but those used inside
 
 
 def test_last_step_of_a_path_shuffles_only_nodes_with_several_ways(spark):
