@@ -7,7 +7,9 @@ from opsweave.functions.sizes import broadcast_if_small
 from opsweave.functions.text import contains_join
 from opsweave.operators import code_queries as Q
 from opsweave.operators import codegraph as G
+from opsweave.operators import graph_algos as A
 from opsweave.operators import paths as P
+from opsweave.session import cut_lineage
 from opsweave.sources import tables as T
 
 
@@ -91,3 +93,32 @@ def test_last_step_of_a_path_shuffles_only_nodes_with_several_ways(spark):
     got = sorted((r.start, r.node or "", r["at"]) for r in P.follow(e, s, P.TRACE).collect())
     assert [(a, b) for a, b, _ in got] == [("p", ""), ("p", "x"), ("p", "y"), ("q", ""), ("q", "x")]
     assert [t for *_, t in got] == [9.0, 5.0, None, 1.0, 5.0]
+
+
+def test_reach_sizes_keep_packed_parts(spark, monkeypatch):
+    r = random.Random(11)
+    ids = [-40_000, -1, 0, 7, 8_191, 8_192, 32_767, 32_768, 70_001, 2**40] + list(range(100_000, 100_240))
+    edges = {(r.choice(ids), r.choice(ids)) for _ in range(900)} | {(i, 7) for i in ids} | {(7, i) for i in ids[:160]}
+    edges = sorted(e for e in edges if e[0] != e[1])
+    mark = {i: i % 9 for i in ids if i % 4}
+    kept = []
+
+    def cut(df):
+        out = cut_lineage(df)
+        if "bits" in out.columns:
+            kept.append(out.selectExpr("sum(octet_length(bits))").first()[0])
+        return out
+
+    monkeypatch.setattr(A, "cut_lineage", cut)
+    e = spark.createDataFrame([*edges, *edges, (None, 7), (3, None)], "src long, dst long")
+    marks = spark.createDataFrame([*mark.items(), *mark.items(), (5, None)], "id long, mark long")
+    callers = {}
+    for a, b in edges:
+        callers.setdefault(b, set()).add(a)
+    within = {1: callers}
+    for d in (2, 3):
+        within[d] = {i: s.union(*(within[d - 1].get(c, set()) for c in s)) for i, s in callers.items()}
+    for d in (1, 3):
+        got = {x.id: (x.n, x.kinds) for x in A.reach_sizes(e, d, {"n": None, "kinds": marks}).collect()}
+        assert got == {i: (len(s), len({mark[c] for c in s if c in mark}) or None) for i, s in within[d].items()}
+    assert max(x or 0 for x in kept) < 600 * len(ids)  # bitmaps of 32,768 marks took 4,096 bytes a node and kind
