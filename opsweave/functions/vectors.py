@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,39 +17,77 @@ FNV_START = np.uint32(2166136261)
 FNV_PRIME = np.uint32(16777619)
 
 
-def _ngram_vector(text: str) -> np.ndarray:
-    """Signed counts of the hashed 3- to 6-character grams, length 1."""
-    out = np.zeros(DIM)
-    chars = [c.encode("utf-8", "surrogatepass") for c in text.lower()]
-    n_chars = len(chars)
-    if n_chars >= 3:
-        width = np.array([len(c) for c in chars])
-        octets = np.zeros((n_chars, 4), dtype=np.uint32)
-        flat = np.frombuffer(b"".join(chars), dtype=np.uint8)
-        rows = np.repeat(np.arange(n_chars), width)
-        cols = np.arange(len(flat)) - np.repeat(np.cumsum(width) - width, width)
-        octets[rows, cols] = flat
-        state = np.full(n_chars, FNV_START, dtype=np.uint32)
-        for step in range(min(6, n_chars)):
-            state = state[: n_chars - step].copy()
-            at = slice(step, n_chars)
-            for j in range(4):
-                here = width[at] > j
-                state[here] = (state[here] ^ octets[at, j][here]) * FNV_PRIME
-            if step >= 2:
-                sign = np.where(state >> np.uint32(31) == 0, 1.0, -1.0)
-                out += np.bincount(state % DIM, weights=sign, minlength=DIM)
-        norm = np.sqrt((out * out).sum())
-        if norm > 0:
-            out /= norm
-    return out
+#: Characters whose grams are hashed at once.
+BLOCK_CHARS = 1 << 17
+
+
+def _pieces(texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """``(text number, code points, grams' starts)``: long texts in pieces that overlap by a gram."""
+    for at, text in enumerate(texts):
+        points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        for lo in range(0, max(len(points) - 2, 0), BLOCK_CHARS):
+            yield at, points[lo : lo + BLOCK_CHARS + 5], min(BLOCK_CHARS, len(points) - lo)
+
+
+def _add_grams(out: np.ndarray, pieces: list[tuple[int, np.ndarray, int]]) -> None:
+    points = np.concatenate([p for _, p, _ in pieces])
+    sizes = np.array([len(p) for _, p, _ in pieces])
+    begins = np.cumsum(sizes) - sizes
+    offset = np.arange(len(points)) - np.repeat(begins, sizes)
+    left = np.repeat(sizes, sizes) - offset
+    owner = np.repeat([at for at, _, _ in pieces], sizes)
+    one, two, three = points < 0x80, points < 0x800, points < 0x10000
+    last = 0x80 | (points & 0x3F)
+    second, third = 0x80 | (points >> 6 & 0x3F), 0x80 | (points >> 12 & 0x3F)
+    octets = (
+        np.where(one, points, np.where(two, 0xC0 | points >> 6, np.where(three, 0xE0 | points >> 12, 0xF0 | points >> 18))),
+        np.where(two, last, np.where(three, second, third)),
+        np.where(three, last, second),
+        last,
+    )
+    width = 4 - one.astype(int) - two - three
+    starts = np.flatnonzero(offset < np.repeat([n for _, _, n in pieces], sizes))
+    state = np.full(len(starts), FNV_START, dtype=np.uint32)
+    for step in range(6):
+        fits = left[starts] > step
+        starts, state = starts[fits], state[fits]
+        at = starts + step
+        for j in range(4):
+            here = np.flatnonzero(width[at] > j)
+            state[here] = (state[here] ^ octets[j][at[here]].astype(np.uint32)) * FNV_PRIME
+        if step >= 2:
+            sign = np.where(state >> np.uint32(31) == 0, 1.0, -1.0)
+            cells = owner[starts] * DIM + state % DIM
+            out += np.bincount(cells, weights=sign, minlength=out.size).reshape(out.shape)
+
+
+def _ngram_vectors(texts: Sequence[str | None]) -> np.ndarray:
+    """Signed counts of the hashed 3- to 6-character grams per text, length 1; a block of characters at a time."""
+    out = np.zeros((len(texts), DIM))
+    block: list[tuple[int, np.ndarray, int]] = []
+    chars = 0
+
+    def flush() -> None:
+        first = block[0][0]
+        _add_grams(out[first : block[-1][0] + 1], [(at - first, p, n) for at, p, n in block])
+
+    for piece in _pieces(texts):
+        if block and chars + len(piece[1]) > BLOCK_CHARS:
+            flush()
+            block, chars = [], 0
+        block.append(piece)
+        chars += len(piece[1])
+    if block:
+        flush()
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
 
 
 def ngram_vector(text: Column) -> Column:
     """The n-gram vector of a text column, computed per Arrow batch."""
 
     def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _ngram_vector(t or ""))
+        return pd.Series(list(_ngram_vectors(texts.tolist())), index=texts.index, dtype=object)
 
     return F.pandas_udf(vectors, "array<double>")(text)
 
@@ -84,6 +122,21 @@ def cosine(a: Column, b: Column) -> Column:
 SLICE = 2048
 
 
+def _best_cells(sims: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` highest values per row (ties: smallest id) that reach ``least``, which is raised
+    to a row's k-th value. Only those values are sorted."""
+    ranks = np.empty(len(ids), dtype=np.int64)
+    ranks[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    asked = np.where(np.isnan(sims), -np.inf, sims)
+    if len(ids) > k:
+        np.maximum(least, np.partition(asked, len(ids) - k, axis=1)[:, len(ids) - k], out=least)
+    rows, cols = np.nonzero(asked >= least[:, None])
+    order = np.lexsort((ranks[cols], -asked[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, slice_rows: int = SLICE) -> DataFrame:
     """Exact top ``k`` by cosine: ``vectors(id, vector)``, ``queries(qid, vector)``.
 
@@ -105,6 +158,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, slice_rows: int = SL
             matrix = np.divide(matrix, sizes, out=np.zeros_like(matrix), where=sizes > 0)
 
         def score(frames: Iterator[pd.DataFrame], qids=qids, matrix=matrix) -> Iterator[pd.DataFrame]:
+            least = np.full(len(qids), -np.inf)  # the k-th best of a batch so far, per query
             for pdf in frames:
                 if pdf.empty or not len(qids):
                     continue
@@ -116,15 +170,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, slice_rows: int = SL
                 block = np.divide(block, size, out=np.zeros_like(block), where=size > 0)
                 sims = matrix @ block.T
                 ids = pdf["id"].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                best = order[np.argsort(-sims[:, order], axis=1, kind="stable")[:, :k]]
-                yield pd.DataFrame(
-                    {
-                        "qid": np.repeat(qids, best.shape[1]),
-                        "id": ids[best].ravel(),
-                        "similarity": np.take_along_axis(sims, best, axis=1).ravel(),
-                    }
-                )
+                rows, cols = _best_cells(sims, ids, k, least)
+                yield pd.DataFrame({"qid": qids[rows], "id": ids[cols], "similarity": sims[rows, cols]})
 
         hit = vectors.select("id", "vector").mapInPandas(
             score, f"qid {qkind}, id {kind}, similarity double"
