@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from opsweave.functions.ordered import top_k
 from opsweave.functions.text import contains_join
+from opsweave.session import cut_lineage
 
 
 def _words(text: Column, pattern: str, least: int) -> Column:
     return F.filter(F.split(F.lower(text), pattern), lambda w: F.octet_length(w) >= least)
 
 
-def keyword_scores(entities: DataFrame, queries: DataFrame) -> DataFrame:
-    """Name part 40, name substring 20, path segment 30 per term; +60 at two name
-    hits, +120 more at three. Only pairs with a hit are ever built."""
+def _keyword_hits(entities: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(qid, pos, term)`` of the queries and the points ``(id, term, points, name_hit)`` of the entities."""
     terms = queries.select("qid", F.posexplode(_words(F.col("text"), r"(?U)[^\p{L}\p{N}]+", 2)).alias("pos", "term"))
     vocab = terms.select("term").distinct()
     parts = F.split(F.regexp_replace("name", r"(?U)(\p{Lu})", "_$1"), "[_-]+")
@@ -35,10 +35,32 @@ def keyword_scores(entities: DataFrame, queries: DataFrame) -> DataFrame:
     by_file = e.select("id", "_file").join(in_file, "_file").select(
         "id", "term", F.lit(30).alias("points"), F.lit(0).alias("name_hit")
     )
-    hits = by_name.unionByName(by_file).join(terms, "term")
-    out = hits.groupBy("qid", "id").agg(F.sum("points").alias("_p"), F.sum("name_hit").alias("_h"))
+    return terms, by_name.unionByName(by_file)
+
+
+def _keyword_sums(hits: DataFrame, key: str) -> DataFrame:
+    out = hits.groupBy("qid", key).agg(F.sum("points").alias("_p"), F.sum("name_hit").alias("_h"))
     bonus = F.when(F.col("_h") >= 2, 60).otherwise(0) + F.when(F.col("_h") >= 3, 120).otherwise(0)
-    return out.select("qid", "id", (F.col("_p") + bonus).alias("score"))
+    return out.select("qid", key, (F.col("_p") + bonus).alias("score"))
+
+
+def keyword_scores(entities: DataFrame, queries: DataFrame) -> DataFrame:
+    """Name part 40, name substring 20, path segment 30 per term; +60 at two name
+    hits, +120 more at three. Only pairs with a hit are ever built."""
+    terms, hits = _keyword_hits(entities, queries)
+    return _keyword_sums(hits.join(terms, "term"), "id")
+
+
+def best_keywords(entities: DataFrame, queries: DataFrame, keep: int = 20) -> DataFrame:
+    """The ``keep`` highest keyword scores per query (ties: smallest id), without a row per query and entity:
+    entities with the same hits have the same scores, and only the first ``keep`` of them can be listed."""
+    terms, hits = _keyword_hits(entities, queries)
+    alike = F.sort_array(F.collect_list(F.struct("term", "points", "name_hit"))).alias("_like")
+    rows = cut_lineage(hits.groupBy("id").agg(alike))
+    likes = rows.select("_like").distinct().select("_like", F.inline("_like"))
+    scores = _keyword_sums(likes.join(terms, "term"), "_like")
+    listed = scores.join(top_k(rows, ["_like"], [F.col("id")], keep), "_like").select("qid", "id", "score")
+    return top_k(listed, ["qid"], [F.desc("score"), F.col("id")], keep)
 
 
 def related_words(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -63,11 +85,17 @@ def name_matches(entities: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
         "id", F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), "[_-]+"), lambda w: w != ""))).alias("b")
     )
     pairs = related_words(words.select("a").distinct(), tokens.select("b").distinct())
-    hit = words.join(pairs, "a").join(tokens, "b").select("qid", "id", "pos").distinct()
-    counted = hit.groupBy("qid", "id").agg(F.count("*").alias("_c")).join(total, "qid")
-    ratio = counted.select("qid", "id", (F.col("_c") / F.col("_n")).alias("ratio")).where("ratio >= 0.5")
-    rows = ratio.join(named.select("id", "name", "file"), "id")
-    return top_k(rows, ["qid"], [F.desc("ratio"), F.length("name"), F.col("id")], k)
+    pairs = cut_lineage(pairs)
+    alike = tokens.join(pairs.select("b").distinct(), "b").groupBy("id").agg(F.sort_array(F.collect_set("b")).alias("_like"))
+    rows = cut_lineage(named.select("id", "name", "file").join(alike, "id"))
+    # entities with the same matching tokens have the same ratios, so that only the first k of them can be listed
+    first = top_k(rows, ["_like"], [F.length("name"), F.col("id")], k)
+    likes = rows.select("_like").distinct().select("_like", F.explode("_like").alias("b"))
+    hit = words.join(pairs, "a").join(likes, "b").select("qid", "_like", "pos").distinct()
+    counted = hit.groupBy("qid", "_like").agg(F.count("*").alias("_c")).join(total, "qid")
+    ratio = counted.select("qid", "_like", (F.col("_c") / F.col("_n")).alias("ratio")).where("ratio >= 0.5")
+    listed = ratio.join(first, "_like").select("id", "qid", "ratio", "name", "file")
+    return top_k(listed, ["qid"], [F.desc("ratio"), F.length("name"), F.col("id")], k)
 
 
 def ranked(scored: DataFrame, score: str, tie: str = "id", keep: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from opsweave.operators import graph_algos as A
 from opsweave.operators import search as S
 from opsweave.plans.codegraph import SQL_CHANGES, SQL_FN, SQL_INDEX, small_index
 from opsweave.plans.registry import query
+from opsweave.session import cut_lineage
 from opsweave.sources import tables as T
 
 
@@ -140,7 +141,7 @@ def name_matches(spark, sf):
 )
 def rank_fusion(spark, sf):
     e, q = entities(spark, sf), asked(spark, sf)
-    lists = [S.ranked(S.keyword_scores(e, q), "score"), S.ranked(S.name_matches(e, q), "ratio")]
+    lists = [S.ranked(S.best_keywords(e, q), "score"), S.ranked(S.name_matches(e, q), "ratio")]
     return S.fuse(lists).withColumn("score", F.round("score", 8))
 
 
@@ -255,7 +256,8 @@ def doc_search(spark, sf):
 
 @query("search_communities", "SEA13")
 def community_search(spark, sf):
-    c, f = T.call_pairs(spark, sf), T.functions(spark, sf)
-    members = A.weak_components(c, f).join(f, "id")
-    out = S.community_search(A.community_summaries(c, f), members, asked(spark, sf))
+    c, f = cut_lineage(T.call_pairs(spark, sf)), T.functions(spark, sf)
+    comp = A.weak_components(c, f)
+    members = comp.join(f, "id")
+    out = S.community_search(A.community_summaries(c, f, comp), members, asked(spark, sf))
     return out.withColumn("score", F.round("score", 6))

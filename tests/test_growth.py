@@ -3,12 +3,16 @@
 import random
 from collections import Counter
 
+import numpy as np
+
+from opsweave.functions import vectors as V
 from opsweave.functions.sizes import broadcast_if_small
 from opsweave.functions.text import contains_join
 from opsweave.operators import code_queries as Q
 from opsweave.operators import codegraph as G
 from opsweave.operators import graph_algos as A
 from opsweave.operators import paths as P
+from opsweave.operators import search as S
 from opsweave.session import cut_lineage
 from opsweave.sources import tables as T
 
@@ -122,3 +126,83 @@ def test_reach_sizes_keep_packed_parts(spark, monkeypatch):
         got = {x.id: (x.n, x.kinds) for x in A.reach_sizes(e, d, {"n": None, "kinds": marks}).collect()}
         assert got == {i: (len(s), len({mark[c] for c in s if c in mark}) or None) for i, s in within[d].items()}
     assert max(x or 0 for x in kept) < 600 * len(ids)  # bitmaps of 32,768 marks took 4,096 bytes a node and kind
+
+
+def test_names_with_the_same_matching_words_are_ranked_once(spark):
+    names = ["ring_a", "ring_b", "ring_c", "ring_ring", "ringer_x", "blue_ring", "none", "a_ringing_bell", "bl"]
+    ents = [(i, n, f"src/{n[0]}.py", "function") for i, n in enumerate(names * 6)] + [(0, "ring_a", "src/r.py", "function"), (None, "ring_z", "f", "function")]
+    asked = [("q1", "ring blue"), ("q2", "blue bell stone"), ("q3", "ring"), ("q4", "zzz")]
+    e = spark.createDataFrame(ents, "id long, name string, file string, kind string")
+    q = spark.createDataFrame(asked, "qid string, text string")
+
+    def near(a, b):
+        return a in b or b in a or (min(len(a), len(b)) >= 6 and a[:6] == b[:6])
+
+    tokens = {}
+    for i, n, _, _ in ents:
+        if i is not None and len(n) > 2:
+            tokens.setdefault(i, set()).update(n.split("_"))
+    want = []
+    for qid, text in asked:
+        words, rows = text.split(), []
+        for i, n, f, _ in ents:
+            if i is None or len(n) < 3:
+                continue
+            ratio = sum(any(near(w, t) for t in tokens[i]) for w in words) / len(words)
+            if ratio >= 0.5:
+                rows.append((-ratio, len(n), i, n, f, qid))
+        want += [(qid, i, -r, n, f) for r, _, i, n, f, qid in sorted(rows)[:4]]
+    found = S.name_matches(e, q, 4)
+    assert sorted((x.qid, x.id, x.ratio, x.name, x.file) for x in found.collect()) == sorted(want)
+    assert "_like" in plan(found)  # queries meet sets of words, not entities
+
+    full = S.ranked(S.keyword_scores(e, q), "score", keep=5).collect()
+    assert sorted(map(str, S.ranked(S.best_keywords(e, q, 5), "score", keep=5).collect())) == sorted(map(str, full))
+
+
+def test_edges_are_computed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)]
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 1).mapPartitions(seen), "src long, dst long")
+    for run in (A.weak_components, A.strong_components, lambda e: A.shortest_paths(e, spark.createDataFrame([(1, 4)], "start long, goal long"))):
+        before = made.value
+        run(edges).collect()
+        assert made.value - before == len(pairs)
+
+
+def test_grams_of_many_texts_at_once(monkeypatch):
+    texts = ["", "ab", "abc", "Ring \u00e9\u20ac\U0001f600\ud800", "x" * 40, None, "small ring economy " * 9]
+
+    def slow(text):
+        out, chars = np.zeros(V.DIM), [c.encode("utf-8", "surrogatepass") for c in (text or "").lower()]
+        for n in range(3, 7):
+            for i in range(len(chars) - n + 1):
+                h = 2166136261
+                for o in b"".join(chars[i : i + n]):
+                    h = (h ^ o) * 16777619 % 2**32
+                out[h % V.DIM] += 1 if h < 2**31 else -1
+        norm = np.sqrt((out * out).sum())
+        return out / norm if norm else out
+
+    for chars in (7, 1 << 17):
+        monkeypatch.setattr(V, "BLOCK_CHARS", chars)
+        assert (V._ngram_vectors(texts) == np.stack([slow(t) for t in texts])).all()
+
+
+def test_best_cells_are_the_sorted_ones():
+    rng, least = np.random.default_rng(3), np.full(5, -np.inf)
+    kept = []
+    for start in (0, 40, 80):
+        sims, ids = rng.integers(0, 9, (5, 40)).astype(float), start + rng.permutation(40)
+        rows, cols = V._best_cells(sims, ids, 6, least)
+        kept.append((sims, ids, list(zip(rows, sims[rows, cols], ids[cols]))))
+    for q in range(5):
+        every = sorted((-v, i) for sims, ids, _ in kept for v, i in zip(sims[q], ids))[:6]
+        assert sorted((-v, i) for _, _, got in kept for r, v, i in got if r == q)[:6] == every
+    assert len(kept[2][2]) < 5 * 6  # a task's earlier batches leave less to keep
