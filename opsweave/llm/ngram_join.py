@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from opsweave.llm.common import fresh, map_rows, mix64, words_of, written
 from opsweave.llm.components import components
-from opsweave.session import cut_lineage
+from opsweave.session import cut_lineage, freed_shuffles, shared_folder
 
 SHINGLE = 3
 PERCENT = 90  # linked: 100 * intersection >= percent * union
@@ -50,6 +50,7 @@ BLOCK_TOKENS = 300_000  # tokens of one block of a cluster, on average
 BLOCK_SETS = 3000  # sets of one block, on average: two blocks take a float matrix of their counts squared
 STRIP = 1024
 BATCH_TOKENS = 2_000_000
+SLICES = 4  # of the token universe: only one slice of all tokens is shuffled at a time
 FILTER_BITS = 1 << 23
 _CACHED = 400_000
 
@@ -149,13 +150,25 @@ def pairs_within_classes(keys: list[int], c: int) -> list[int]:
     return out
 
 
-def _signatures(nodes: DataFrame, percent: int) -> DataFrame:
-    """Index entries ``(entry, v)`` of nodes ``(v, n, parts)``."""
+def _shared_tokens(parts: DataFrame, folder: str) -> DataFrame:
+    """The tokens ``(key, v, band, df)`` that several sets hold, as a table in ``folder``.
+
+    Slice by slice of the keys, so that the shuffle files of all tokens never lie on disk together.
+    """
+    for part in range(SLICES):
+        keys = F.filter("keys", lambda k: F.pmod(k, F.lit(SLICES)) == part)
+        tokens = parts.select("v", "band", F.explode(keys).alias("key"))
+        shared = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+        # a third of all sets may share a key, which adaptive joins split
+        tokens.join(shared, "key").write.mode("append").parquet(folder)
+    return parts.sparkSession.read.parquet(folder)
+
+
+def _signatures(nodes: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Index entries ``(entry, v)`` of nodes ``(v, n, parts)``; ``folder`` holds what is made on the way."""
     parts = nodes.select("v", "n", F.explode("parts").alias("p")).select("v", "n", "p.band", "p.m", "p.keys")
-    tokens = parts.select("v", "band", F.explode("keys").alias("key"))
-    shared = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    # a set's own tokens only; a third of all sets may share a key, which adaptive joins split
-    held = tokens.join(shared, "key").groupBy("v", "band").agg(F.collect_list(F.struct("df", "key")).alias("held"))
+    held = _shared_tokens(parts.select("v", "band", "keys"), folder)
+    held = held.groupBy("v", "band").agg(F.collect_list(F.struct("df", "key")).alias("held"))
     held = held.join(parts.select("v", "band", "n", "m"), ["v", "band"])
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     held = held.withColumn("need", need.cast("long")).where(F.col("m") - F.size("held") < F.col("need"))
@@ -286,6 +299,11 @@ def _links(
 
 def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows ``(id, t, n, v)``, and the component ``(v, id, c)`` of each set with its least id."""
+    with freed_shuffles(docs.sparkSession):
+        return _found_components(docs, id_col, text_col, size, percent)
+
+
+def _found_components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     shares: dict[int, float] = {}
     while True:
         rows = cut_lineage(_nodes(docs, id_col, text_col, shares, False, size, percent).drop("parts"))  # narrow
@@ -297,8 +315,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     wide = _nodes(docs, id_col, text_col, shares, True, size, percent).where(F.size("parts") > 0).select("v", "id", "n", "parts")
     first = wide.join(reps.select("v", F.col("id").alias("_first")), "v")
     nodes = first.where(F.col("id").eqNullSafe(F.col("_first"))).select("v", "n", "parts")
-    with written(nodes.dropDuplicates(["v"])) as nodes:  # tokens are shuffled from here, each set's once
-        entries = cut_lineage(_signatures(nodes, percent).distinct())
+    with written(nodes.dropDuplicates(["v"])) as nodes, shared_folder(docs.sparkSession, "tokens") as folder:
+        entries = cut_lineage(_signatures(nodes, percent, folder).distinct())  # tokens are shuffled from here, each set's once
     pivots = entries.groupBy("entry").agg(F.min("v").alias("a"), F.count("*").alias("c")).where("c > 1")
     pairs = entries.join(pivots, "entry").where("v != a").select("a", F.col("v").alias("b")).distinct()
     clusters = cut_lineage(components(cut_lineage(pairs)))

@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -204,3 +205,26 @@ def test_blocks_are_bounded_in_sets(spark, frame, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame([(d, t, "a") for d, t in rows])).collect()}
     assert got == brute(rows)
     assert 2 < largest.value < 160  # two blocks of 40 on average, of 300
+
+
+def test_tokens_go_in_slices_and_shuffles_are_freed(spark):
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {x for x in blocks.getAllBlocks().mkString(",").split(",") if "shuffle" in x}
+    before = files()
+    found, named = ngram_join._components(docs, "doc_id", "text", 5, 80)
+    for _ in range(50):  # they are deleted in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    c = {r.v: r.c for r in named.collect()}
+    got = {r.id: c.get(r.v, r.id) for r in found.collect()}
+    want = brute(rows, 5, 80)
+    assert len({(got[i], want[i][1]) for i in got}) == len(set(got.values())) == len({w for _, w in want.values()})
+    key = [(v, 1, v % 5 + 1, list(range(-9, v))) for v in range(6)]
+    parts = spark.createDataFrame(key, "v long, band int, m long, keys array<long>")
+    with ngram_join.shared_folder(spark, "t") as folder:
+        shared = {(r.key, r.v, r.df) for r in ngram_join._shared_tokens(parts, folder).collect()}
+    assert shared == {(k, v, 6 - max(0, k + 1)) for v in range(6) for k in range(-9, v) if k < 4}
