@@ -31,8 +31,12 @@ def _buckets(
     example: Column | None = None,
 ) -> DataFrame:
     """Count, first/last seen, highest severity, columns of the first line, and the
-    first five examples. Both branches trim or combine before their shuffle."""
+    first five examples. Both branches trim or combine before their shuffle.
+
+    Lines without a key are left out. Every other bucket has an example, so the outer join drops nothing; as its right
+    side has one row per key, Spark leaves out that branch where a caller doesn't read the examples."""
     keys, order = list(keys), list(order)
+    lines = lines.dropna(subset=keys)
     first = F.struct(*order)
     agg = lines.groupBy(*keys).agg(
         F.count("*").alias("count"),
@@ -48,7 +52,7 @@ def _buckets(
             F.array_sort(F.collect_list(F.struct(*order, "_line"))), lambda x: x["_line"]
         ).alias("examples")
     )
-    return agg.join(examples, keys)
+    return agg.join(examples, keys, "left")
 
 
 def classify_pod_lines(lines: DataFrame) -> DataFrame:
