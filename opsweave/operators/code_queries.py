@@ -9,7 +9,7 @@ from opsweave.functions.ordered import top_k
 from opsweave.functions.sizes import shuffled
 from opsweave.functions.text import contains_join
 from opsweave.operators.graph_algos import reach, reach_sizes
-from opsweave.session import cut_lineage
+from opsweave.session import cut_lineage, enough_partitions
 
 # Frames: functions(id, name, file, line, …), calls(src, dst) on ids,
 # modified(commit, fn, author, date, message), changes(commit, file, change, author, date, message).
@@ -256,14 +256,19 @@ def co_change_partners(
     """For each target the items that share commits with it, most often first.
 
     ``changes(commit, item)``; only commits of a target are expanded, so the work
-    is one row per target commit and partner, never all pairs of a commit.
+    is one row per target commit and partner, never all pairs of a commit. Partitions
+    are as many as these rows ask for, so that no task counts more of them as tables grow.
     """
     rows = changes.select("commit", F.col(item).alias("partner")).distinct()
     mine = rows.join(targets.select(F.col(item).alias("partner")).distinct(), "partner", "left_semi")
     pairs = mine.select("commit", F.col("partner").alias("target")).join(rows, "commit")
     counted = pairs.where("partner <> target").groupBy("target", "partner").agg(F.count("*").alias("shared"))
     counted = counted.where(F.col("shared") >= at_least)
-    return top_k(counted, ["target"], [F.desc("shared"), F.col("partner")], k) if k else counted
+    out = top_k(counted, ["target"], [F.desc("shared"), F.col("partner")], k) if k else counted
+    sizes = rows.where("commit is not null").groupBy("commit").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    with enough_partitions(rows.sparkSession, most):
+        return cut_lineage(out)
 
 
 def recall_history(facts: DataFrame, commits: DataFrame, text: str) -> DataFrame:
