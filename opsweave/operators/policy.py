@@ -98,24 +98,29 @@ def codebase_suggestion(actions: DataFrame, entities: DataFrame) -> DataFrame:
     """Per distinct action text the function sharing most name parts.
 
     ``actions(action)``, ``entities(kind, name, file, line)``. Ties go to the
-    smallest (file, line, name).
+    smallest (file, line, name). Functions that hold the same of the words asked for
+    share as many with every action, so only the smallest of each such set, and each
+    set of an action's words once, meet; repeated rows of a function count as often.
     """
     names = entities.where((F.col("kind") == "function") & (F.col("name") != ""))
     camel = F.regexp_replace("name", "([a-z])([A-Z])", "$1_$2")
-    parts = names.select(
-        "name", "file", "line",
-        F.explode(F.array_union(tokens(F.col("name")), tokens(camel))).alias("part"),
+    parts = names.groupBy("name", "file", "line").agg(F.count("*").alias("times")).select(
+        "name", "file", "line", "times", F.explode(F.array_union(tokens(F.col("name")), tokens(camel))).alias("part"),
     )
     asked = actions.select("action").distinct()
-    words = asked.select("action", F.explode(F.array_distinct(tokens(F.col("action")))).alias("part"))
-    scored = (
-        words.join(parts, "part")
-        .groupBy("action", "name", "file", "line")
-        .agg(F.count("*").alias("shared"))
+    word_sets = asked.select("action", F.array_sort(F.array_distinct(tokens(F.col("action")))).alias("words"))
+    vocabulary = word_sets.select(F.explode("words").alias("part")).distinct()
+    held = parts.join(broadcast_if_small(vocabulary), "part").groupBy("name", "file", "line", "times").agg(
+        F.array_sort(F.collect_list("part")).alias("held")
     )
-    best = scored.groupBy("action").agg(
-        F.min(F.struct((-F.col("shared")).alias("neg"), "file", "line", "name")).alias("b")
+    least = held.groupBy("held", "times").agg(F.min(F.struct("file", "line", "name")).alias("f"))
+    words = word_sets.select("words").distinct().select("words", F.explode("words").alias("part"))
+    met = words.join(least.select("held", "times", "f", F.explode("held").alias("part")), "part")
+    counted = met.groupBy("words", "held", "times").agg(F.count("*").alias("n"), F.first("f").alias("f"))
+    per_set = counted.groupBy("words").agg(
+        F.min(F.struct((-F.col("n") * F.col("times")).alias("neg"), "f.file", "f.line", "f.name")).alias("b")
     )
+    best = word_sets.join(per_set, "words").select("action", "b")
     return best.select(
         "action",
         F.col("b.name").alias("name"),

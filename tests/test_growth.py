@@ -1,6 +1,7 @@
 """Steps that must not grow with a product of two sides, compared with plain Python."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,8 +11,11 @@ from opsweave.functions.sizes import broadcast_if_small
 from opsweave.functions.text import contains_join
 from opsweave.operators import code_queries as Q
 from opsweave.operators import codegraph as G
+from opsweave.operators import diagnose
 from opsweave.operators import graph_algos as A
+from opsweave.operators import logs
 from opsweave.operators import paths as P
+from opsweave.operators import policy as pol
 from opsweave.operators import search as S
 from opsweave.session import cut_lineage
 from opsweave.sources import tables as T
@@ -206,3 +210,66 @@ def test_best_cells_are_the_sorted_ones():
         every = sorted((-v, i) for sims, ids, _ in kept for v, i in zip(sims[q], ids))[:6]
         assert sorted((-v, i) for _, _, got in kept for r, v, i in got if r == q)[:6] == every
     assert len(kept[2][2]) < 5 * 6  # a task's earlier batches leave less to keep
+
+
+def test_codebase_suggestion_meets_sets_of_words(spark):
+    r = random.Random(4)
+    words = ["load", "user", "order", "parse", "x"]
+    name = lambda: "_".join(r.choice(words) for _ in range(r.randint(1, 4)))
+    fns = [("function", name() + r.choice(["", f"_{k}", "Load"]), r.choice(["a", "b", None]), k % 7) for k in range(60)]
+    fns += [*fns[:9], ("function", None, "a", 1), ("class", "load_user_order_parse_x", "a", 0)]
+    acts = [(name().replace("_", r.choice("_- ")),) for _ in range(25)] + [("zzz",), (None,), ("",)]
+    split = lambda s: {w for w in re.split(r"[_\-\s]+", s.lower()) if w}
+    times = Counter(f[1:] for f in fns if f[0] == "function" and f[1])
+    want = {}
+    for (a,) in acts:
+        shared = {f: n * len(split(a or "") & (split(f[0]) | split(re.sub("([a-z])([A-Z])", r"\1_\2", f[0])))) for f, n in times.items()}
+        shared = {f: n for f, n in shared.items() if n}
+        if shared:
+            f = min(shared, key=lambda f: (-shared[f], f[1] is not None, f[1] or "", f[2], f[0]))
+            want[a] = (f[0], shared[f])
+    got = pol.codebase_suggestion(
+        spark.createDataFrame(acts, "action string"), spark.createDataFrame(fns, "kind string, name string, file string, line int")
+    )
+    assert {x.action: (x.name, x.shared) for x in got.collect()} == want
+    # a thousand functions of equal words are one row where actions meet them
+    many = spark.createDataFrame([("function", f"load_user_{k}", "a", k) for k in range(1000)], "kind string, name string, file string, line int")
+    few = pol.codebase_suggestion(spark.createDataFrame([("load user",)], "action string"), many)
+    few.collect()
+    assert "held" in plan(few) and [tuple(x)[1:3] for x in few.collect()] == [("load_user_0", 2)]
+
+
+def test_reports_leave_out_the_examples(spark):
+    rows = [("n", "p", 1.0, "ERROR disk full"), ("n", "p", 2.0, "ERROR disk full"), (None, "p", 2.0, "ERROR disk full")]
+    lines = spark.createDataFrame(rows, "namespace string, pod string, ts double, line string")
+    b = logs.pod_buckets(lines)
+    assert [(x["count"], x.examples) for x in b.collect()] == [(2, ["ERROR disk full"] * 2)]  # no bucket without a key
+    report = diagnose.diagnose_report({"cluster": b})
+    report.collect()
+    assert "Join" not in plan(report) and "Window" not in plan(report)
+    assert "Window" in plan(b)
+
+
+def test_co_change_takes_partitions_by_its_pairs(spark, monkeypatch):
+    seen, real = [], Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or real(df))
+    changes = spark.range(400).selectExpr("id % 4 as commit", "id as fn").union(spark.sql("select null, 1L"))
+    with monkeypatch.context() as m:
+        m.setattr(Q.enough_partitions.__wrapped__, "__defaults__", (1000,))
+        got = Q.co_change_partners(changes, changes.select("fn"), "fn", 3).collect()
+    assert seen == [40] and spark.conf.get("spark.sql.shuffle.partitions") == "8"  # four commits of 100 * 100 pairs
+    first = lambda t: [x for x in range(t % 4, 400, 4) if x != t][:3]
+    assert {(x.target, x.partner, x.shared) for x in got} == {(t, p, 1) for t in range(400) for p in first(t)}
+
+
+def test_betweenness_deals_out_its_edges_once(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, k) for k in range(1, 9)] + [(k, 9) for k in range(1, 9)] + [(9, 10)], "src long, dst long")
+    want = {0: 0.0, 10: 0.0, 9: 9 / 90, **{k: 0.25 / 90 for k in range(1, 9)}}
+    for hub in (1_000_000, 3):
+        monkeypatch.setattr(A, "HUB_EDGES", hub)
+        dealt, real = [], A.cut_lineage
+        monkeypatch.setattr(A, "cut_lineage", lambda df: dealt.append(plan(df)) or real(df))
+        got = {x.id: round(x.centrality, 9) for x in A.betweenness(edges).collect()}
+        monkeypatch.setattr(A, "cut_lineage", real)
+        assert got == {k: round(v, 9) for k, v in want.items()}
+        assert sum("REPARTITION_BY_COL" in p or "Exchange hashpartitioning(node" in p and "Sort [node" in p for p in dealt) >= 1
