@@ -40,6 +40,20 @@ def map_rows(df: DataFrame, fn: Callable[[tuple], Iterator[tuple]], schema: str)
     return df.mapInArrow(run, schema)
 
 
+def map_columns(df: DataFrame, fn: Callable[[list[pa.Array]], Iterator[list]], schema: str) -> DataFrame:
+    """``fn`` gets the Arrow columns of a batch of at most ``ROWS_PER_BATCH`` rows and yields lists of output columns."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    out = _arrow_schema(df.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cols in fn(batch.columns):
+                made = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, out)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, out)], schema=out)
+
+    return df.mapInArrow(run, schema)
+
+
 def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], np.ndarray]) -> DataFrame:
     """The rows whose texts ``keep`` marks, batch by batch, with all columns as they are."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))

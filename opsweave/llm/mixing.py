@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsweave.llm.common import fresh
-from opsweave.session import cut_lineage
+from opsweave.session import cut_lineage, freed_shuffles, shared_code
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -100,14 +100,22 @@ def mix(
     """One row ``(id_col, source, size, dup, source_size, target, taken, copies, starts_at)`` per row.
 
     ``taken`` counts words with repeats, ``copies`` the begun copies, ``starts_at`` the words of the
-    mix before the first of them; ``dup`` numbers the rows of one id by (source, size).
+    mix before the first of them; ``dup`` numbers the rows of one id by (source, size). Each step is
+    written before the next, which keeps plans short: the driver holds all of a plan, step by step anew.
     """
+    with freed_shuffles(docs.sparkSession), shared_code(docs.sparkSession):
+        return _mix(docs, id_col, text_col, source_col, weights, max_repeats)
+
+
+def _mix(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], max_repeats: int
+) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = rows.withColumn("dup", F.row_number().over(Window.partitionBy("_id").orderBy("source", "size")))
     rows = cut_lineage(rows.withColumn("place", shuffled(F.col("_id"))))  # narrow: the texts are read once
-    goal = targets(rows, weights, max_repeats)
+    goal = cut_lineage(targets(rows, weights, max_repeats))
     rows = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    rows = running_sum(rows, "size", "_end", ["source_rank"], "place", ["_id", "dup"])
+    rows = cut_lineage(running_sum(cut_lineage(rows), "size", "_end", ["source_rank"], "place", ["_id", "dup"]))
 
     # every pass in which the copy begins before virtual time 1; a copy that ends later is cut
     begin = F.col("pass") * F.col("source_size") + F.col("_end") - F.col("size")
@@ -116,14 +124,14 @@ def mix(
     copies = copies.withColumn("served", F.greatest(served, F.lit(0)).cast("long")).where("served > 0")
     finish = F.least((begin + F.col("served")) / F.col("target"), F.lit(1.0))
     copies = copies.select("_id", "source_rank", "dup", "pass", "place", "served", finish.alias("finish"))
-    copies = running_sum(copies, "served", "until", [], "finish", ["source_rank", "pass", "place", "_id", "dup"])
+    copies = running_sum(cut_lineage(copies), "served", "until", [], "finish", ["source_rank", "pass", "place", "_id", "dup"])
     budget = goal.agg(F.sum("source_size").alias("budget"))
     copies = copies.crossJoin(F.broadcast(budget))  # one row
     words = F.greatest(F.least(F.col("served"), F.col("budget") - F.col("until") + F.col("served")), F.lit(0))
     taken = copies.withColumn("words", words.cast("long")).groupBy("_id", "dup").agg(
         F.sum("words").alias("taken"), F.count("*").alias("copies"), F.min(F.col("until") - F.col("served")).alias("starts_at")
     )
-    t = taken.select(F.col("_id").alias("_t"), F.col("dup").alias("_d"), "taken", "copies", "starts_at")
+    t = cut_lineage(taken.select(F.col("_id").alias("_t"), F.col("dup").alias("_d"), "taken", "copies", "starts_at"))
     both = rows.join(t, rows["_id"].eqNullSafe(t["_t"]) & (rows["dup"] == t["_d"]), "left")
     zero = F.lit(0).cast("long")
     return both.select(

@@ -8,7 +8,7 @@ tokens, one is shared, and of the tokens in a common order the first ones must m
 * *Bands.* Linked sets have sizes within a factor of ``percent`` / 100. Sets are indexed in the band of their size
   (powers of two), and also in the band below if they reach into it. Within a band only tokens whose
   hash is below the band's share are used; the argument holds in any sub-universe of tokens that leaves
-  every set enough of them, and shares are raised until that is so.
+  every set enough of them, and shares are as large as the set asks that needs most.
 * *Order.* Tokens are ordered by their frequency in the band, rarest first, over all documents. Tokens
   of one set alone count for the prefix but need no index.
 * *Combinations.* Tokens held by more than ``FREQUENT`` sets are indexed in pairs. They fall into c classes by
@@ -35,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsweave.llm.common import fresh, map_rows, mix64, words_of, written
+from opsweave.llm.common import fresh, map_columns, map_rows, mix64, words_of, written
 from opsweave.llm.components import components
-from opsweave.session import cut_lineage, freed_shuffles, shared_folder
+from opsweave.session import cut_lineage, freed_shuffles, shared_code, shared_folder
 
 SHINGLE = 3
 PERCENT = 90  # linked: 100 * intersection >= percent * union
@@ -52,18 +53,6 @@ STRIP = 1024
 BATCH_TOKENS = 2_000_000
 SLICES = 4  # of the token universe: only one slice of all tokens is shuffled at a time
 FILTER_BITS = 1 << 23
-_CACHED = 400_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -71,12 +60,13 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = np.array([_HASHES[w] for w in words], dtype=np.uint64)
+    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), dtype=np.uint64)
     k = min(size, len(h))
     out = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for i in range(k):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]  # np.unique takes several times as long
 
 
 def edits(n: int, percent: int = PERCENT) -> int:
@@ -105,35 +95,63 @@ def _text_hash(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def _nodes(
-    docs: DataFrame, id_col: str, text_col: str, shares: dict[int, float], with_parts: bool, size: int, percent: int
-) -> DataFrame:
-    """``(id, t, n, v, short, parts)``: per row the hash of its text, its set's size and hash, the bands in
-    which it has too few tokens, and, if asked for, per band the tokens used."""
+def _kept_below(share: float) -> int:
+    """The hash below which a token belongs to a band's share."""
+    return int(share * (1 << 64))
+
+
+def _set_hash(tokens: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col)), kind
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """``(id, t, n, v, short)``: per row the hash of its text, its set's size and hash, and the bands whose first
+    share leaves it too few tokens, with half the hash of the last token it needs there."""
 
     def one(row) -> Iterator[tuple]:
         tokens = shingles(row[1], size)
         n = len(tokens)
         if not n:
-            yield row[0], row[2], 0, None, [], []
+            yield row[0], row[2], 0, None, []
             return
-        parts, short = [], []
+        short = []
         for b in bands(n, percent):
-            share = shares.get(b) or first_share(b, percent)
-            own = tokens if share >= 1 else tokens[: np.searchsorted(tokens, np.uint64(int(share * (1 << 64))))]
-            if len(own) < min(n, edits(n, percent) + classes(b, percent) + 1):
-                short.append(b)
-            if with_parts:
-                keys = mix64(own ^ np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64)))
-                parts.append((b, len(own), keys.view(np.int64).tolist()))
-        v = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
-        yield row[0], row[2], n, v, short, parts
+            last = int(tokens[min(n, edits(n, percent) + classes(b, percent) + 1) - 1])
+            if last >= _kept_below(first_share(b, percent)):
+                short.append((b, last >> 1))
+        yield row[0], row[2], n, _set_hash(tokens), short
 
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return map_rows(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col)), one,
-        f"id {kind}, t bigint, n bigint, v bigint, short array<int>, parts array<struct<band:int,m:int,keys:array<bigint>>>",
-    )
+    texts, kind = _texts(docs, id_col, text_col)
+    return map_rows(texts, one, f"id {kind}, t bigint, n bigint, v bigint, short array<struct<band:int,half:bigint>>")
+
+
+def _parts(docs: DataFrame, id_col: str, text_col: str, below: dict[int, int], size: int, percent: int) -> DataFrame:
+    """``(v, n, band, m, keys)``: per row and band of its set the tokens used, those whose hash is below the band's.
+
+    Arrow columns are made of whole batches; no token becomes a Python object."""
+
+    def run(columns: list[pa.Array]) -> Iterator[list]:
+        found, keys = [], []
+        for text in columns[1].to_pylist():
+            tokens = shingles(text, size)
+            if own := bands(len(tokens), percent) if len(tokens) else []:
+                v = _set_hash(tokens)
+            for b in own:
+                end = below.get(b) or _kept_below(first_share(b, percent))
+                used = tokens if end >= 1 << 64 else tokens[: np.searchsorted(tokens, np.uint64(end))]
+                keys.append(mix64(used ^ np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64))))
+                found.append((v, len(tokens), b, len(used)))
+        if found:
+            v, n, band, m = zip(*found)
+            ends = np.r_[0, np.cumsum(m)].astype(np.int32)
+            yield [v, n, band, m, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))]
+
+    return map_columns(_texts(docs, id_col, text_col)[0], run, "v bigint, n bigint, band int, m bigint, keys array<bigint>")
 
 
 def pairs_within_classes(keys: list[int], c: int) -> list[int]:
@@ -164,9 +182,8 @@ def _shared_tokens(parts: DataFrame, folder: str) -> DataFrame:
     return parts.sparkSession.read.parquet(folder)
 
 
-def _signatures(nodes: DataFrame, percent: int, folder: str) -> DataFrame:
-    """Index entries ``(entry, v)`` of nodes ``(v, n, parts)``; ``folder`` holds what is made on the way."""
-    parts = nodes.select("v", "n", F.explode("parts").alias("p")).select("v", "n", "p.band", "p.m", "p.keys")
+def _signatures(parts: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Index entries ``(entry, v)`` of ``parts`` ``(v, n, band, m, keys)``; ``folder`` holds what is made on the way."""
     held = _shared_tokens(parts.select("v", "band", "keys"), folder)
     held = held.groupBy("v", "band").agg(F.collect_list(F.struct("df", "key")).alias("held"))
     held = held.join(parts.select("v", "band", "n", "m"), ["v", "band"])
@@ -254,21 +271,21 @@ def _links(
     docs: DataFrame, id_col: str, text_col: str, clusters: DataFrame, reps: DataFrame, size: int, percent: int
 ) -> DataFrame:
     """Links ``(a, b)`` within clusters ``(node, component)``; reps: ``(v, id, n)``."""
-    own = clusters.join(reps, clusters["node"] == reps["v"]).select("component", "v", "id", "n")
+    own = cut_lineage(clusters.join(reps, clusters["node"] == reps["v"]).select("component", "v", "id", "n"))
     sizes = own.groupBy("component").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets"))
     blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("sets") / BLOCK_SETS)).cast("int")
     sizes = sizes.select("component", "tokens", blocks.alias("blocks"))
     own = own.join(sizes, "component")
     batches = max(1, -(-(sizes.where("blocks = 1").agg(F.sum("tokens")).collect()[0][0] or 0) // BATCH_TOKENS))
     block = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    own = own.select("id", "v", "component", "blocks", block.alias("block")).withColumnRenamed("id", "_id")
+    own = cut_lineage(own.select(F.col("id").alias("_id"), "v", "component", "blocks", block.alias("block")))
     wanted = id_filter(own, "_id")
 
     def sets(row) -> Iterator[tuple]:
         if wanted[row[2] >> 3] >> (row[2] & 7) & 1:
             tokens = shingles(row[1], size)
             if len(tokens):
-                yield row[0], xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63), tokens.tobytes()
+                yield row[0], _set_hash(tokens), tokens.tobytes()
 
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))
     texts = docs.select(F.col(id_col).alias("_t"), F.col(text_col).cast("string").alias("text"), place.alias("place"))
@@ -299,31 +316,27 @@ def _links(
 
 def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows ``(id, t, n, v)``, and the component ``(v, id, c)`` of each set with its least id."""
-    with freed_shuffles(docs.sparkSession):
+    with freed_shuffles(docs.sparkSession), shared_code(docs.sparkSession):
         return _found_components(docs, id_col, text_col, size, percent)
 
 
 def _found_components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    shares: dict[int, float] = {}
-    while True:
-        rows = cut_lineage(_nodes(docs, id_col, text_col, shares, False, size, percent).drop("parts"))  # narrow
-        few = [r["b"] for r in rows.select(F.explode("short").alias("b")).distinct().collect()]  # bands
-        if not few:
-            break
-        shares |= {b: min(1.0, 1.25 * (shares.get(b) or first_share(b, percent))) for b in few}
-    reps = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    wide = _nodes(docs, id_col, text_col, shares, True, size, percent).where(F.size("parts") > 0).select("v", "id", "n", "parts")
-    first = wide.join(reps.select("v", F.col("id").alias("_first")), "v")
-    nodes = first.where(F.col("id").eqNullSafe(F.col("_first"))).select("v", "n", "parts")
-    with written(nodes.dropDuplicates(["v"])) as nodes, shared_folder(docs.sparkSession, "tokens") as folder:
-        entries = cut_lineage(_signatures(nodes, percent, folder).distinct())  # tokens are shuffled from here, each set's once
+    rows = cut_lineage(_rows(docs, id_col, text_col, size, percent))
+    few = rows.select(F.explode("short").alias("s")).groupBy("s.band").agg(F.max("s.half").alias("half")).collect()  # bands
+    below = {r["band"]: (r["half"] + 1) << 1 for r in few}  # as far as the set that needs it most
+    rows = rows.drop("short")
+    reps = cut_lineage(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    # rows of one set hold the same
+    parts = _parts(docs, id_col, text_col, below, size, percent).dropDuplicates(["v", "band"])
+    with written(parts) as parts, shared_folder(docs.sparkSession, "tokens") as folder:
+        entries = cut_lineage(_signatures(parts, percent, folder).distinct())  # tokens are shuffled from here, each set's once
     pivots = entries.groupBy("entry").agg(F.min("v").alias("a"), F.count("*").alias("c")).where("c > 1")
     pairs = entries.join(pivots, "entry").where("v != a").select("a", F.col("v").alias("b")).distinct()
     clusters = cut_lineage(components(cut_lineage(pairs)))
     links = cut_lineage(_links(docs, id_col, text_col, clusters, reps, size, percent))
     found = components(links).withColumnRenamed("node", "v")
     named = reps.join(found, "v", "left").select("v", "id", F.coalesce("component", "v").alias("c"))
-    return rows, named
+    return rows, cut_lineage(named)
 
 
 def join(

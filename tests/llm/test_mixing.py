@@ -53,3 +53,10 @@ def test_edges(frame, edge_rows):
     assert {r["_nr"] for r in rows} == {9} and {r["size"] for r in rows} == {"y"}
     assert mixing.mix(frame([])).count() == 0 and mixing.apply(frame([])).count() == 0
     assert mixing.mix(frame([(1, None, "a"), (2, "", "b")])).where("taken > 0").count() == 0
+
+
+def test_plan_is_short(spark):
+    """The driver holds a plan as a whole: steps are written one after another."""
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * i) for i in range(20)], "doc_id long, source string, text string")
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4

@@ -1,4 +1,5 @@
 import random
+import sys
 import time
 import tracemalloc
 from collections import Counter, defaultdict
@@ -152,6 +153,27 @@ def test_components_of_a_path(spark, n):
     assert got == {i: 0 for i in range(n + 1)} | {100: 100}
 
 
+def test_a_star_takes_one_round(spark, monkeypatch):
+    """Stars are known by their nodes, not by a second round that changes nothing."""
+    module, rounds = sys.modules["opsweave.llm.components"], []
+    monkeypatch.setattr(module, "cut_lineage", lambda df, cut=module.cut_lineage: rounds.append(1) or cut(df))
+    edges = spark.createDataFrame([(0, i) for i in range(1, 9)] + [(20, 21), (30, 30)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(9)} | {20: 20, 21: 20, 30: 30} and len(rounds) == 1
+
+
+def test_shares_follow_the_set_that_needs_most(frame):
+    """One pass tells how far every band has to reach, so that no text is read again with a larger share."""
+    rng = random.Random(2)
+    rows = [(d, " ".join(f"w{rng.randrange(10**6)}" for _ in range(516)), "a") for d in range(200)]
+    few = [s for r in ngram_join._rows(frame(rows), "doc_id", "text", 3, 90).collect() for s in r["short"]]
+    assert few
+    below = {b: (max(s["half"] for s in few if s["band"] == b) + 1) << 1 for b in {s["band"] for s in few}}
+    for r in ngram_join._parts(frame(rows), "doc_id", "text", below, 3, 90).collect():
+        need = min(r["n"], ngram_join.edits(r["n"]) + ngram_join.classes(r["band"]) + 1)
+        assert need <= r["m"] == len(r["keys"]) < r["n"]
+
+
 def test_edges(frame, edge_rows):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(edge_rows)).collect()]
     want = [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (6, 1, 5), (7, 29_998, 7), (8, 29_999, 7), (None, 3, None)]
