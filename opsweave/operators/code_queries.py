@@ -571,9 +571,9 @@ def word_tokens(text: Column) -> Column:
 
 
 def _token_scores(queries: DataFrame, targets: DataFrame, related: DataFrame) -> DataFrame:
-    """Score per (qid, id) that shares or contains a token."""
+    """Score per (qid, id) that shares or contains a token; targets: ``(id, n, tokens)``, n tokens in all."""
     q = queries.select("qid", F.size("tokens").alias("_qn"), F.explode("tokens").alias("qt"))
-    t = targets.select("id", F.size("tokens").alias("_tn"), F.explode("tokens").alias("tt"))
+    t = targets.select("id", F.col("n").alias("_tn"), F.explode("tokens").alias("tt"))
     pairs = q.join(related, "qt").join(t, "tt").groupBy("qid", "id").agg(
         F.first("_qn").alias("qn"), F.first("_tn").alias("tn"),
         F.count_if(F.col("qt") == F.col("tt")).alias("same"), F.countDistinct("qt").alias("near"),
@@ -591,8 +591,10 @@ def similar_functions(
     """Functions similar to each description ``(qid, description)``: 0.6 name + 0.4 body.
 
     Equal and substring-related words are found once between the two vocabularies;
-    functions then meet queries only through a related word.
+    functions then meet queries only through a related word. Functions that hold the same related words
+    among as many words have equal scores, so such a group is scored once and lists its first ``k``.
     """
+    functions = functions.where("id is not null")
     q = queries.select("qid", word_tokens(F.col("description")).alias("tokens"))
     names = functions.select("id", word_tokens(F.col("name")).alias("tokens"))
     bodies = functions.select("id", word_tokens(F.coalesce("body", F.lit(""))).alias("tokens"))
@@ -600,12 +602,24 @@ def similar_functions(
     tv = names.unionByName(bodies).select(F.explode("tokens").alias("tt")).distinct()
     inside = contains_join(tv, "tt", qv, "qt", min_length=1).select("qt", "tt")
     around = contains_join(qv, "qt", tv, "tt", min_length=1).select("qt", "tt")
-    related = inside.unionByName(around).distinct()
-    by_name = _token_scores(q, names, related).withColumnRenamed("score", "name_score")
-    by_body = _token_scores(q, bodies, related).withColumnRenamed("score", "body_score")
+    related = cut_lineage(inside.unionByName(around).distinct())
+    used = related.select("tt").distinct()
+
+    def held(targets: DataFrame, words: str, n: str) -> DataFrame:
+        each = targets.select("id", F.size("tokens").alias(n), F.explode("tokens").alias("tt")).join(used, "tt")
+        return each.groupBy("id").agg(F.first(n).alias(n), F.array_sort(F.collect_list("tt")).alias(words))
+
+    alike = ["_nw", "_nn", "_bw", "_bn"]
+    described = held(names, "_nw", "_nn").join(held(bodies, "_bw", "_bn"), "id", "full_outer")
+    members = top_k(functions.select("id", "name", "file", "line").join(described, "id"), alike, [F.col("name"), F.col("id")], k)
+    members = cut_lineage(members.withColumn("_one", F.min("id").over(Window.partitionBy(*alike))))
+    ones = members.where("id = _one").dropDuplicates(["id"])
+    by_name = _token_scores(q, ones.select("id", F.col("_nn").alias("n"), F.col("_nw").alias("tokens")), related)
+    by_body = _token_scores(q, ones.select("id", F.col("_bn").alias("n"), F.col("_bw").alias("tokens")), related)
+    by_name, by_body = by_name.withColumnRenamed("score", "name_score"), by_body.withColumnRenamed("score", "body_score")
     both = by_name.join(by_body, ["qid", "id"], "full_outer").fillna(0.0)
     scored = both.withColumn("score", F.bround(0.6 * F.col("name_score") + 0.4 * F.col("body_score"), 2))
-    kept = scored.where(F.col("score") >= threshold).join(functions.select("id", "name", "file", "line"), "id")
+    kept = scored.where(F.col("score") >= threshold).withColumnRenamed("id", "_one").join(members, "_one")
     return top_k(kept, ["qid"], [F.desc("score"), F.col("name"), F.col("id")], k).select(
         "qid", "id", "name", F.concat_ws(":", "file", F.col("line").cast("string")).alias("place"), "score"
     )

@@ -273,3 +273,38 @@ def test_betweenness_deals_out_its_edges_once(spark, monkeypatch):
         monkeypatch.setattr(A, "cut_lineage", real)
         assert got == {k: round(v, 9) for k, v in want.items()}
         assert sum(bool(re.search(r"hashpartitioning\(src#\d+L, \d", p)) for p in dealt) == 1  # to find hubs, in no round
+
+
+def test_page_rank_ends_when_ranks_are_final(spark, monkeypatch):
+    """A well mixed graph needs few of the 100 rounds; a cycle with a tail ends right as well."""
+    rng = random.Random(7)
+    pairs = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(600)} | {(70, 71), (71, 72), (72, 70), (73, 70), (1, 80)})
+    nodes = sorted({x for p in pairs for x in p})
+    out, rank = Counter(a for a, _ in pairs), dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(400):
+        loose = sum(r for n, r in rank.items() if n not in out)
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * loose) / len(nodes))
+        for a, b in pairs:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    rounds = []
+    monkeypatch.setattr(A, "cut_lineage", lambda df, cut=A.cut_lineage: rounds.append(1) or cut(df))
+    mixed = [(a, b) for a, b in pairs if a < 60 and b < 60]
+    A.page_rank(spark.createDataFrame(mixed, "src long, dst long")).count()
+    assert len(rounds) <= 10
+    got = {r["id"]: r["score"] for r in A.page_rank(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[n] - rank[n]) < 1e-9 for n in nodes)
+
+
+def test_alike_functions_are_scored_once(spark, monkeypatch):
+    """Numbers in a name are related to no word asked for, so 400 functions fall into few groups."""
+    functions = spark.createDataFrame(
+        [(i, f"{('load', 'save')[i % 2]}_user_{i}", "a.py", i, "db") for i in range(400)], "id long, name string, file string, line int, body string"
+    )
+    asked = spark.createDataFrame([("q", "load user db"), ("p", "save it")], "qid string, description string")
+    scored, own = [], Q._token_scores
+    monkeypatch.setattr(Q, "_token_scores", lambda q, t, r: scored.append(t.count()) or own(q, t, r))
+    got = [(r["qid"], r["id"], r["score"]) for r in Q.similar_functions(asked, functions, k=3).collect()]
+    assert scored == [2, 2]
+    first = sorted((f"load_user_{i}", i) for i in range(0, 400, 2))[:3]
+    assert sorted(got) == sorted(("q", i, 0.61) for _, i in first)
