@@ -56,8 +56,11 @@ def _buckets(
 
 
 def classify_pod_lines(lines: DataFrame) -> DataFrame:
-    """Significant lines of ``(namespace, pod, ts, …, line)`` with severity and template."""
-    kept = lines.withColumn("severity", line_severity(F.col("line"))).where("severity is not null")
+    """Significant lines of ``(namespace, pod, ts, …, line)`` with severity and template.
+
+    The severity comes out of an array: a filter on it would be moved below it, and all its patterns be tried
+    twice, on a line made anew for each."""
+    kept = lines.withColumn("severity", F.explode(F.array_compact(F.array(line_severity(F.col("line"))))))
     templated = kept.withColumn("template_text", masked(F.col("line"), POD_MASKS))
     return templated.withColumn("template_hash", short_hash(F.col("template_text")))
 

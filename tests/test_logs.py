@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from opsweave.functions import text
 from opsweave.functions.text import HOST_MASKS, POD_MASKS, line_severity, masked, short_hash
+from opsweave.operators import logs
 
 
 def mask(spark, line, masks=HOST_MASKS):
@@ -33,3 +35,24 @@ def test_same_template_same_hash(spark):
 def test_severity(spark, line, severity):
     df = spark.createDataFrame([(line,)], "l string")
     assert df.select(line_severity(F.col("l"))).first()[0] == severity
+
+
+def test_severity_is_found_once(spark):
+    """Patterns stand in the plan once; a filter on the severity would be moved below it and repeat them."""
+    lines = spark.createDataFrame([("n", "p", 1.0, "x")], "namespace string, pod string, ts double, line string")
+    plan = logs.classify_pod_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("healthz") == 1
+
+
+def test_patterns_know_every_first_letter(spark):
+    """What is asked for before a word boundary leaves no match out, other Unicode forms of a letter included."""
+    words = ("debug trace healthz readyz livez error err exception traceback warn warning oomkilled crashloopbackoff imagepullbackoff enoent "
+             "eacces timeout segfault keyerror valueerror runtimeerror nullpointerexception").split()
+    forms = {"s": "\u017f", "k": "\u212a", "i": "\u0131"}
+    made = [f(w) for w in words for f in (str, str.upper, str.title, lambda w: forms.get(w[0], w[0]) + w[1:], lambda w: "x" + w, lambda w: "\u00e9" + w)]
+    made += ["/metrics ", "panic: x", "FATAL", "PANIC", "503 ", "dial tcp", "no such file", "\u0130magepullbackoff", "error: x"]
+    df = spark.createDataFrame([(w,) for w in made], "line string")
+    for pattern in (text.DROP, text.FATAL, text.ERROR, text.WARN, text.HIGH_SIGNAL):
+        assert pattern.startswith("(?=[")
+        plain = pattern[pattern.index("])") + 2 :]
+        assert df.where(F.col("line").rlike(pattern) != F.col("line").rlike(plain)).count() == 0
