@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsweave.functions.sizes import broadcast_if_small
+from opsweave.functions.sizes import broadcast_if_small, shuffled
 from opsweave.functions.text import any_of, contains_join
 
 # Words before "(" that are not calls.
@@ -117,16 +117,16 @@ def resolve_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
 def import_edges(resolved: DataFrame, functions: DataFrame) -> DataFrame:
     """IMPORTS edges file -> function of the imported name whose file starts with the
     resolved path. Functions of imported names are filed under every prefix of their
-    path, so this is an equi join on (name, path)."""
+    path, so this is an equi join on (name, path). Both sides are shuffled: a row per prefix is
+    far more than Spark expects of a compressed table. The imports are computed and shuffled once;
+    those that come twice go with the last step."""
     wanted = resolved.select(
         F.col("file").alias("importer"), F.explode("import_names").alias("name"), F.col("resolved").alias("_path")
-    ).distinct()
-    used = functions.select("name", "file").distinct().join(
-        broadcast_if_small(wanted.select("name").distinct()), "name", "left_semi"
     )
     prefixes = F.transform(F.sequence(F.lit(0), F.length("file")), lambda i: F.substring("file", 1, i))
-    filed = used.select("name", "file", F.explode(F.array_distinct(prefixes)).alias("_path"))
-    return wanted.join(filed, ["name", "_path"]).select("importer", "name", "file").distinct()
+    own = functions.select("name", "file").distinct()
+    filed = own.select("name", "file", F.explode(F.array_distinct(prefixes)).alias("_path"))
+    return wanted.join(shuffled(filed), ["name", "_path"]).select("importer", "name", "file").distinct()
 
 
 def cross_file_calls(functions: DataFrame, imports: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsweave.functions.ordered import top_k
+from opsweave.functions.sizes import broadcast_if_small, shuffled
 from opsweave.functions.text import any_of, contains_join
-from opsweave.session import cut_lineage
+from opsweave.session import cut_lineage, freed_shuffles
 
 # Known patterns (id, category, severity 0 info .. 3 critical, keywords).
 PATTERNS = (
@@ -372,19 +373,22 @@ def upstream_trace(targets: DataFrame, functions: DataFrame, calls: DataFrame, i
 
     ``targets(id)``, ``calls(src, dst)``, ``imports(importer, name)`` and
     ``uses(file)`` (files with a USES_VALIDATION function). A file without
-    validation outside ``src/`` is a root-cause candidate.
+    validation outside ``src/`` is a root-cause candidate. Imports are computed once; targets are shuffled, as
+    they may be all functions.
     """
-    f = functions.select("id", "name", "file")
+    with freed_shuffles(imports.sparkSession):
+        imports = cut_lineage(imports.select("importer", "name"))
+    f = shuffled(functions.select("id", "name", "file"))
     t = targets.select("id").distinct().join(f, "id")
-    callers = calls.join(t.select(F.col("id").alias("dst")), "dst").join(
+    callers = calls.join(shuffled(t.select(F.col("id").alias("dst"))), "dst").join(
         f.select(F.col("id").alias("src"), F.col("file").alias("upstream")), "src"
     ).select(F.col("dst").alias("id"), "upstream")
-    importers = imports.join(t.select("id", "name"), "name").select("id", F.col("importer").alias("upstream"))
+    importers = imports.join(shuffled(t.select("id", "name")), "name").select("id", F.col("importer").alias("upstream"))
     up = callers.unionByName(importers).distinct()
     by_import = imports.where(any_of(F.col("name"), VALIDATION_MARKS)).select(F.col("importer").alias("upstream")).distinct()
     by_use = uses.select(F.col("file").alias("upstream")).distinct()
-    marked = up.join(by_import.withColumn("_i", F.lit(True)), "upstream", "left").join(
-        by_use.withColumn("_u", F.lit(True)), "upstream", "left"
+    marked = up.join(broadcast_if_small(by_import.withColumn("_i", F.lit(True))), "upstream", "left").join(
+        broadcast_if_small(by_use.withColumn("_u", F.lit(True))), "upstream", "left"
     )
     ok = F.coalesce("_i", F.lit(False)) | F.coalesce("_u", F.lit(False))
     return marked.select(

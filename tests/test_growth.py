@@ -308,3 +308,22 @@ def test_alike_functions_are_scored_once(spark, monkeypatch):
     assert scored == [2, 2]
     first = sorted((f"load_user_{i}", i) for i in range(0, 400, 2))[:3]
     assert sorted(got) == sorted(("q", i, 0.61) for _, i in first)
+
+
+def test_import_edges_broadcast_no_prefixes(spark, tmp_path):
+    """The file's size says little of a row per prefix of its functions' paths."""
+    fns = [(f"f{k}", f"src/m{k % 3}.py") for k in range(60)] + [("f0", "src/x.py"), ("f0", "src/x.py"), (None, "src/m0.py"), ("f1", None)]
+    spark.createDataFrame(fns, "name string, file string").write.parquet(f"{tmp_path}/f.parquet")
+    asked = [("a", ["f0", "f1"], "src/m0"), ("a", ["f0"], "src"), ("a", ["f0"], "src"), ("b", ["f4"], "numpy"), ("b", ["f7", None], None), ("c", ["f5"], "")]
+    found = G.import_edges(spark.createDataFrame(asked, "file string, import_names array<string>, resolved string"), spark.read.parquet(f"{tmp_path}/f.parquet"))
+    assert "Broadcast" not in plan(found)
+    assert sorted(tuple(x) for x in found.collect()) == [("a", "f0", "src/m0.py"), ("a", "f0", "src/x.py"), ("c", "f5", "src/m2.py")]
+
+
+def test_lines_of_calls_are_dealt_out_once(spark, tmp_path):
+    lines = [(1, 1, 7), (1, 1, 7), (1, 2, 8), (1, 2, 9), (1, 3, 8), (2, 1, 7), (2, 2, 8), (2, 3, None), (None, 1, 7), (None, 2, 8), (3, None, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = T.call_pairs(spark, tmp_path)
+    assert sorted(tuple(x) for x in pairs.collect()) == [(7, 8), (7, 9), (9, 8)]
+    told = plan(T.call_pairs(spark, tmp_path))
+    assert "Broadcast" not in told and len(re.findall("Exchange hashpartitioning", told)) == 3  # two sides and the pairs
