@@ -327,3 +327,25 @@ def test_lines_of_calls_are_dealt_out_once(spark, tmp_path):
     assert sorted(tuple(x) for x in pairs.collect()) == [(7, 8), (7, 9), (9, 8)]
     told = plan(T.call_pairs(spark, tmp_path))
     assert "Broadcast" not in told and len(re.findall("Exchange hashpartitioning", told)) == 3  # two sides and the pairs
+
+
+def test_upstream_trace_shuffles_its_targets(spark, tmp_path):
+    fns = [(k, f"validate_{k}" if k % 3 else f"load_{k}", f"{'src' if k % 2 else 'lib'}/m{k % 5}.py") for k in range(40)]
+    spark.createDataFrame(fns, "id long, name string, file string").write.parquet(f"{tmp_path}/f.parquet")
+    f = spark.read.parquet(f"{tmp_path}/f.parquet")
+    calls = [(1, 2), (6, 2), (1, 4), (9, None), (None, 3)]
+    imports = [("a.py", "validate_2"), ("a.py", "load_3"), *[("b.py", "load_3")] * 2, ("lib/m1.py", "load_0"), (None, "load_3"), ("c.py", None)]
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    i = spark.createDataFrame(spark.sparkContext.parallelize(imports, 1).mapPartitions(seen), "importer string, name string")
+    out = diagnose.upstream_trace(f, f, spark.createDataFrame(calls, "src long, dst long"), i, f.where("id = 6"))
+    assert not re.search(r"BroadcastHashJoin \[(dst|name|id)#", plan(out))
+    got = sorted(tuple(x) for x in out.collect() if x.upstream)
+    assert got == [(0, "lib/m1.py", True, True), (2, "a.py", True, False), (2, "lib/m1.py", True, True), (2, "src/m1.py", False, False),
+                   (3, "a.py", True, False), (3, "b.py", False, True), (4, "src/m1.py", False, False)]
+    assert made.value == len(imports)
