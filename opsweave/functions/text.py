@@ -8,11 +8,15 @@ line is what takes the time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from opsweave.functions.sizes import shuffled
 from opsweave.session import cut_lineage
 
 # Mask patterns in their order.
@@ -86,28 +90,92 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
     return text.rlike(f"(?=[{firsts}])(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")")
 
 
-def _grams(text: Column, sizes: Sequence[int]) -> Column:
-    """Distinct runs of the given numbers of characters.
-
-    The characters are bound to a lambda variable, so they are split only once.
-    """
-    none = F.array().cast("array<string>")
-
-    def runs(chars: Column, n: int) -> Column:
-        last = F.length(text) - (n - 1)
-        made = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(chars, i, n), ""))
-        return F.when(last >= 1, made).otherwise(none)
-
-    bound = F.transform(
-        F.array(F.split(text, "")), lambda chars: F.concat(*[runs(chars, n) for n in sizes])
-    )
-    return F.array_distinct(F.get(bound, F.lit(0)))
-
-
 #: Filed needles (with their row overhead) that may be broadcast.
 BROADCAST_BYTES = 16_000_000
-#: Needles of that many characters are filed under runs of that length: those of four repeat soon among many needles.
-LONG_GRAM = 8
+#: Needles are filed under runs of so many bytes: of the first of these lengths that they have.
+GRAM_BYTES = (8, 4, 3, 2, 1)
+#: Sizes of the table of bits that tells texts which grams are in use: at most 16 MB.
+SLOTS = (32_749, 1_048_573, 16_777_213, 134_217_689)
+#: Bytes whose grams are made at once.
+CHUNK_BYTES = 1 << 21
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and where each value begins; the last number is the end."""
+    column = pa.concat_arrays([column.cast(pa.large_binary()).fill_null(b"")])
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8), ends
+
+
+def _grams(data: np.ndarray, ends: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(value number, gram)`` of every run of ``size`` bytes within a value, as a whole number each."""
+    for lo in range(ends[0], ends[-1], CHUNK_BYTES):
+        hi = min(lo + CHUNK_BYTES, ends[-1] - size + 1)
+        if hi <= lo:
+            return
+        gram = np.zeros(hi - lo, dtype=np.uint64)
+        for i in range(size):
+            gram |= data[lo + i : hi + i].astype(np.uint64) << np.uint64(8 * i)
+        first, last = np.searchsorted(ends, (lo, hi - 1), "right") - 1
+        rows = np.repeat(np.arange(first, last + 1), np.diff(np.clip(ends[first : last + 2], lo, hi)))
+        inside = np.arange(lo + size, hi + size) <= ends[rows + 1]
+        yield rows[inside], gram[inside].view(np.int64)
+
+
+def _once(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram of a value once."""
+    rows, grams = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
+    order = np.lexsort((grams, rows))
+    rows, grams = rows[order], grams[order]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])
+    return rows[new], grams[new]
+
+
+def _needle_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(needle, size, gram)`` for rows ``(needle, its bytes)``: all grams of the first length that the needle has."""
+    for batch in batches:
+        data, ends = _bytes_of(batch.column(1))
+        long = np.diff(ends)
+        sizes = np.select([long >= n for n in GRAM_BYTES], GRAM_BYTES, 0)
+        found = []
+        for size in set(sizes.tolist()) - {0}:
+            found += [(rows[sizes[rows] == size], grams[sizes[rows] == size]) for rows, grams in _grams(data, ends, size)]
+        rows, grams = _once(found)
+        kept = batch.column(0).take(pa.array(rows))
+        yield pa.record_batch([kept, pa.array(sizes[rows], pa.int32()), pa.array(grams)], names=["_needle", "_size", "_gram"])
+
+
+def _text_grams(sizes: Sequence[int], slots: int, used) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows ``(..., bytes)`` one row per gram that may be in use, with the gram instead of the bytes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = used.value
+        for batch in batches:
+            *kept, text = batch.columns
+            data, ends = _bytes_of(text)
+            found = []
+            for size in sizes:
+                for rows, grams in _grams(data, ends, size):
+                    at = np.remainder(grams, slots)
+                    there = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                    found.append((rows[there], grams[there]))
+            rows, grams = _once(found)
+            at = pa.array(rows)
+            yield pa.record_batch([*(c.take(at) for c in kept), pa.array(grams)], names=[*batch.schema.names[:-1], "_gram"])
+
+    return made
+
+
+def _bits(filed: DataFrame, slots: int) -> np.ndarray:
+    """The table of bits of the filed grams."""
+    at = F.pmod("_gram", F.lit(slots))
+    parts = filed.groupBy(F.shiftright(at, 15).alias("_part")).agg(F.bitmap_construct_agg(at.bitwiseAND(32767)).alias("_bits"))
+    out = np.zeros(((slots >> 15) + 1, 4096), dtype=np.uint8)
+    for part, bits in parts.collect():
+        out[part] = np.frombuffer(bits, dtype=np.uint8)
+    return out.reshape(-1)
 
 
 def contains_join(
@@ -120,39 +188,40 @@ def contains_join(
 ) -> DataFrame:
     """Exact substring join: rows of ``texts`` whose ``text`` contains ``needle``.
 
-    Every needle is filed under its rarest 8-gram, or 4-gram if it is shorter. A text sends out only its own hash with the hashes of
-    its grams, of the lengths in use; the (text hash, needle) pairs found there meet the text once and are verified. Work follows
-    the text length and the real candidates, not the product of the two sides, and no text is copied per
-    gram. Needles under four characters are found by equality with the grams of their own length; those
-    under ``min_length`` never match. ``on`` columns must be equal on both sides. The filed needles are
+    Every needle is filed once under its rarest run of 8 bytes, or of 4 if it is shorter, or under itself if it has less. A text
+    sends out only its own hash with those of its grams that a table of bits of fixed size shows to be in use; the (text hash,
+    needle) pairs found there meet the text once and are verified. Work follows the text length and the real candidates, not
+    the product of the two sides, and no text is copied per gram. Needles under ``min_length`` characters, at most four, never
+    match. ``on`` columns must be equal on both sides. The filed needles are
     broadcast after a check of their size; beyond it both sides are sorted, which splits hot grams.
     """
     on = list(on)
     columns = [c for c in needles.columns if c not in on]
-    keyed = needles.where(F.length(needle) >= 4)
-    long = F.length(needle) >= LONG_GRAM
-    own_grams = F.when(long, _grams(F.col(needle), [LONG_GRAM])).otherwise(_grams(F.col(needle), [4]))
-    each = keyed.select(*on, needle, F.explode(own_grams).alias("_gram")).distinct()
+    asked = needles.where(F.length(needle) >= max(min(min_length, 4), 1)).select(*on, needle).distinct()
+    words = asked.select(F.col(needle).alias("_needle")).distinct()
+    each = words.select("_needle", F.col("_needle").cast("binary").alias("_bytes")).mapInArrow(
+        _needle_grams, "_needle string, _size int, _gram long"
+    )
     spread = each.groupBy("_gram").agg(F.count("*").alias("_n"))
-    anchor = (
-        each.join(spread, "_gram")
-        .groupBy(*on, needle)
-        .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    anchor = F.min(F.struct("_n", "_size", "_gram")).alias("_a")
+    filed = cut_lineage(
+        each.join(shuffled(spread), "_gram").groupBy("_needle").agg(anchor).select(F.col("_needle").alias(needle), "_a._size", "_a._gram")
     )
-    filed = keyed.select(*on, needle).distinct().join(anchor, [*on, needle])
-    if min_length < 4:
-        short = needles.where(F.length(needle).between(max(min_length, 1), 3))
-        filed = filed.unionByName(short.select(*on, needle).distinct().withColumn("_gram", F.col(needle)))
-    filed = cut_lineage(filed.select(*on, needle, F.length("_gram").alias("_gram_size"), F.xxhash64("_gram").alias("_gram")))
-    size, lengths = filed.agg(F.sum(F.length(needle) + 32), F.sort_array(F.collect_set("_gram_size"))).collect()[0]
-    size, lengths, filed = size or 0, lengths or [4], filed.drop("_gram_size")
-    grams = F.explode(F.transform(_grams(F.col(text), lengths), lambda g: F.xxhash64(g)))
+    lengths, n = filed.agg(F.collect_set("_size"), F.approx_count_distinct("_gram")).collect()[0]
+    slots = next((s for s in SLOTS if s >= 32 * n), SLOTS[-1])
+    used = texts.sparkSession.sparkContext.broadcast(_bits(filed, slots))
+    filed = filed.drop("_size")
+    if on:
+        filed = asked.join(shuffled(filed), needle).select(*on, needle, "_gram")
+    size = filed.agg(F.sum(F.length(needle) + 32)).first()[0] or 0
     own = F.xxhash64(*on, text)
-    looked = texts.select(*on, own.alias("_hash"), grams.alias("_gram"))
-    small = F.broadcast(filed) if size <= BROADCAST_BYTES else filed.hint("merge")
+    sent = texts.select(*on, own.alias("_hash"), F.col(text).cast("binary").alias("_gram"))
+    shape = StructType([*sent.schema.fields[:-1], StructField("_gram", LongType())])
+    looked = sent.mapInArrow(_text_grams(sorted(lengths), slots, used), shape)
+    small = F.broadcast(filed) if size <= BROADCAST_BYTES else shuffled(filed)
     pairs = looked.join(small, [*on, "_gram"]).select(*on, "_hash", needle).distinct()
     hit = texts.withColumn("_hash", own).join(pairs.hint("merge"), [*on, "_hash"])
     hit = hit.where(F.col(text).contains(F.col(needle))).drop("_hash")
     if columns == [needle]:
         return hit
-    return hit.join(needles, [*on, needle])
+    return hit.join(needles if size <= BROADCAST_BYTES else shuffled(needles), [*on, needle])

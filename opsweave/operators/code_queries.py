@@ -9,7 +9,7 @@ from opsweave.functions.ordered import top_k
 from opsweave.functions.sizes import shuffled
 from opsweave.functions.text import contains_join
 from opsweave.operators.graph_algos import reach, reach_sizes
-from opsweave.session import cut_lineage, enough_partitions
+from opsweave.session import cut_lineage, enough_partitions, freed_shuffles
 
 # Frames: functions(id, name, file, line, …), calls(src, dst) on ids,
 # modified(commit, fn, author, date, message), changes(commit, file, change, author, date, message).
@@ -33,7 +33,10 @@ def references_by_file(calls: DataFrame, functions: DataFrame, k: int = 50) -> D
 
 def where_used(calls: DataFrame, imports: DataFrame, functions: DataFrame, k: int = 20) -> DataFrame:
     """Where each function is used: callers, importing files and bodies that name it
-    (at most ``k`` of the last per function)."""
+    (at most ``k`` of the last per function). Imports and functions are computed once; names and bodies are shuffled."""
+    with freed_shuffles(functions.sparkSession):
+        imports = cut_lineage(imports.select("importer", "name"))
+        functions = shuffled(cut_lineage(functions.select("id", "name", "file", "body")))
     names = functions.select(F.col("id"), F.col("name"))
     a = callers(calls, functions).select("id", F.lit("caller").alias("how"), F.col("caller").alias("who"))
     i = imports.select("name", F.col("importer").alias("who")).join(names, "name").select(

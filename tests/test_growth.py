@@ -5,7 +5,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
+from opsweave.functions import text
 from opsweave.functions import vectors as V
 from opsweave.functions.sizes import broadcast_if_small
 from opsweave.functions.text import contains_join
@@ -349,3 +351,66 @@ def test_upstream_trace_shuffles_its_targets(spark, tmp_path):
     assert got == [(0, "lib/m1.py", True, True), (2, "a.py", True, False), (2, "lib/m1.py", True, True), (2, "src/m1.py", False, False),
                    (3, "a.py", True, False), (3, "b.py", False, True), (4, "src/m1.py", False, False)]
     assert made.value == len(imports)
+
+
+def test_where_used_broadcasts_no_names(spark, tmp_path, monkeypatch):
+    names = ["load_user", "load", "save_users", "x", "\u00e9t\u00e9", "load_user_all", "se"]
+    fns = [(k, n, f"m{k}.py", f"{names[(k + 1) % 7]}(); {names[(k + 3) % 7]}()" if k != 3 else None) for k, n in enumerate(names)]
+    spark.createDataFrame(fns, "id long, name string, file string, body string").write.parquet(f"{tmp_path}/f.parquet")
+    calls, imports = [(0, 1), (2, 1), (None, 2)], [("m9.py", "load"), ("m9.py", "load"), ("m8.py", "none"), (None, "x")]
+    want = {(b, "caller", names[a]) for a, b in calls if a is not None} | {(k, "import", i) for i, n in imports for k, m in enumerate(names) if m == n}
+    for k, n in enumerate(names):
+        want |= {(k, "body", who) for who in sorted(m for by, m, _, body in fns if by != k and body and n in body)[:3]}
+    for most in (text.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(text, "BROADCAST_BYTES", most)
+        got = Q.where_used(
+            spark.createDataFrame(calls, "src long, dst long"), spark.createDataFrame(imports, "importer string, name string"),
+            spark.read.parquet(f"{tmp_path}/f.parquet"), 3,
+        )
+        told = plan(got)
+        rows = [tuple(x) for x in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert "Broadcast" not in told
+
+
+def test_texts_send_only_grams_in_use(spark, monkeypatch):
+    """Runs of bytes over all borders of chunks, and a table of bits in several parts."""
+    monkeypatch.setattr(text, "CHUNK_BYTES", 13)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("ab\u00e9\u20ac\U0001f600") for _ in range(n))
+    texts, needles = [word(r.randint(0, 40)).encode() for _ in range(50)], sorted({word(r.randint(1, 9)).encode() for _ in range(40)})
+    column = pa.array([*texts, None], pa.binary())
+    data, ends = text._bytes_of(column)
+    for size in text.GRAM_BYTES:
+        got = [(int(a), int(g).to_bytes(8, "little", signed=True)[:size]) for rows, grams in text._grams(data, ends, size) for a, g in zip(rows, grams)]
+        assert sorted(got) == sorted((k, t[i : i + size]) for k, t in enumerate(texts) for i in range(len(t) - size + 1))
+    filed = [list(b.to_pylist()) for b in text._needle_grams(iter([pa.record_batch([pa.array([n.decode() for n in needles]), pa.array(needles)], names=["n", "b"])]))][0]
+    assert {x["_needle"].encode() for x in filed} == set(needles)
+    f = spark.createDataFrame([(x["_gram"],) for x in filed], "_gram long")
+    for slots in text.SLOTS[:2]:
+        bits = text._bits(f, slots)
+        asked = text._text_grams([8, 4, 3, 2, 1], slots, type("B", (), {"value": bits}))
+        sent = pa.Table.from_batches(asked(iter([pa.record_batch([pa.array(range(51)), column], names=["id", "_gram"])]))).to_pylist()
+        sent = [(x["id"], x["_gram"]) for x in sent]
+        assert len(sent) == len(set(sent))
+        for k, t in enumerate(texts):
+            there = {x["_gram"] for x in filed if x["_needle"].encode() in t}
+            assert there <= {g for i, g in sent if i == k}
+    assert len(sent) < sum(map(len, texts))
+
+
+def test_cross_file_calls_compute_their_inputs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    fns = [("f", "a", "G() h("), ("g", "b", "f h"), ("h", "b", None), ("k", "a", "kk"), ("g", "a", "g"), ("z", None, "g")]
+    imports = [("a", "g", "b"), ("a", "H", "b"), ("a", "k", "a"), ("b", "h", "b"), ("b", "g", None), (None, "g", "b"), ("a", "g", "b")]
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(imports, 1).mapPartitions(seen), "importer string, name string, file string")
+    got = G.cross_file_calls(spark.createDataFrame(fns, "name string, file string, body string"), rows).collect()
+    want = {(n, f, c, cf) for n, f, body in fns for i, c, cf in imports if f and i == f and body and c.lower() in body.lower() and cf and (n, f) != (c, cf)}
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    assert made.value == len(imports)
