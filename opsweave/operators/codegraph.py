@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsweave.functions.sizes import broadcast_if_small, shuffled
 from opsweave.functions.text import any_of, contains_join
+from opsweave.session import cut_lineage, freed_shuffles
 
 # Words before "(" that are not calls.
 NOT_CALLS = (
@@ -130,7 +131,10 @@ def import_edges(resolved: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def cross_file_calls(functions: DataFrame, imports: DataFrame) -> DataFrame:
-    """CALLS edges from functions whose body names a function their file imports."""
+    """CALLS edges from functions whose body names a function their file imports. Both are computed once."""
+    with freed_shuffles(functions.sparkSession):
+        imports = cut_lineage(imports.select("importer", "name", "file"))
+        functions = cut_lineage(functions.select("name", "file", "body"))
     bodies = functions.select(
         F.col("name").alias("caller"), F.col("file").alias("importer"), F.lower("body").alias("_body")
     )
