@@ -414,3 +414,30 @@ def test_cross_file_calls_compute_their_inputs_once(spark):
     want = {(n, f, c, cf) for n, f, body in fns for i, c, cf in imports if f and i == f and body and c.lower() in body.lower() and cf and (n, f) != (c, cf)}
     assert len(got) == len(want) and {tuple(x) for x in got} == want
     assert made.value == len(imports)
+
+
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_reach_sizes_take_turns(spark, monkeypatch):
+    """Marks of many parts in turns: the same sizes; a turn leaves its sizes only."""
+    r = random.Random(3)
+    ids = [k * 9_000 for k in range(30)] + list(range(40))
+    edges = sorted({(a, b) for a, b in ((r.choice(ids), r.choice(ids)) for _ in range(400)) if a != b} | {(k, 5) for k in ids if k != 5})
+    callers = {}
+    for a, b in edges:
+        callers.setdefault(b, set()).add(a)
+    within, sizes, freed, kinds = callers, {}, [], {i: i % 5 * 9_000 for i in ids}
+    for _ in range(2):
+        within = {i: s.union(*(within.get(c, set()) for c in s)) for i, s in callers.items()}
+    sizes = {i: (len(callers[i]), len(s), len({kinds[c] for c in s})) for i, s in within.items()}
+    e, real = spark.createDataFrame(edges, "src long, dst long"), A.cut_lineage
+    monkeypatch.setattr(A, "cut_lineage", lambda df: freed.append((df.columns, spark.conf.get(FREED, "false"))) or real(df))
+    marks = spark.createDataFrame([*kinds.items()], "id long, mark long")
+    for most, turns in ((4_000_000, 1), (100, min(-(-len(edges) // 100), 30)), (1, 30)):
+        monkeypatch.setattr(A, "TURN_EDGES", most)
+        freed.clear()
+        got = {x.id: (x.direct, x.n, x.kinds) for x in A.reach_sizes(e, 3, {"n": None, "kinds": marks}).collect()}
+        assert got == sizes
+        assert sum(c == ["id", "tag", "n"] for c, _ in freed) >= turns > 0 and {f for _, f in freed} == {"true"}
+    assert spark.conf.get(FREED, "false") == "false"
