@@ -441,3 +441,12 @@ def test_reach_sizes_take_turns(spark, monkeypatch):
         assert got == sizes
         assert sum(c == ["id", "tag", "n"] for c, _ in freed) >= turns > 0 and {f for _, f in freed} == {"true"}
     assert spark.conf.get(FREED, "false") == "false"
+
+
+def test_betweenness_frees_what_a_round_shuffles(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(5)] + [(0, 9), (9, 2)], "src long, dst long")
+    freed, real = [], A.cut_lineage
+    monkeypatch.setattr(A, "cut_lineage", lambda df: freed.append((df.columns, spark.conf.get(FREED, "false"))) or real(df))
+    got = {x.id: round(x.centrality * 30) for x in A.betweenness(edges).collect()}
+    assert got == {0: 0, 1: 2, 9: 2, 2: 9, 3: 8, 4: 5, 5: 0}
+    assert len(freed) > 12 and [f for _, f in freed].count("false") == 2  # the sources and the hubs
