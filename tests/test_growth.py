@@ -450,3 +450,12 @@ def test_betweenness_frees_what_a_round_shuffles(spark, monkeypatch):
     got = {x.id: round(x.centrality * 30) for x in A.betweenness(edges).collect()}
     assert got == {0: 0, 1: 2, 9: 2, 2: 9, 3: 8, 4: 5, 5: 0}
     assert len(freed) > 12 and [f for _, f in freed].count("false") == 2  # the sources and the hubs
+
+
+def test_shortest_paths_free_what_a_step_shuffles(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 3), (1, 2), (2, 4), (3, 4), (4, 1), (4, 5), (None, 6)], "src long, dst long")
+    freed, real = [], A.cut_lineage
+    monkeypatch.setattr(A, "cut_lineage", lambda df: freed.append(spark.conf.get(FREED, "false")) or real(df))
+    found = A.shortest_paths(edges, spark.createDataFrame([(1, 5), (1, 4), (1, 9)], "start long, goal long"))
+    assert sorted((x.goal, x.path, x.hops) for x in found.collect()) == [(4, [1, 2, 4], 2), (5, [1, 2, 4, 5], 3)]
+    assert freed == ["true"] * 5 and spark.conf.get(FREED, "false") == "false"
