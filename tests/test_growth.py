@@ -459,3 +459,33 @@ def test_shortest_paths_free_what_a_step_shuffles(spark, monkeypatch):
     found = A.shortest_paths(edges, spark.createDataFrame([(1, 5), (1, 4), (1, 9)], "start long, goal long"))
     assert sorted((x.goal, x.path, x.hops) for x in found.collect()) == [(4, [1, 2, 4], 2), (5, [1, 2, 4, 5], 3)]
     assert freed == ["true"] * 5 and spark.conf.get(FREED, "false") == "false"
+
+
+def test_listed_marks_are_added_and_packed_at_once(monkeypatch):
+    """Lists and bitmaps of one block, in any mix and in pieces of few pairs, as sets of Python."""
+    rng, codec, size = np.random.default_rng(5), pa.Codec("zstd", compression_level=1), 1 << A.MARK_BITS
+    marks = [np.sort(rng.choice(size, k, replace=False)) for k in (1, 3, 64, 65, 300, 2, 1, 64, 5000, 7)]
+    rows = np.stack([np.packbits(np.isin(np.arange(size), m)) for m in marks])
+    n = np.array([len(m) for m in marks])
+    bits = A._packed(rows, n, codec)
+    assert [len(b) for b, m in zip(bits, marks) if len(m) <= A.LISTED] == [2 * len(m) for m in marks if len(m) <= A.LISTED]
+    heads = [(4, 0, 1)] * 6 + [(4, 1, 1)] * 3 + [(5, 0, 1)]
+    ats = [np.sort(rng.choice(60, k, replace=False)).astype(np.int32) for k in (5, 60, 1, 30, 2, 9, 9, 9, 3, 4)]
+    want = {}
+    for (block, tag, part), m, at in zip(heads, marks, ats):
+        for x in at:
+            want.setdefault(((block << A.BLOCK_BITS) + int(x), tag, part), set()).update(m.tolist())
+    columns = [*zip(*heads)]
+    batch = pa.record_batch(
+        [pa.array(columns[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2]), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(ats, pa.list_(pa.int32()))],
+        names=["block", "tag", "part", "n", "bits", "ats"],
+    )
+    for pairs in (1 << 20, 7):
+        monkeypatch.setattr(A, "PAIRS", pairs)
+        for cut in (10, 4, 1):
+            parts = [batch.slice(k, cut) for k in range(0, 10, cut)]
+            got = pa.Table.from_batches(A._united(True)(iter(parts))).to_pylist()
+            assert {(x["id"], x["tag"], x["part"]): x["n"] for x in got} == {k: len(v) for k, v in want.items()}
+            for x in got:
+                mine = np.frombuffer(x["bits"], ">u2") if x["n"] <= A.LISTED else np.flatnonzero(np.unpackbits(A._unpacked(x["bits"], codec)))
+                assert set(mine.tolist()) == want[x["id"], x["tag"], x["part"]]
